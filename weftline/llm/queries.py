@@ -1,12 +1,15 @@
 """The queries of this subpackage and their SQL."""
 
-from . import mixing, simhash
+from . import decontaminate, mixing, secrets, simhash
 
 QUERIES = {
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_simhash": simhash.op7_simhash,
+    "op9_secrets": secrets.op9_secrets,
     "op10_mix": mixing.op10_mix,
 }
 
 ORACLE_SQL = {
+    "op5_decontaminate": decontaminate.OP5_SQL,
     "op10_mix": mixing.OP10_SQL,
 }
