@@ -69,3 +69,21 @@ def _oriented(e: DataFrame) -> DataFrame:
 def _signature(e: DataFrame) -> tuple:
     one = F.xxhash64("a", "b")
     return tuple(e.agg(F.count("*"), F.bit_xor(one), F.sum(F.shiftrightunsigned(one, 24))).first())
+
+
+def open_output(uri: str):
+    """A new file in the shared folder (any file system that pyarrow knows), from an executor."""
+    from pyarrow.fs import FileSystem, FileType, LocalFileSystem
+
+    fs, path = FileSystem.from_uri(uri)
+    folder = path.rpartition("/")[0]
+    if isinstance(fs, LocalFileSystem) or fs.get_file_info(folder).type == FileType.NotFound:
+        fs.create_dir(folder, recursive=True)
+    return fs.open_output_stream(path)
+
+
+def open_input(uri: str):
+    from pyarrow.fs import FileSystem
+
+    fs, path = FileSystem.from_uri(uri)
+    return fs.open_input_file(path)

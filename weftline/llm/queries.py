@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, mixing, secrets, simhash
+from . import decontaminate, mixing, secrets, simhash, tokens
 
 QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_simhash": simhash.op7_simhash,
+    "op8_tokens": tokens.op8_tokens,
     "op9_secrets": secrets.op9_secrets,
     "op10_mix": mixing.op10_mix,
 }
