@@ -16,7 +16,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; one of our own only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
-        return named.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(named)  # a path without scheme is the default file system's
+        full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
     own = getattr(spark.sparkContext, "_weftline_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="weftline-")
@@ -79,7 +81,7 @@ def open_output(uri: str):
     folder = path.rpartition("/")[0]
     if isinstance(fs, LocalFileSystem) or fs.get_file_info(folder).type == FileType.NotFound:
         fs.create_dir(folder, recursive=True)
-    return fs.open_output_stream(path)
+    return fs.open_output_stream(path, compression=None)
 
 
 def open_input(uri: str):

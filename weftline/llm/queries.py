@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, mixing, secrets, simhash, tokens
+from . import decontaminate, mixing, secrets, simhash, tokens, warc
 
 QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_warc": warc.op6_warc,
     "op7_simhash": simhash.op7_simhash,
     "op8_tokens": tokens.op8_tokens,
     "op9_secrets": secrets.op9_secrets,
@@ -12,5 +13,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_decontaminate": decontaminate.OP5_SQL,
+    "op6_warc": warc.OP6_SQL,
     "op10_mix": mixing.OP10_SQL,
 }
