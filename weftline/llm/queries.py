@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, mixing, quality, secrets, simhash, tokens, warc
+from . import decontaminate, mixing, quality, repeats, secrets, simhash, tokens, warc
 
 QUERIES = {
+    "op2_repeats": repeats.op2_repeats,
     "op4_quality": quality.op4_quality,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_warc": warc.op6_warc,
