@@ -123,6 +123,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that contain a benchmark window."""
     bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    bad = written(bad, "contaminated")  # so that its size is known before Spark chooses the join
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of()) == F.col("__hash")), "left_anti")
 
 

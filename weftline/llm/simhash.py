@@ -94,19 +94,25 @@ def near_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs without the near copies: of each group the document with the smallest id stays (its first
-    text by order, where the id repeats); rows with a null id stay only where no id is in their group."""
-    groups = near_groups(docs)
-    ids = groups.where("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    lone = groups.where("doc_id is null and component_id is null").select("fp").distinct()
+    """docs without the near copies: of each group the document with the smallest id stays
+    (one row of it, where the id repeats); rows with a null id stay only where no id is in their group, one
+    for each fingerprint."""
+    groups = written(near_groups(docs), "simhash-groups")
+    ids = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if not ids.where("n > 1").isEmpty():
+        again = ids.where("n > 1").select("doc_id")
+        kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    lone = groups.where("doc_id is null and component_id is null").select(F.col("fp").alias("__fp")).distinct()
+    if lone.isEmpty():
+        return kept
 
     @F.pandas_udf("long")
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t) for t in text], dtype="int64")
 
-    none = docs.where("doc_id is null").withColumn("__fp", fp("text")).join(lone.withColumnRenamed("fp", "__fp"), "__fp", "left_semi").dropDuplicates(["__fp"]).drop("__fp")
-    return kept.unionByName(none.select(*kept.columns))
+    none = docs.where("doc_id is null").withColumn("__fp", fp("text")).join(lone, "__fp", "left_semi").dropDuplicates(["__fp"])
+    return kept.union(none.select(*docs.columns))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
