@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, mixing, quality, repeats, secrets, simhash, tokens, warc
+from . import decontaminate, mixing, quality, repeats, search, secrets, simhash, tokens, warc
 
 QUERIES = {
+    "op1_search": search.op1_search,
     "op2_repeats": repeats.op2_repeats,
     "op4_quality": quality.op4_quality,
     "op5_decontaminate": decontaminate.op5_decontaminate,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_search": search.OP1_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_warc": warc.OP6_SQL,
     "op10_mix": mixing.OP10_SQL,
