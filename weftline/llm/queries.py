@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, mixing, quality, repeats, search, secrets, simhash, tokens, warc
+from . import decontaminate, licenses, mixing, quality, repeats, search, secrets, simhash, tokens, warc
 
 QUERIES = {
     "op1_search": search.op1_search,
     "op2_repeats": repeats.op2_repeats,
+    "op3_licenses": licenses.op3_licenses,
     "op4_quality": quality.op4_quality,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_warc": warc.op6_warc,
