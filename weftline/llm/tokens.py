@@ -27,8 +27,8 @@ FOOTER = struct.Struct("<QQQQQIII8s")
 BLOCK, LANES, LOW, MIN_SCALE = 1 << 18, 512, np.uint64(1 << 31), 18
 #: A shard is closed at so many tokens; only a single longer document exceeds it.
 SHARD_TOKENS = 4_000_000
-#: Distinct pieces of text whose ids a worker keeps.
-CACHE = 150_000
+#: Distinct words whose ids a worker keeps.
+CACHE = 400_000
 END_ID = 2
 
 
@@ -172,63 +172,78 @@ class Encoder:
     """Ids of texts by the tokenizers library, with the ids of pieces between spaces kept.
 
     This tokenizer never joins anything over a space or line feed, and takes letters apart from the
-    points and commas after them; so a piece has the same ids wherever it stands. Anything else of a
-    piece is left to the library.
+    marks after them; so a piece has the same ids wherever it stands, and so have its letters. New
+    words go to the library many at a time: each has one token that ends a word, which shows where the
+    next one begins (else they are encoded one by one). Any other piece is encoded as it is.
     """
 
+    _CUT = r"^(?P<core>[^.,!?:;*#$%&]*)(?P<tail>[.,!?:;*#$%&]*)$"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.core: dict[str, np.ndarray] = {}
-        self.ids: list[np.ndarray] = []
+        self.number: dict[str, int] = {"": 0}
+        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.number.update(zip(pieces, range(len(self.size), len(self.size) + len(pieces))))
+        self.first = np.r_[self.first, len(self.flat) + np.cumsum(sizes) - sizes]
+        self.size = np.r_[self.size, sizes]
+        self.flat = np.r_[self.flat, ids]
 
     def _learn(self, pieces: list[str]) -> None:
-        cut = []
-        for p in pieces:
-            c = p.rstrip(".,")
-            if c.isalpha():
-                cut.append((c.lower() if c.isascii() else c, p[len(c) :]))
+        words = [p for p in pieces if p.isalpha()]
+        rest = [p for p in pieces if not p.isalpha()]
+        for i in range(0, len(words), 5000):
+            own = words[i : i + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(own) and (not len(own) or last[-1] == len(ids) - 1):
+                self._add(own, ids, np.diff(last, prepend=-1))
             else:
-                cut.append((p, ""))
-        new = list(dict.fromkeys(x for pair in cut for x in pair if x and x not in self.core))
-        for i in range(0, len(new), 2000):
-            for x, e in zip(new[i : i + 2000], self.tokenizer.encode_batch(new[i : i + 2000], add_special_tokens=False)):
-                self.core[x] = np.array(e.ids, np.uint32)
-        for p, (c, tail) in zip(pieces, cut):
-            self.number[p] = len(self.ids)
-            self.ids.append(np.concatenate([self.core[c], self.core[tail]]) if tail else self.core[c])
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths (with the end id) and all ids of texts."""
-        if len(self.ids) > CACHE:
+                rest += own
+        if rest:
+            each = [e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
+            self._add(rest, np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths (with the end id) and all ids of texts; a null is empty."""
+        import pyarrow.compute as pc
+
+        if len(self.number) > CACHE:
             self.forget()
-        if not self.ids:
-            self.number[""] = 0
-            self.ids.append(np.array([end_id], np.uint32))
-        split = [[p for p in t.replace("\n", " ").split(" ") if p] for t in texts]
-        fresh = list(dict.fromkeys(p for ps in split for p in ps if p not in self.number))
+        lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        pieces = lists.flatten().dictionary_encode()
+        found, own = pieces.indices.to_numpy(), pieces.dictionary
+        cut = pc.extract_regex(own, self._CUT)
+        core, tail = cut.field("core"), cut.field("tail")
+        plain = pc.fill_null(pc.and_(cut.is_valid(), pc.or_(pc.equal(core, ""), pc.utf8_is_alpha(core))), False)
+        core = pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core)
+        core, tail = pc.if_else(plain, core, own).dictionary_encode(), pc.if_else(plain, tail, "").dictionary_encode()
+        names, tails = core.dictionary.to_pylist(), tail.dictionary.to_pylist()
+        fresh = [p for p in dict.fromkeys(names + tails) if p not in self.number]
         if fresh:
             self._learn(fresh)
-        number = self.number
-        at = np.fromiter((number[p] for ps in split for p in (*ps, "")), np.int64)
-        need = np.unique(at)
-        own = [self.ids[i] for i in need]
-        sizes = np.zeros(len(self.ids), np.int64)
-        sizes[need] = [len(o) for o in own]
-        first = np.zeros(len(self.ids), np.int64)
-        first[need] = np.cumsum(sizes[need]) - sizes[need]
-        flat = np.concatenate(own)
-        n = sizes[at]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(first[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        pieces = np.cumsum([len(ps) + 1 for ps in split])
-        upto = ends[pieces - 1]
-        return np.diff(upto, prepend=0), ids
+        number = lambda d, known: np.array([self.number[x] for x in known], np.int64)[d.indices.to_numpy()] if len(d) else np.zeros(0, np.int64)
+        at = np.stack([number(core, names)[found], number(tail, tails)[found]], 1).ravel() if len(found) else np.zeros(0, np.int64)
+        n = self.size[at]
+        upto = np.r_[0, np.cumsum(n)]
+        ids = self.flat[np.repeat(self.first[at] - upto[:-1], n) + np.arange(upto[-1])]
+        bounds = lists.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        lengths = upto[2 * bounds[1:]] - upto[2 * bounds[:-1]] + 1
+        out = np.empty(len(ids) + len(lengths), np.uint32)
+        body = np.ones(len(out), bool)
+        body[np.cumsum(lengths) - 1] = False
+        out[~body], out[body] = end_id, ids
+        return lengths, out
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID) -> DataFrame:
@@ -260,9 +275,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
         for batch in batches:
             encoder = encoder or Encoder(tokenizer_path)
-            for i in range(0, batch.num_rows, 256):
-                b = batch.slice(i, 256)
-                n, tokens = encoder.encode([t or "" for t in b["text"].to_pylist()], end_id)
+            for i in range(0, batch.num_rows, 1000):
+                b = batch.slice(i, 1000)
+                n, tokens = encoder.encode(b["text"], end_id)
                 doc_ids += b["doc_id"].to_pylist()
                 lengths.append(n)
                 ids.append(tokens)
