@@ -1,4 +1,427 @@
-"""Queries by name, with their SQL."""
+"""Queries by name over the star-schema and document tables, with their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import hashing, text
+from ..operators import errors, indexes, match, report, tfidf, topics
+from ..sources import ingest
+from . import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Even ids are sources, odd ones targets: each document is one of both.
+SOURCES, TARGETS = "id % 2 = 0", "id % 2 = 1"
+SOURCE_SQL, TARGET_SQL = "SELECT doc_id AS id, tokens FROM tok WHERE doc_id % 2 = 0", "SELECT doc_id AS id, tokens FROM tok WHERE doc_id % 2 = 1"
+LSH = indexes.LshConfig(hashes=32, bands=8)
+BLOOM = indexes.BloomConfig(items=2000)
+TERMS = ["ing", "tion", "nosuchterm"]
+PREFIXES = ["the", "ing", "zzz"]
+
+
+def query(statement: str | None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if statement is not None:
+            ORACLE_SQL[f.__name__] = statement
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """id, url, text, tokens, lang, source."""
+    t = table(spark, d, "documents")
+    url = F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string"))
+    return t.select(F.col("doc_id").alias("id"), url.alias("url"), F.coalesce("text", F.lit("")).alias("text"), text.tokens(F.col("text")).alias("tokens"), "lang", "source")
+
+
+def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = documents(spark, d)
+    return docs.where(SOURCES), docs.where(TARGETS)
+
+
+def best(spark: SparkSession, d: str, config: match.MatchConfig = match.MatchConfig()) -> DataFrame:
+    s, t = sides(spark, d)
+    return match.best_matches(match.similarities(s.select("id", "tokens"), t.select("id", "tokens")), config)
+
+
+SIM = f"WITH {sql.tokens()}, {sql.vectors(SOURCE_SQL, TARGET_SQL)}, {sql.BEST} "
+TOK = f"WITH {sql.tokens()} "
+TF = TOK + ", tf AS (SELECT doc_id, term, count(*) AS n, any_value(len(tokens)) AS n_tokens FROM (SELECT doc_id, tokens, unnest(tokens) AS term FROM tok) GROUP BY doc_id, term) "
+TOPICS = f"WITH {sql.tokens()}, {sql.topics()} "
+
+# ---- similarity
+
+
+@query(SIM + "SELECT src, tgt, round(sim, 6) AS sim, rank FROM best")
+def similarity_top5(spark, d):
+    return best(spark, d).select("src", "tgt", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query(SIM.replace("t_doc AS (" + TARGET_SQL + ")", "t_doc AS (SELECT item_id AS id, tokens FROM btok)").replace("s_doc AS (" + SOURCE_SQL + ")", "s_doc AS (SELECT doc_id AS id, tokens FROM tok)").replace("WITH ", f"WITH {sql.tokens('benchmark', 'item_id', 'btok')}, ", 1) + "SELECT src, tgt, round(sim, 6) AS sim, rank FROM best")
+def similarity_benchmark_top5(spark, d):
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), text.tokens(F.col("text")).alias("tokens"))
+    return match.best_matches(match.similarities(documents(spark, d).select("id", "tokens"), b)).select("src", "tgt", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query(SIM + "SELECT src, tgt, round(sim, 6) AS sim, rank FROM best WHERE NOT (rank = 5 AND sim >= 0.3 AND sim < 0.9)")
+def early_termination_top(spark, d):
+    return best(spark, d, match.MatchConfig(early_stop=0.3)).select("src", "tgt", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query(SIM + "SELECT round(min(sim), 6) AS min_sim, round(max(sim), 6) AS max_sim, round(avg(sim), 6) AS avg_sim, count(*) AS n FROM best")
+def score_distribution(spark, d):
+    return match.distribution(best(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("min_sim", "max_sim", "avg_sim")], "n")
+
+
+@query("""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+p AS (SELECT s.id AS src, t.id AS tgt, greatest(-1, least(1, list_cosine_similarity(s.v, t.v))) AS sim FROM v s, v t WHERE s.id % 100 = 0)
+SELECT src, tgt, round(sim, 6) AS sim, row_number() OVER (PARTITION BY src ORDER BY round(sim, 9) DESC, tgt) AS rank FROM p WHERE sim >= 0.01 QUALIFY rank <= 5""")
+def dense_cosine_top5(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return match.dense_best(v.where("id % 100 = 0"), v).select("src", "tgt", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(-1, least(1, list_cosine_similarity(a.v, b.v))), 6) AS sim FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""")
+def dense_cosine_pairs(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    b = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    return v.join(b, "vec_id").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.round(tfidf.cosine(F.col("v"), F.col("w"), checked=True), 6).alias("sim"))
+
+
+# ---- terms
+
+
+@query(TOK + "SELECT doc_id AS id, CAST(len(tokens) AS BIGINT) AS n_tokens, CAST(len(list_distinct(tokens)) AS BIGINT) AS n_terms FROM tok")
+def token_stats(spark, d):
+    return documents(spark, d).select("id", F.size("tokens").cast("long").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("n_terms"))
+
+
+@query(TF + "SELECT doc_id AS id, term, n, round(1 + ln(n::DOUBLE), 6) AS tf FROM tf")
+def term_frequency_log(spark, d):
+    return tfidf.term_counts(documents(spark, d)).select("id", "term", "n", F.round(tfidf.tf(), 6).alias("tf"))
+
+
+@query(TF + "SELECT doc_id AS id, term, n, round(n::DOUBLE / n_tokens, 6) AS tf FROM tf WHERE n >= 2")
+def term_frequency_relative(spark, d):
+    c = tfidf.TfidfConfig(log_tf=False, min_count=2)
+    return tfidf.term_counts(documents(spark, d), c).select("id", "term", "n", F.round(tfidf.tf(c), 6).alias("tf"))
+
+
+@query(TF + "SELECT term, count(*) AS df FROM tf WHERE doc_id % 2 = 1 GROUP BY term")
+def document_frequency(spark, d):
+    return tfidf.document_frequency(tfidf.term_counts(sides(spark, d)[1]))
+
+
+def _idf(spark, d, config):
+    t = sides(spark, d)[1]
+    return tfidf.idf(tfidf.document_frequency(tfidf.term_counts(t)), tfidf.n_documents(t), config).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+_DF = TF + ", df AS (SELECT term, count(*) AS df FROM tf WHERE doc_id % 2 = 1 GROUP BY term), n AS (SELECT count(*)::DOUBLE AS n FROM documents WHERE doc_id % 2 = 1) "
+
+
+@query(_DF + "SELECT term, df, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf FROM df, n")
+def idf_smoothed(spark, d):
+    return _idf(spark, d, tfidf.TfidfConfig())
+
+
+@query(_DF + "SELECT term, df, round(ln(n / greatest(df, 1)), 6) AS idf FROM df, n")
+def idf_standard(spark, d):
+    return _idf(spark, d, tfidf.TfidfConfig(smooth_idf=False))
+
+
+@query(TF + "SELECT DISTINCT term FROM tf WHERE doc_id % 2 = 1")
+def vocabulary(spark, d):
+    return tfidf.vocabulary(tfidf.term_counts(sides(spark, d)[1]))
+
+
+@query(SIM + "SELECT t_w.id, count(*) AS n_terms, round(any_value(n), 6) AS norm, round(sqrt(sum((w / n) * (w / n))), 6) AS unit FROM t_w JOIN t_n ON t_w.id = t_n.id GROUP BY t_w.id")
+def tfidf_vector_norm(spark, d):
+    t = sides(spark, d)[1]
+    c = tfidf.term_counts(t)
+    w = tfidf.weights(c, tfidf.idf(tfidf.document_frequency(c), tfidf.n_documents(t)))
+    u = tfidf.normalised(w).groupBy("id").agg(F.count("*").alias("n_terms"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("unit"))
+    return u.join(tfidf.norms(w), "id").select("id", "n_terms", F.round("norm", 6).alias("norm"), F.round("unit", 6).alias("unit"))
+
+
+# ---- text
+
+
+@query(f"SELECT doc_id AS id, {sql.language('text')} AS language FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
+def language_detect(spark, d):
+    return documents(spark, d).select("id", text.detect_language(F.col("text")).alias("language"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN lang IN ('en', 'fr', 'de', 'es', 'it', 'pt', 'ja') THEN lang ELSE 'en' END AS language FROM documents")
+def language_codes(spark, d):
+    return documents(spark, d).select("id", text.language_code(F.col("lang")).alias("language"))
+
+
+@query(f"WITH {sql.tokens('(SELECT conv_id * 100000 + turn AS id, text FROM conversations)', 'id')} SELECT id, array_to_string(tokens, ' ') AS kept FROM tok")
+def stopword_filter(spark, d):
+    t = table(spark, d, "conversations")
+    return t.select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), F.array_join(text.tokens(F.col("text")), " ").alias("kept"))
+
+
+@query(TOPICS + "SELECT doc_id AS id, rank, term, n FROM top")
+def doc_topics(spark, d):
+    return topics.top_topics(documents(spark, d))
+
+
+@query(TOPICS + "SELECT DISTINCT term AS topic FROM top")
+def distinct_topics(spark, d):
+    return topics.distinct_topics(topics.topic_lists(documents(spark, d)))
+
+
+@query(f"SELECT doc_id AS id, {sql.anchor('text')} AS anchor FROM (SELECT doc_id, trim(coalesce(text, '')) AS text FROM documents)")
+def suggested_anchor(spark, d):
+    return documents(spark, d).select("id", text.suggested_anchor(text.document_text(F.lit(""), F.col("text"))).alias("anchor"))
+
+
+@query(TOK + "SELECT doc_id AS id, CASE WHEN len(tokens) = 0 THEN 'empty' WHEN len(tokens) < 3 THEN 'under 3 words' ELSE '' END AS issues, len(tokens) >= 3 AS valid FROM tok")
+def validate_documents(spark, d):
+    return documents(spark, d).select("id", text.document_issues(F.col("tokens")).alias("i")).select("id", F.array_join("i", ",").alias("issues"), (F.size("i") == 0).alias("valid"))
+
+
+@query(TOK + "SELECT sha256(array_to_string(list(t ORDER BY t), '||')) AS corpus_hash, count(*) AS n_docs FROM (SELECT array_to_string(list_sort(tokens), '|') AS t FROM tok)")
+def corpus_hash(spark, d):
+    return documents(spark, d).agg(hashing.exact_corpus_hash(F.col("tokens")).alias("corpus_hash"), F.count("*").alias("n_docs"))
+
+
+@query("SELECT source, sha256(array_to_string(list(url ORDER BY url), '|')) AS list_hash FROM (SELECT source, 'https://' || source || '.example/' || doc_id AS url FROM documents) GROUP BY source")
+def list_hash(spark, d):
+    return documents(spark, d).groupBy("source").agg(hashing.list_hash(F.collect_list("url")).alias("list_hash"))
+
+
+@query(TOK + f""", h AS (SELECT doc_id, len(tokens) AS n, list_reduce(list_transform(string_split(array_to_string(tokens, '|') || ':', ''), lambda c: ord(c)::BIGINT), lambda a, c: ((a * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, 0::BIGINT) AS h FROM tok)
+SELECT doc_id AS id, abs(h) AS hash, n AS n_tokens FROM h""")
+def vector_cache_key(spark, d):
+    key = hashing.cache_key(F.col("tokens"), F.array().cast("array<string>"))
+    parts = documents(spark, d).select("id", F.split(key, ":").alias("k"))
+    return parts.select("id", F.conv(F.col("k")[1], 36, 10).cast("long").alias("hash"), F.col("k")[2].cast("long").alias("n_tokens"))
+
+
+# ---- ingestion
+
+
+@query(r"""SELECT page_id, CASE WHEN url = '' THEN 'url_empty' WHEN NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'url_invalid'
+WHEN NOT regexp_matches(lower(url), '^https?:') THEN 'url_scheme' ELSE 'ok' END AS issue FROM (SELECT page_id, trim(coalesce(url, '')) AS url FROM pages)""")
+def url_validation(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.trim(F.coalesce("url", F.lit(""))).alias("url"))
+    return p.select("page_id", F.coalesce(ingest.url_issue(F.col("url")), F.lit("ok")).alias("issue"))
+
+
+@query("SELECT min(page_id) AS page_id, trim(url) AS url FROM pages GROUP BY trim(url)")
+def dedupe_first_wins(spark, d):
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("line_no"), "url", F.lit("some words of text here").alias("body"), F.lit(True).alias("arity_ok"))
+    return ingest.validate(rows).where("accepted").select(F.col("line_no").alias("page_id"), "url")
+
+
+@query(f"WITH {sql.tokens('(SELECT page_id, trim(coalesce(html, ' + chr(39) * 2 + ')) AS text, trim(url) AS url FROM pages)', 'page_id', 'tok', 'url')}" + """, f AS (SELECT url, min(page_id) AS first FROM tok GROUP BY url),
+v AS (SELECT page_id, CASE WHEN page_id > first THEN 'url_repeated' WHEN text = '' THEN 'body_empty' WHEN length(text) > 50000 THEN 'body_long' END AS refused, length(text) < 10 AS short, len(tokens) < 3 AS few FROM tok JOIN f USING (url))
+SELECT page_id, coalesce(refused, concat_ws(',', CASE WHEN short THEN 'body_short' END, CASE WHEN few THEN 'few_words' END)) AS issues, refused IS NULL AS accepted FROM v""")
+def validate_rows(spark, d):
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("line_no"), "url", F.col("html").alias("body"), F.lit(True).alias("arity_ok"))
+    return ingest.validate(rows).select(F.col("line_no").alias("page_id"), F.array_join("issues", ",").alias("issues"), "accepted")
+
+
+# ---- joins with what is known
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def processed_anti_join(spark, d):
+    done = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return documents(spark, d).select("id").join(done, "id", "left_anti")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def processed_semi_join(spark, d):
+    done = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return documents(spark, d).select("id").join(done, "id", "left_semi")
+
+
+@query(SIM + """SELECT 'https://' || s.source || '.example/' || src AS source_url, 'https://' || t.source || '.example/' || tgt AS target_url, round(sim, 6) AS score, rank
+FROM best LEFT JOIN documents s ON s.doc_id = src LEFT JOIN documents t ON t.doc_id = tgt""")
+def cached_top5(spark, d):
+    u = documents(spark, d).select("id", "url")
+    e = best(spark, d)
+    e = e.join(u.select(F.col("id").alias("src"), F.col("url").alias("source_url")), "src", "left").join(u.select(F.col("id").alias("tgt"), F.col("url").alias("target_url")), "tgt", "left")
+    return e.select("source_url", "target_url", F.round("sim", 6).alias("score"), "rank")
+
+
+# ---- results
+
+
+def results(spark, d) -> DataFrame:
+    docs = documents(spark, d)
+    lists = topics.topic_lists(docs.select("id", "tokens"))
+    t = docs.join(lists, "id").select("id", "url", F.lit("").alias("title"), "topics", text.suggested_anchor(text.document_text(F.lit(""), F.col("text"))).alias("anchor"))
+    return match.nested(t.where(SOURCES).drop("anchor"), best(spark, d), t.where(TARGETS))
+
+
+RESULTS = (
+    f"WITH {sql.tokens()}, {sql.vectors(SOURCE_SQL, TARGET_SQL)}, {sql.BEST}, {sql.topics()}, u AS MATERIALIZED (SELECT d.doc_id AS id, 'https://' || source || '.example/' || d.doc_id AS url, coalesce(topics, []) AS topics, trim(coalesce(text, '')) AS text FROM documents d LEFT JOIN top_list USING (doc_id)), "
+    f"a AS MATERIALIZED (SELECT id, url, topics, {sql.anchor('text')} AS anchor FROM u), r AS MATERIALIZED (SELECT s.id, s.url, s.topics, rank, t.url AS m_url, round(sim * 100, 2) AS pct, t.anchor, t.topics AS m_topics FROM u s LEFT JOIN best ON src = s.id LEFT JOIN a t ON tgt = t.id WHERE s.id % 2 = 0) "
+)
+
+
+@query(RESULTS + "SELECT topic, count(*) AS n FROM (SELECT DISTINCT id, url, unnest(topics) AS topic FROM u WHERE id % 2 = 0 UNION ALL SELECT id * 10 + rank, m_url, unnest(m_topics) FROM r) GROUP BY topic")
+def topic_groups(spark, d):
+    return report.topic_counts(results(spark, d))
+
+
+@query(RESULTS + "SELECT DISTINCT url, array_to_string(topics, ',') AS topics, CAST(count(m_url) OVER (PARTITION BY id) AS BIGINT) AS n_matches FROM r")
+def url_groups(spark, d):
+    return report.group_by_url(results(spark, d)).select("url", F.array_join("topics", ",").alias("topics"), F.size("matches").cast("long").alias("n_matches"))
+
+
+@query(RESULTS + "SELECT DISTINCT id FROM r WHERE contains(lower(url), 'src1.') OR contains(lower(m_url), 'src1.') OR contains(lower(anchor), 'src1.') OR len(list_filter(m_topics, lambda t: contains(lower(t), 'src1.'))) > 0 OR len(list_filter(topics, lambda t: contains(lower(t), 'src1.'))) > 0")
+def search_results(spark, d):
+    return report.search(results(spark, d), "SRC1.").select("id")
+
+
+@query("SELECT doc_id AS id, 'https://' || source || '.example/' || doc_id AS url FROM documents ORDER BY doc_id OFFSET 20 LIMIT 10")
+def paginate_results(spark, d):
+    return report.page(documents(spark, d), 3).select("id", "url")
+
+
+@query("SELECT CAST(ceil(count(*) / 10.0) AS BIGINT) AS n_pages FROM documents")
+def page_count(spark, d):
+    return report.n_pages(documents(spark, d))
+
+
+@query(RESULTS + "SELECT url AS source_url, coalesce(m_url, '') AS match_url, pct AS similarity, coalesce(array_to_string(m_topics, '; '), '') AS match_topics, coalesce(array_to_string(topics, '; '), '') AS source_topics FROM r")
+def export_rows(spark, d):
+    m = results(spark, d).select("url", "topics", F.explode_outer("matches").alias("m"))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return m.select(F.col("url").alias("source_url"), blank(F.col("m.url")).alias("match_url"), F.round(F.col("m.similarity") * 100, 2).alias("similarity"), blank(F.array_join("m.topics", "; ")).alias("match_topics"), blank(F.array_join("topics", "; ")).alias("source_topics"))
+
+
+# ---- candidates
+
+
+@query(TOK + f", p AS (SELECT DISTINCT doc_id AS id, unnest(tokens) AS term FROM tok), h AS (SELECT * FROM p WHERE term IN ({', '.join(repr(t) for t in TERMS)})) SELECT id FROM h GROUP BY id HAVING count(*) = (SELECT count(DISTINCT term) FROM h)")
+def inverted_search(spark, d):
+    return indexes.search_all(indexes.postings(documents(spark, d)), TERMS)
+
+
+@query(rf"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[{sql.SPACE}]+')) AS w FROM documents), h AS (SELECT DISTINCT doc_id AS id, substr(w, 1, 3) AS term FROM w WHERE length(w) >= 3 AND substr(w, 1, 3) IN ({', '.join(repr(t) for t in PREFIXES)})) SELECT id FROM h GROUP BY id HAVING count(*) = (SELECT count(DISTINCT term) FROM h)")
+def prefix_search(spark, d):
+    return indexes.search_all(indexes.prefix_postings(documents(spark, d)), PREFIXES)
+
+
+_SIGN = TOK + f", p AS (SELECT DISTINCT doc_id, unnest(tokens) AS term FROM tok), v AS MATERIALIZED (SELECT term, {sql.padded('term')} AS v FROM (SELECT DISTINCT term FROM p)), s AS MATERIALIZED (SELECT doc_id, {sql.signature(LSH.hashes)} AS sig FROM p JOIN v USING (term) GROUP BY doc_id) "
+
+
+@query(_SIGN + "SELECT doc_id AS id, array_to_string(sig, ',') AS sig FROM s")
+def minhash_signature(spark, d):
+    return indexes.signatures(documents(spark, d), LSH).select("id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
+
+
+@query(_SIGN + ", b AS (SELECT doc_id, i, array_to_string(sig[i * 4 + 1 : i * 4 + 4], ',') AS bucket FROM s, range(8) t(i)) SELECT DISTINCT q.doc_id AS query, d.doc_id AS id FROM b q JOIN b d USING (i, bucket) WHERE q.doc_id % 100 = 0")
+def lsh_candidates(spark, d):
+    docs = documents(spark, d).select("id", "tokens")
+    return indexes.lsh_candidates(docs.where("id % 100 = 0"), docs, LSH)
+
+
+@query(TOK + "SELECT count(*) AS n_docs, 32::BIGINT AS n_hashes, 8::BIGINT AS n_bands, round(avg(len(list_distinct(tokens))), 6) AS avg_terms FROM tok")
+def lsh_index_stats(spark, d):
+    return indexes.index_stats(documents(spark, d), LSH).withColumn("avg_terms", F.round("avg_terms", 6))
+
+
+_POS = "[" + ", ".join(f"{sql.polynomial('value', i + 1, 2**32)} % {BLOOM.bits}" for i in range(BLOOM.hashes)) + "]"
+_BLOOM = f"WITH v AS (SELECT 'https://' || source || '.example/' || doc_id AS value, doc_id FROM documents), p AS MATERIALIZED (SELECT value, doc_id, {_POS} AS pos FROM v), bits AS MATERIALIZED (SELECT DISTINCT unnest(pos) AS pos FROM p WHERE doc_id % 2 = 1) "
+
+
+def _values(spark, d, where: str = "true") -> DataFrame:
+    return documents(spark, d).where(where).select(F.col("url").alias("value"))
+
+
+@query(_BLOOM + "SELECT value, bool_and(b.pos IS NOT NULL) AS maybe FROM (SELECT value, unnest(pos) AS pos FROM p) q LEFT JOIN bits b ON b.pos = q.pos GROUP BY value")
+def bloom_probe(spark, d):
+    return indexes.bloom_probe(_values(spark, d), indexes.bloom_bits(_values(spark, d, TARGETS), BLOOM), BLOOM)
+
+
+@query(_BLOOM + f"SELECT round(pow(count(*) / {BLOOM.bits}.0::DOUBLE, {BLOOM.hashes}), 6) AS rate FROM bits")
+def bloom_fpr(spark, d):
+    return indexes.bloom_rate(indexes.bloom_bits(_values(spark, d, TARGETS), BLOOM), BLOOM).select(F.round("rate", 6).alias("rate"))
+
+
+# ---- topic model
+
+_MODEL = TOK + """, k AS (SELECT array_to_string(list_sort(tokens), '|') AS key, min(doc_id) AS doc_id FROM tok WHERE len(tokens) > 0 GROUP BY key),
+w AS MATERIALIZED (SELECT doc_id, unnest(tokens) AS word FROM tok WHERE doc_id IN (SELECT doc_id FROM k)), f AS (SELECT word, count(*)::DOUBLE AS f FROM w GROUP BY word),
+u AS MATERIALIZED (SELECT doc_id, word, f FROM (SELECT DISTINCT * FROM w) JOIN f USING (word)), n AS (SELECT doc_id, 1 + ln(count(*)::DOUBLE) AS size FROM u GROUP BY doc_id),
+s AS (SELECT a.doc_id, a.word, a.f, coalesce(sum(CASE WHEN a.word <> b.word THEN ln(1 + a.f * b.f) END), 0) AS s FROM u a JOIN u b USING (doc_id) GROUP BY ALL),
+t AS MATERIALIZED (SELECT doc_id, word, f FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 6) DESC, word) <= 20),
+x AS MATERIALIZED (SELECT a.word, sum(coalesce(CASE WHEN a.word <> b.word THEN ln(1 + a.f * b.f) / size END, 0)) AS score FROM t a JOIN t b USING (doc_id) JOIN n USING (doc_id) GROUP BY a.word)"""
+
+
+@query(_MODEL + "SELECT word, round(score, 6) AS score FROM x")
+def topic_model_word_scores(spark, d):
+    return topics.train(documents(spark, d)).select("word", F.round("score", 6).alias("score"))
+
+
+_DOC_TOPICS = _MODEL + ", g AS (SELECT word, unnest(['topic_0', 'topic_1']) AS topic, score FROM x WHERE score >= 0.2), dt AS MATERIALIZED (SELECT doc_id, topic, sum(score) AS score FROM (SELECT doc_id, unnest(tokens) AS word FROM tok) JOIN g USING (word) GROUP BY ALL HAVING sum(score) > 0.2) "
+
+
+@query(_DOC_TOPICS + "SELECT doc_id AS id, topic, round(score, 4) AS score FROM dt")
+def topic_model_documents(spark, d):
+    docs = documents(spark, d)
+    return topics.document_topics(docs, topics.assign(topics.train(docs))).select("id", "topic", F.round("score", 4).alias("score"))
+
+
+@query(_DOC_TOPICS + ", l AS (SELECT doc_id, count(*) AS n FROM dt GROUP BY doc_id) SELECT p.doc_id AS a, p.doc_id + 1 AS b, least(coalesce(x.n, 0), coalesce(y.n, 0)) >= 1 AS related FROM documents p LEFT JOIN l x ON x.doc_id = p.doc_id LEFT JOIN l y ON y.doc_id = p.doc_id + 1")
+def related_documents(spark, d):
+    docs = documents(spark, d)
+    pairs = docs.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    return topics.related(pairs, topics.document_topics(docs, topics.assign(topics.train(docs))))
+
+
+# ---- errors
+
+_MESSAGES = ["Network unreachable", "parsing failed", "SecurityError raised", "authentication refused", "bad format", "request timeout"]
+_COMPONENTS, _SEVERITIES = ["worker", "store", "csv", "tfidf"], ["low", "medium", "high", "critical"]
+
+
+def reports(spark, d) -> DataFrame:
+    pick = lambda xs, c: F.element_at(F.array(*[F.lit(x) for x in xs]), (c % len(xs) + 1).cast("int"))
+    e = table(spark, d, "events").where("event_type = 'error'")
+    e = e.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), pick(_MESSAGES, F.col("event_id")).alias("message"), pick(_COMPONENTS, F.col("user_id")).alias("component"), F.lit("run").alias("operation"), pick(_SEVERITIES, F.col("event_id") + F.col("user_id")).alias("severity"))
+    return e.withColumn("recoverable", errors.recoverable(F.col("message"), F.col("component")))
+
+
+_ERR = f"""WITH e AS (SELECT event_id AS id, ts, {_MESSAGES}[event_id % 6 + 1] AS message, {_COMPONENTS}[user_id % 4 + 1] AS component, {_SEVERITIES}[(event_id + user_id) % 4 + 1] AS severity FROM events WHERE event_type = 'error'),
+r AS (SELECT *, CASE WHEN regexp_matches(lower(message), 'fetch|invalid input|network|out of memory|rate limit|timeout|vector dimensions mismatch|worker terminated') THEN true WHEN component = 'worker' THEN NOT contains(message, 'SecurityError')
+WHEN component = 'store' THEN NOT contains(message, 'authentication') WHEN component = 'csv' THEN contains(message, 'parsing') OR contains(message, 'format') ELSE false END AS recoverable FROM e),
+l AS (SELECT * FROM r ORDER BY ts DESC, id DESC LIMIT 100) """
+
+
+@query(_ERR + "SELECT count(*) AS total_errors, count_if(epoch_us((SELECT max(ts) FROM r)) - epoch_us(ts) < 300000000)::BIGINT AS recent_errors, round(coalesce(count_if(recoverable) * 100.0::DOUBLE / count(*), 0), 6) AS recoverable_percent FROM l")
+def error_stats(spark, d):
+    r = reports(spark, d)
+    now = r.agg(F.max("ts").alias("now"))
+    out = errors.statistics(r.join(F.broadcast(now), how="cross").select(*r.columns, "now"), F.col("now"))
+    return out.select("total_errors", "recent_errors", F.round(F.col("recoverable_percent").cast("double"), 6).alias("recoverable_percent"))
+
+
+@query(_ERR + "SELECT component, count(*) AS n FROM l GROUP BY component")
+def errors_by_component(spark, d):
+    return errors.by(reports(spark, d), "component")
+
+
+@query(_ERR + "SELECT severity, count(*) AS n FROM l GROUP BY severity")
+def errors_by_severity(spark, d):
+    return errors.by(reports(spark, d), "severity")
