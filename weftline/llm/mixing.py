@@ -61,9 +61,9 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     sized = written(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    t = targets.select(F.col("source").alias("of_source"), "source_size", "target")
-    both = _by_source(sized, t).drop("of_source")
-    return both.withColumn("rate", _rate()).withColumn("copies", _copies(seed)).withColumn("taken", F.col("copies") * F.col("size"))
+    t = targets.select(F.col("source").alias("__of"), "source_size", "target")
+    both = _by_source(sized, t)
+    return both.withColumn("rate", _rate()).withColumn("copies", _copies(F.col("rate"), seed)).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 #: Rows of one source are joined in so many parts, so that a source of a third of all rows is no single task.
@@ -71,28 +71,28 @@ SALTS = 8
 
 
 def _by_source(rows: DataFrame, of_source: DataFrame) -> DataFrame:
-    """rows with the columns of of_source (of_source, ...), a row for each source; broadcast only if Spark finds it small."""
+    """rows with the columns of of_source (a row for each source, __of); broadcast only if Spark finds it small."""
     of_source = written(of_source, "mix-targets").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("__part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(of_source, (F.col("__part") == F.col("__salt")) & F.col("source").eqNullSafe(F.col("of_source"))).drop("__part", "__salt")
+    return salted.join(of_source, (F.col("__part") == F.col("__salt")) & F.col("source").eqNullSafe(F.col("__of"))).drop("__part", "__salt", "__of")
 
 
 def _rate() -> Column:
     return F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
 
 
-def _copies(seed: int) -> Column:
+def _copies(rate: Column, seed: int) -> Column:
     named = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     drawn = F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
-    return F.floor("rate") + F.when(drawn < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
     """The mix itself: docs with every row as often as mix_plan says, all columns kept."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = docs.select("source", size.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = source_targets(sizes, weights, share, cap).select(F.col("source").alias("of_source"), _rate().alias("rate"))
-    return _by_source(docs, rates).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), _copies(seed).cast("int")))).select(*docs.columns)
+    rates = source_targets(sizes, weights, share, cap).select(F.col("source").alias("__of"), _rate().alias("__rate"))
+    return _by_source(docs, rates).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), _copies(F.col("__rate"), seed).cast("int")))).select(*docs.columns)
 
 
 def op10_mix(spark, sf_dir: str) -> DataFrame:
