@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 
 def compare(spark, folder, query, statement):
@@ -14,5 +15,5 @@ def compare(spark, folder, query, statement):
 
 
 def _rows(df, columns):
-    plain = lambda v: "" if v is None or v != v else int(v) if isinstance(v, float) and v.is_integer() else v
+    plain = lambda v: "" if pd.isna(v) else int(v) if isinstance(v, float) and v.is_integer() else v
     return sorted((tuple(plain(v) for v in r) for r in df[columns].astype(object).itertuples(index=False)), key=repr)
