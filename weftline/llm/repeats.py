@@ -19,11 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, text_of, written
+from .common import LAST_ID, release, text_of, written
 
 LENGTH, GRAM = 50, 16
 #: Windows of a segment at most; a longer run of one anchor is cut into several.
-SEGMENT = 2048
+SEGMENT = 256
 #: Bytes of distinct segments that are indexed together; an anchor that has more goes by parts of the
 #: hashes of its windows, each with its own index.
 INDEX_BYTES = 1 << 20
@@ -81,30 +81,37 @@ class RunIndex:
         of = np.repeat(np.arange(len(parts)), sizes + 1)
         left = stops[of] - np.arange(n)  # bytes up to the sign
 
-        # rank by 7 bytes, then 14, 28, 56 and so on; a suffix that reaches its sign is unlike any other
-        size, key = 7, np.zeros(n + 7, np.int64)
+        # rank by 7 bytes, then 14, 28, 56 and so on; a suffix that reaches its sign is unlike any other.
+        # A rank is the first row of its group, and only groups of several rows are sorted again.
+        size, key = 7, np.zeros(n, np.int64)
         for i in range(size):
-            t = np.where(left >= i, np.r_[text[i:], np.zeros(i, np.int64)], 0)
-            key[:n] |= t << (9 * (size - 1 - i))
-        order = np.argsort(key[:n], kind="stable")
-
-        def ranks(k: np.ndarray, size: int) -> np.ndarray:
-            new = np.ones(n, bool)
-            new[1:] = (k[1:] != k[:-1]) | (left[order[1:]] < size)
-            r = np.empty(n, np.int64)
-            r[order] = np.cumsum(new) - 1
-            return r
-
-        rank, half = ranks(key[order], size), None
+            t = np.zeros(n, np.int64)
+            t[: n - i] = text[i:]
+            key |= np.where(left >= i, t, 0) << (9 * (size - 1 - i))
+        order = np.argsort(key)
+        at = np.flatnonzero(left[order] < size)
+        order[at] = order[at][np.lexsort((order[at], key[order[at]]))]
+        new = np.ones(n, bool)
+        new[1:] = (key[order[1:]] != key[order[:-1]]) | (left[order[1:]] < size)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        half = None
         while True:
-            if size <= length < 2 * size:
-                half, half_size = rank, size
-            if half is not None and rank.max() == n - 1:
-                break
-            ahead = np.minimum(np.arange(n) + size, n - 1)
-            pair = rank * (n + 1) + np.where(left >= size, rank[ahead], 0)
-            order = np.argsort(pair, kind="stable")
-            size, rank = 2 * size, ranks(pair[order], 2 * size)
+            if half is None and size <= length < 2 * size:
+                half, half_size = rank.copy(), size
+            tied = np.flatnonzero(~new | np.r_[~new[1:], False])
+            if not len(tied):
+                if half is not None:
+                    break
+                size *= 2
+                continue
+            own = order[tied]
+            pair = rank[own] * (n + 1) + np.where(left[own] >= size, rank[np.minimum(own + size, n - 1)], 0)
+            sort = np.argsort(pair)
+            order[tied], own, pair = own[sort], own[sort], pair[sort]
+            new[tied] = np.r_[True, pair[1:] != pair[:-1]]
+            rank[own] = np.maximum.accumulate(np.where(new[tied], tied, 0))
+            size *= 2
         before = np.where(order > 0, text[order - 1], 0)
         before[(order == 0) | ~keep[order - 1]] = 0
 
@@ -117,12 +124,14 @@ class RunIndex:
         to[by_sign] = np.cumsum(run_sizes[by_sign]) - run_sizes[by_sign]
         self.head, self.to, self.signs = head, to, signs
         self.run_ends = order[np.r_[head[1:], n] - 1]
+        self.run_of = np.repeat(np.arange(len(head), dtype=np.int32), run_sizes)  # where a row's run is found
 
         second = half[np.minimum(order + length - half_size, n - 1)]
         a, full = half[order], left[order] >= length
         new = np.r_[True, (a[1:] != a[:-1]) | (second[1:] != second[:-1]) | ~full[1:] | ~full[:-1]]
         self.interval = np.flatnonzero(new)
         self.least = np.minimum.reduceat(ids[of[order]], self.interval)
+        self.interval_of = np.cumsum(new, dtype=np.int32) - 1
         self.sizes = sizes
         self.length = length
 
@@ -140,11 +149,11 @@ class RunIndex:
         for step in range(1, int(self.sizes.max(initial=0)) + 1):
             alive = int(np.searchsorted(sorted_sizes, -step, "right"))
             rows = rows[:alive]
-            run = np.searchsorted(self.head, rows, "right") - 1
+            run = self.run_of[rows]
             rows = self.to[run] + rows - self.head[run]
             if step >= self.length:
                 which = by_size[:alive]
-                out[begin[which] + self.sizes[which] - step] = self.least[np.searchsorted(self.interval, rows, "right") - 1]
+                out[begin[which] + self.sizes[which] - step] = self.least[self.interval_of[rows]]
         return out, begin
 
 
@@ -172,11 +181,11 @@ def _bytes_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows h, pk in order: the distinct rows of each h that has two pk. Holds a batch and one row."""
+    """Of rows h, th in order: the distinct rows of each h that has two th. Holds a batch and one row."""
     h0 = p0 = None
-    sent = False  # whether the last h has been found to have two pk
+    sent = False  # whether the last h has been found to have two th
     for batch in batches:
-        h, p = batch["h"].to_numpy(), batch["pk"].to_numpy()
+        h, p = batch["h"].to_numpy(), batch["th"].to_numpy()
         if h0 is not None:
             h, p = np.r_[h0, h], np.r_[p0, p]
         new = np.r_[True, (h[1:] != h[:-1]) | (p[1:] != p[:-1])]
@@ -190,96 +199,130 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             many[0] = False
         sent_now = bool(size[-1] > 1 or (sent and number[-1] == 0))
         h0, p0, sent = h[-1:], p[-1:], sent_now
-        yield pa.record_batch({"pk": p[many], "h": h[many]})
+        yield pa.record_batch({"th": p[many], "h": h[many]})
+
+
+def _seg_hash(seg: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(seg) - 2**63
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows anchor, seg_hash, seg, low, high in order of anchors: runs of windows and the least id of each."""
-    held: list[tuple] = []
+    """Of rows anchor, seg, low, high in order of anchor and seg: runs of windows and the least id of each."""
+    held: list[list] = []
 
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        anchor, seg_hash, seg, low, high = zip(*rows)
+    def flush(rows: list[list]) -> pa.RecordBatch:
+        anchor, seg, low, high = zip(*rows)
         low, high = np.array(low), np.array(high)
         values, begin = least_ids(list(seg), low)
-        ends = np.r_[begin[1:], len(values)]
-        of = np.repeat(np.arange(len(rows)), ends - begin)
+        of = np.repeat(np.arange(len(rows)), np.r_[begin[1:], len(values)] - begin)
         new = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]) | (of[1:] != of[:-1])])
         stop = np.r_[new[1:], len(values)]
         use = values[new] < high[of[new]]
         new, stop = new[use], stop[use]
         o = of[new]
-        return pa.record_batch({
-            "anchor": np.array(anchor, np.int64)[o], "seg_hash": np.array(seg_hash, np.int64)[o],
-            "f": (new - begin[o]).astype(np.int32), "t": (stop - begin[o]).astype(np.int32), "m": values[new],
-        })
+        hashes = np.fromiter(map(_seg_hash, seg), np.int64, len(seg))
+        return pa.record_batch({"anchor": (np.array(anchor, np.int64)[o] & 0x7FFFFFFF).astype(np.int32), "seg_hash": hashes[o], "f": (new - begin[o]).astype(np.int32), "t": (stop - begin[o]).astype(np.int32), "m": values[new]})
 
     size = 0
     for batch in batches:
-        for row in zip(*(batch[c].to_pylist() for c in ("anchor", "seg_hash", "seg", "low", "high"))):
-            if size >= INDEX_BYTES and row[0] != held[-1][0]:
+        for anchor, seg, low, high in zip(*(batch[c].to_pylist() for c in ("anchor", "seg", "low", "high"))):
+            last = held[-1] if held else None
+            if last and last[0] == anchor and last[1] == seg:
+                last[2], last[3] = min(last[2], low), max(last[3], high)
+                continue
+            if size >= INDEX_BYTES and anchor != last[0]:
                 yield flush(held)
                 held, size = [], 0
-            held.append(row)
-            size += len(row[2])
+            held.append([anchor, seg, low, high])
+            size += len(seg)
     if held:
         yield flush(held)
 
 
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            b = batch.slice(i, 500)
+            own = [np.unique(window_anchors(np.frombuffer(t, np.uint8))) for t in _bytes_of(b, "text")]
+            sizes = [len(o) for o in own]
+            if sum(sizes):
+                yield pa.record_batch({"h": np.concatenate(own).view(np.int64), "th": np.repeat(b["th"].to_numpy(), sizes)})
+
+
+def _shared_segments(batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """Row of batch (text, hs), and anchor, first window and bytes of each segment whose anchor is in hs."""
+    for i in range(0, batch.num_rows, 200):
+        b = batch.slice(i, 200)
+        for j, (text, hs) in enumerate(zip(_bytes_of(b, "text"), b["hs"])):
+            a, first, end = segments(text)
+            use = np.flatnonzero(np.isin(a, np.asarray(hs.values).view(np.uint64)))
+            yield i + j, [(x, f, text[f : e + LENGTH - 1]) for x, f, e in zip(a[use].view(np.int64).tolist(), first[use].tolist(), end[use].tolist())]
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments with the least and greatest id, combined over each batch: copies within it cost one row."""
+    for batch in batches:
+        ids, seen = batch["id"].to_pylist(), {}
+        for row, own in _shared_segments(batch):
+            i = ids[row]
+            for anchor, _, seg in own:
+                known = seen.get(seg)
+                if known is None:
+                    seen[seg] = [anchor, seg, i, i]
+                else:
+                    known[2], known[3] = min(known[2], i), max(known[3], i)
+        if seen:
+            anchor, seg, low, high = zip(*seen.values())
+            yield pa.record_batch({"anchor": pa.array(anchor, pa.int64()), "seg": pa.array(seg, pa.binary()), "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())})
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"anchor": pa.int32(), "seg_hash": pa.int64(), "id": pa.int64(), "pk": pa.int64(), "th": pa.int32(), "at": pa.int32()}
+    for batch in batches:
+        key = list(zip(*(batch[c].to_pylist() for c in ("id", "pk", "th"))))
+        rows = [(anchor & 0x7FFFFFFF, _seg_hash(seg), *key[row], f) for row, own in _shared_segments(batch) for anchor, f, seg in own]
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """texts (pk, doc_id, id, th, text) in partitions by pk, and spans (pk, th, b, e) of bytes to remove, which may overlap.
 
-    The texts are shuffled once; the three steps that read them reuse that shuffle.
+    Equal texts are told apart from others by SHA-256; only the one with the smallest id is looked into, and
+    the others go whole. Anchors are counted by the texts' 64-bit hashes. Two steps shuffle the texts by
+    pk, the second drops the shuffle of the first; only lists of anchors and marks are kept between them.
     """
+    spark = docs.sparkSession
     key = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), text_of().alias("text"))
     key = key.select(F.when(F.col("id") == LAST_ID, F.xxhash64("text")).otherwise(F.col("id")).alias("pk"), "doc_id", "id", F.xxhash64("text").alias("th"), "text")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    texts = key.repartition(parts, "pk")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
-    each = key.select("pk", "id", "th", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").alias("n"))
-    each = written(each, "repeats-keys")
-    first = each.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    copies = each.join(first, "sha").where("id > first").select("pk", "th", "n")
+    each = written(key.select("pk", "id", "th", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n")).distinct(), "repeats-keys")
+    first = each.groupBy("sha").agg(F.min("id").alias("first"))
+    ranked = each.join(first, "sha")
+    own = ranked.where("id = first").select("pk", "th").distinct()
+    copies = ranked.where("id > first").select("pk", short_hash().alias("th"), "n")
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                b = batch.slice(i, 500)
-                own = [np.unique(window_anchors(np.frombuffer(t, np.uint8))) for t in _bytes_of(b, "text")]
-                sizes = [len(o) for o in own]
-                if sum(sizes):
-                    yield pa.record_batch({"h": np.concatenate(own).view(np.int64), "pk": np.repeat(b["pk"].to_numpy(), sizes)})
-
-    own = texts.join(copies.select("pk", "th").hint("shuffle_hash"), ["pk", "th"], "left_anti")
-    own = own.select("pk", "text").mapInArrow(anchors, "h long, pk long")
-    shared = own.repartition(parts, "h").sortWithinPartitions("h", "pk").mapInArrow(_repeated, "pk long, h long")
-    lists = shared.groupBy("pk").agg(F.collect_list("h").alias("hs"))
+    anchors = key.select("th", "text").mapInArrow(_anchors, "h long, th long")
+    shared = anchors.repartition(parts, "h").sortWithinPartitions("h", "th").mapInArrow(_repeated, "th long, h long")
+    lists = shared.groupBy("th").agg(F.collect_list("h").alias("hs")).join(own, "th").groupBy("pk").agg(F.flatten(F.collect_list("hs")).alias("hs"))
     lists = written(lists, "repeats-anchors")
+    release(spark)
 
-    def cut(with_bytes: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(0, batch.num_rows, 200):
-                    b = batch.slice(i, 200)
-                    rows = []
-                    for pk, id_, th, text, hs in zip(b["pk"].to_pylist(), b["id"].to_pylist(), b["th"].to_pylist(), _bytes_of(b, "text"), b["hs"]):
-                        a, first, end = segments(text)
-                        use = np.flatnonzero(np.isin(a, np.asarray(hs.values).view(np.uint64)))
-                        for anchor, f, e in zip(a[use].view(np.int64).tolist(), first[use].tolist(), end[use].tolist()):
-                            seg = text[f : e + LENGTH - 1]
-                            h = xxhash.xxh3_64_intdigest(seg) - 2**63
-                            rows.append((anchor, h, id_, seg) if with_bytes else (anchor, h, id_, pk, th, f))
-                    if rows:
-                        yield pa.record_batch([pa.array(c, pa.binary() if with_bytes and j == 3 else pa.int64()) for j, c in enumerate(zip(*rows))], names=["anchor", "seg_hash", "id", "seg"] if with_bytes else ["anchor", "seg_hash", "id", "pk", "th", "at"])
-
-        return run
-
+    texts = key.withColumn("th", short_hash()).repartition(parts, "pk")
     found = texts.join(lists.hint("shuffle_hash"), "pk").select("pk", "id", "th", "text", "hs")
-    distinct = found.mapInArrow(cut(True), "anchor long, seg_hash long, id long, seg binary").groupBy("anchor", "seg_hash", "seg").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    marks = distinct.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_marks, "anchor long, seg_hash long, f int, t int, m long")
-    marks = written(marks, "repeats-marks")
-    places = found.mapInArrow(cut(False), "anchor long, seg_hash long, id long, pk long, th long, at long")
-    spans = places.join(marks, ["anchor", "seg_hash"]).where("m < id").select("pk", "th", (F.col("at") + F.col("f")).alias("b"), (F.col("at") + F.col("t") + LENGTH - 1).alias("e"))
-    return texts, spans.union(copies.where(F.col("n") >= LENGTH).select("pk", "th", F.lit(0).cast("long"), F.col("n").cast("long")))
+    distinct = found.mapInArrow(_distinct, "anchor long, seg binary, low long, high long").repartition(parts, "anchor").sortWithinPartitions("anchor", "seg")
+    marks = written(distinct.mapInArrow(_marks, "anchor int, seg_hash long, f int, t int, m long"), "repeats-marks")
+    release(spark)
+
+    places = found.mapInArrow(_places, "anchor int, seg_hash long, id long, pk long, th int, at int")
+    spans = places.join(marks, ["anchor", "seg_hash"]).where("m < id").select("pk", "th", (F.col("at") + F.col("f")).cast("long").alias("b"), (F.col("at") + F.col("t") + LENGTH - 1).cast("long").alias("e"))
+    return texts, spans.union(copies.where(F.col("n") >= LENGTH).select("pk", "th", F.lit(0).cast("long"), "n"))
+
+
+def short_hash():
+    """32 bits of th: they only part texts of one pk."""
+    return F.col("th").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -323,3 +366,29 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 def op2_repeats(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP2_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), part AS (
+  SELECT doc_id, c, substr(h, CAST(2000 * c + 1 AS BIGINT), 2098) AS h FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2000 + 1 AS BIGINT))) AS c FROM d)
+), w AS MATERIALIZED (
+  SELECT doc_id, 1000 * c + p AS p, substr(h, CAST(2 * p + 1 AS BIGINT), 100) AS s
+  FROM (SELECT doc_id, c, h, unnest(range(0, least(1000, CAST(length(h) // 2 - 49 AS BIGINT)))) AS p FROM part WHERE length(h) >= 100)
+), f AS (
+  SELECT s, min(doc_id) AS first FROM w GROUP BY s
+), m AS (
+  SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM w JOIN f USING (s) WHERE first < doc_id
+), run AS (
+  SELECT doc_id, min(p) AS b, max(p) + 50 AS e FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM m) GROUP BY doc_id, n
+), gap AS (
+  SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS before FROM run
+), cut AS (
+  SELECT doc_id, CAST(sum(e - b) AS BIGINT) AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (b - before) AS BIGINT)), '' ORDER BY b) AS kept
+  FROM gap JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
