@@ -17,6 +17,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_search": search.OP1_SQL,
+    "op2_repeats": repeats.OP2_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_warc": warc.OP6_SQL,
     "op10_mix": mixing.OP10_SQL,
