@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ ALIASES = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalise(text: Column) -> Column:
     """Lower case, letters and single spaces only; other characters are deleted, not replaced."""
     letters = F.regexp_replace(F.lower(text), rf"[^\p{{L}}{SPACE}]", "")
@@ -32,10 +39,14 @@ def normalise(text: Column) -> Column:
 
 def detect_language(text: Column) -> Column:
     """The first language with a trigger word in text, else ja by script, else en. Word bounds are ASCII ones."""
-    lower, found = F.lower(text), F.when(F.lit(False), "en")
-    for lang, words in TRIGGERS.items():
-        found = found.when(lower.rlike(rf"(?<![A-Za-z0-9_])({'|'.join(words.split())})(?![A-Za-z0-9_])"), lang)
-    return found.when(text.rlike(KANA), "ja").otherwise("en")
+
+    def first(lower: Column) -> Column:
+        found = F.when(F.lit(False), "en")
+        for lang, words in TRIGGERS.items():
+            found = found.when(lower.rlike(rf"(?<![A-Za-z0-9_])({'|'.join(words.split())})(?![A-Za-z0-9_])"), lang)
+        return found.when(lower.rlike(KANA), "ja").otherwise("en")
+
+    return let(F.lower(text), first)
 
 
 def language_code(name: Column) -> Column:
@@ -50,16 +61,18 @@ def drop_stopwords(tokens: Column, least: int = 3, lang: Column | None = None) -
 
     Also drops what is shorter than least or not all Latin letters.
     """
-    lang = detect_language(F.array_join(tokens, " ")) if lang is None else lang
     keep = lambda t: (F.length(F.trim(t)) >= least) & t.rlike(LATIN)
 
-    def without(words: tuple[str, ...]) -> Column:
-        return F.filter(tokens, lambda t: keep(t) & ~F.lower(t).isin(*words)) if words else F.filter(tokens, keep)
+    def without(own: Column, words: tuple[str, ...]) -> Column:
+        return F.filter(own, lambda t: keep(t) & ~F.lower(t).isin(*words)) if words else F.filter(own, keep)
+
+    def by_language(own: Column, code: Column) -> Column:
+        out = without(own, stopwords("en"))
+        for other in LANGUAGES[1:]:
+            out = F.when(code == other, without(own, stopwords(other))).otherwise(out)
+        return out
 
-    out = without(stopwords("en"))
-    for code in LANGUAGES[1:]:
-        out = F.when(lang == code, without(stopwords(code))).otherwise(out)
-    return out
+    return let(tokens, lambda own: let(detect_language(F.array_join(own, " ")) if lang is None else lang, lambda code: by_language(own, code)))
 
 
 def words(text: Column) -> Column:
@@ -79,7 +92,7 @@ def document_text(title: Column, body: Column) -> Column:
 def suggested_anchor(text: Column) -> Column:
     """The first three meaningful words of the target's text, the one or two there are, else its first 30 characters."""
     found = drop_stopwords(F.filter(F.split(normalise(text), " "), lambda w: F.length(w) >= 3))
-    return F.when(F.size(found) == 0, F.substring(text, 1, 30)).otherwise(F.array_join(F.slice(found, 1, 3), " "))
+    return let(found, lambda f: F.when(F.size(f) == 0, F.substring(text, 1, 30)).otherwise(F.array_join(F.slice(f, 1, 3), " ")))
 
 
 def document_issues(tokens: Column, least: int = 3) -> Column:
