@@ -286,15 +286,15 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """texts (pk, doc_id, id, th, text) in partitions by pk, and spans (pk, th, b, e) of bytes to remove, which may overlap.
+    """texts (pk, id, th, text) in partitions by pk, and spans (pk, th, b, e) of bytes to remove, which may overlap.
 
     Equal texts are told apart from others by SHA-256; only the one with the smallest id is looked into, and
     the others go whole. Anchors are counted by the texts' 64-bit hashes. Two steps shuffle the texts by
     pk, the second drops the shuffle of the first; only lists of anchors and marks are kept between them.
     """
     spark = docs.sparkSession
-    key = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), text_of().alias("text"))
-    key = key.select(F.when(F.col("id") == LAST_ID, F.xxhash64("text")).otherwise(F.col("id")).alias("pk"), "doc_id", "id", F.xxhash64("text").alias("th"), "text")
+    key = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), text_of().alias("text"))
+    key = key.select(F.when(F.col("id") == LAST_ID, F.xxhash64("text")).otherwise(F.col("id")).alias("pk"), "id", F.xxhash64("text").alias("th"), "text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     each = written(key.select("pk", "id", "th", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n")).distinct(), "repeats-keys")
@@ -361,7 +361,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + ([pa.binary(), pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))] if with_text else [])
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + (["kept", "spans"] if with_text else [])
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<struct<b:long,e:long>>" if with_text else "")
-    return texts.join(of.hint("shuffle_hash"), "pk", "left").select("doc_id", "th", "text", "spans").mapInArrow(remove, schema)
+    # the same columns of texts as in repeated_spans, so that Spark reuses their shuffle
+    rows = texts.join(of.hint("shuffle_hash"), "pk", "left")
+    return rows.select(F.when(F.col("id") < LAST_ID, F.col("id")).alias("doc_id"), "th", "text", "spans").mapInArrow(remove, schema)
 
 
 def op2_repeats(spark, sf_dir: str) -> DataFrame:
