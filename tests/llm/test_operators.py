@@ -57,6 +57,13 @@ def test_search_equals_brute_force(spark, docs, monkeypatch, shard_docs):
     assert rows(search.search(docs, q, k=4), "query_id", "rank", "doc_id", "score") == brute_search(texts(), asked, 4)
 
 
+def test_search_with_frequent_terms_alone(spark):
+    corpus = [(i, "common " * (1 + i % 3) + prose(i, 5)) for i in range(100)]
+    q = spark.createDataFrame([(1, "common"), (2, "none")], "query_id long, text string")
+    got = rows(search.search(frame(spark, corpus), q, k=7), "query_id", "rank", "doc_id", "score")
+    assert got == brute_search(corpus, [(1, "common")], 7)
+
+
 def test_search_of_empty_tables(spark, docs):
     q = docs.select(F.col("doc_id").alias("query_id"), "text")
     assert search.search(docs.limit(0), q).count() == 0

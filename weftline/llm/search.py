@@ -3,8 +3,9 @@
 A shard indexes the documents of one task. Statistics that scores depend on (documents, mean length,
 document frequencies) are summed over all shards first, so shard scores are global ones and the
 merge of the shards' top k is exact. In a shard the postings of rare terms are added up, and the
-frequent terms bound what each block of 32 documents can still get (block maxima); only documents
-whose bound reaches the k-th best score so far, the pivots, are scored in full.
+frequent terms bound what each block of 32 documents can still get (block maxima); blocks are taken
+the most promising first, and only those whose bound reaches a query's k-th best score so far, the
+pivots, are scored in full.
 """
 
 from __future__ import annotations
@@ -28,8 +29,12 @@ SHARD_DOCS, SHARD_WORDS = 8192, 6_000_000
 #: A term in more than this share of a shard's documents is frequent.
 FREQUENT = 0.03
 BLOCK_DOCS = 32
+#: Blocks by which each query's threshold is found before the others are judged.
+FIRST_BLOCKS = 4
+#: Bounds and scores are compared with so much room, for rounding to 6 decimals.
+MARGIN = 1e-5
 #: Queries that are read at a time; memory doesn't depend on how many there are.
-QUERY_BLOCK = 256
+QUERY_BLOCK = 512
 #: Words: digits, letters a-z and all that isn't ASCII; A-Z in lower case. One byte for one byte.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -108,8 +113,9 @@ def query_weights(queries: DataFrame, shards: DataFrame, n_docs: int) -> DataFra
                 f = np.load(open_input(uri))
                 yield pa.record_batch({"term": f["terms"].view(np.int64), "df": np.diff(f["first"])})
 
+    # the shards' list is tiny and what is read by it isn't, which Spark can't tell: hence the hint
     asked = written(queries.mapInArrow(terms, "query_id long, term long, n long"), "bm25-queries")
-    df = _spread(shards).mapInArrow(frequencies, "term long, df long").join(asked.select("term").distinct(), "term").groupBy("term").agg(F.sum("df").alias("df"))
+    df = _spread(shards).mapInArrow(frequencies, "term long, df long").hint("merge").join(asked.select("term").distinct(), "term").groupBy("term").agg(F.sum("df").alias("df"))
     idf = F.log1p((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return asked.join(df, "term").select("query_id", "term", (F.col("n") * idf).alias("weight"))
 
@@ -127,41 +133,76 @@ class Searcher:
         head = np.flatnonzero(df > max(BLOCK_DOCS, FREQUENT * n))
         self.head_of = np.full(len(self.terms), -1)
         self.head_of[head] = np.arange(len(head))
+        self.head_df = df[head]
         blocks = -(-n // BLOCK_DOCS)
-        self.head = np.zeros((blocks * BLOCK_DOCS, len(head)))
+        matrix = np.zeros((len(head), blocks * BLOCK_DOCS))
         for j, t in enumerate(head):
             p = slice(self.first[t], self.first[t + 1])
-            self.head[self.docs[p], j] = self.impact[p]
-        self.block_max = self.head.reshape(blocks, BLOCK_DOCS, len(head)).max(axis=1, initial=0.0)
-        self.n = n
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores (6 decimals) of the k best documents that share a term; equal scores go by id."""
+            matrix[j, self.docs[p]] = self.impact[p]
+        # documents with like frequent terms (a language, a length) share blocks, so that block maxima are tight
+        place = np.empty(n, np.int64)
+        lead = ((matrix[:, :n] > 0) * self.head_df[:, None]).argmax(axis=0) if len(head) else np.zeros(n)
+        place[np.lexsort((matrix[:, :n].sum(axis=0), lead))] = np.arange(n)
+        back = np.argsort(place)
+        matrix[:, :n] = matrix[:, back]
+        self.docs, self.ids = place[self.docs], self.ids[back]
+        self.head = np.ascontiguousarray(matrix.reshape(len(head), blocks, BLOCK_DOCS).transpose(1, 0, 2))
+        self.block_max = self.head.max(axis=2, initial=0.0).T
+        self.n, self.blocks = n, blocks
+
+    def _parts(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of one query: weights of the frequent terms, and what the rare ones give each document."""
         at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
         known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
         at, weights = at[known], weights[known]
         column = self.head_of[at]
-        w_head = np.zeros(self.head.shape[1])
-        w_head[column[column >= 0]] = weights[column >= 0]
-        tail, w = at[column < 0], weights[column < 0]
+        frequent = column >= 0
+        head = np.zeros(len(self.head_df))
+        head[column[frequent]] = weights[frequent]
+        tail, w = at[~frequent], weights[~frequent]
         sizes = self.first[tail + 1] - self.first[tail]
         ends = np.cumsum(sizes)
         postings = np.repeat(self.first[tail] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-        score = np.bincount(self.docs[postings], weights=self.impact[postings] * np.repeat(w, sizes), minlength=self.n)
-        bound = score + np.repeat(self.block_max @ w_head, BLOCK_DOCS)[: self.n]
-        m = min(self.n, 8 * k)
-        pivots = np.argpartition(-bound, m - 1)[:m] if m < self.n else np.arange(self.n)
-        full = score[pivots] + self.head[pivots] @ w_head
-        least = np.partition(full, m - k)[m - k] if m >= k else 0.0
-        rest = bound >= least - 1e-5  # a margin over rounding to 6 decimals
-        rest[pivots] = False
-        rest = np.flatnonzero(rest)
-        if len(rest):
-            pivots, full = np.r_[pivots, rest], np.r_[full, score[rest] + self.head[rest] @ w_head]
-        full = np.round(full, 6)
-        pivots, full = pivots[full > 0], full[full > 0]
-        best = np.lexsort((self.ids[pivots], -full))[:k]
-        return pivots[best], full[best]
+        # without postings bincount gives integers
+        return head, np.bincount(self.docs[postings], weights=self.impact[postings] * np.repeat(w, sizes), minlength=self.blocks * BLOCK_DOCS).astype(np.float64)
+
+    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query (terms, weights): rows and scores (6 decimals) of the k best documents that share a term; equal scores go by id.
+
+        Queries with the same most frequent term (mostly: of one language) are pruned together: what one of them may still need is scored for all, by one product of matrices.
+        """
+        parts = [self._parts(*q) for q in queries]
+        leads = np.array([((h > 0) * self.head_df).argmax() if len(h) else 0 for h, _ in parts])
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        for lead in np.unique(leads):
+            group = np.flatnonzero(leads == lead)
+            w = np.stack([parts[q][0] for q in group])
+            score = np.stack([parts[q][1] for q in group]).reshape(len(group), self.blocks, BLOCK_DOCS)
+            bound = score.max(axis=2) + w @ self.block_max
+            done = np.zeros(self.blocks, bool)
+            first = np.unique(np.argpartition(-bound, min(FIRST_BLOCKS, self.blocks - 1), axis=1)[:, :FIRST_BLOCKS])
+            self._score(score, w, first)
+            done[first] = True
+            seen = score[:, first].reshape(len(group), -1)
+            least = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k] if seen.shape[1] >= k else np.zeros(len(group))
+            rest = np.flatnonzero((bound >= least[:, None] - MARGIN).any(axis=0) & ~done)
+            self._score(score, w, rest)
+            done[rest] = True
+            rows = (np.flatnonzero(done)[:, None] * BLOCK_DOCS + np.arange(BLOCK_DOCS)).ravel()
+            for q, full in zip(group, score[:, done].reshape(len(group), -1)):
+                cut = np.partition(full, len(full) - k)[len(full) - k] if len(full) > k else 0.0
+                keep = np.flatnonzero((full > 0) & (full >= cut - MARGIN))
+                own, value = rows[keep], np.round(full[keep], 6)
+                best = np.lexsort((self.ids[own], -value))[:k]
+                best = best[value[best] > 0]
+                out[q] = own[best], value[best]
+        return out
+
+    def _score(self, score: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> None:
+        used = np.flatnonzero(w.any(axis=0))
+        w = np.ascontiguousarray(w[:, used])
+        for b in blocks:
+            score[:, b] += w @ self.head[b][used]
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K, k1: float = K1, b: float = B) -> DataFrame:
@@ -194,18 +235,22 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, k1: float = K1, b: f
                 for folder in fs.get_file_info(FileSelector(root)):
                     if not folder.base_name.startswith("block="):
                         continue
-                    out = []
                     for file in fs.get_file_info(FileSelector(folder.path)):
                         if not file.base_name.endswith(".parquet"):
                             continue
                         t = pq.read_table(fs.open_input_file(file.path), columns=["query_id", "term", "weight"])
                         q, term, weight = (t[c].to_numpy() for c in t.column_names)
-                        cut = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else []
-                        for i, j in zip(cut, np.r_[cut[1:], len(q)] if len(cut) else []):
-                            rows, score = shard.top(term[i:j].view(np.uint64), weight[i:j], k)
-                            out.append((np.full(len(rows), q[i]), shard.ids[rows], score))
-                    if out:
-                        yield pa.record_batch({n: np.concatenate(c) for n, c in zip(("query_id", "doc_id", "score"), zip(*out))})
+                        if not len(q):
+                            continue
+                        cut = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+                        pieces = list(zip(cut, np.r_[cut[1:], len(q)]))
+                        for i in range(0, len(pieces), QUERY_BLOCK):
+                            own = pieces[i : i + QUERY_BLOCK]
+                            found = shard.top([(term[a:z].view(np.uint64), weight[a:z]) for a, z in own], k)
+                            sizes = [len(rows) for rows, _ in found]
+                            rows = np.concatenate([rows for rows, _ in found])
+                            if len(rows):
+                                yield pa.record_batch({"query_id": np.repeat(q[[a for a, _ in own]], sizes), "doc_id": shard.ids[rows], "score": np.concatenate([v for _, v in found])})
 
     found = _spread(shards).mapInArrow(run, "query_id long, doc_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
