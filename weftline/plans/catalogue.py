@@ -364,7 +364,8 @@ def bloom_fpr(spark, d):
 _MODEL = TOK + """, k AS (SELECT array_to_string(list_sort(tokens), '|') AS key, min(doc_id) AS doc_id FROM tok WHERE len(tokens) > 0 GROUP BY key),
 w AS MATERIALIZED (SELECT doc_id, unnest(tokens) AS word FROM tok WHERE doc_id IN (SELECT doc_id FROM k)), f AS (SELECT word, count(*)::DOUBLE AS f FROM w GROUP BY word),
 u AS MATERIALIZED (SELECT doc_id, word, f FROM (SELECT DISTINCT * FROM w) JOIN f USING (word)), n AS (SELECT doc_id, 1 + ln(count(*)::DOUBLE) AS size FROM u GROUP BY doc_id),
-s AS (SELECT a.doc_id, a.word, a.f, coalesce(sum(CASE WHEN a.word <> b.word THEN ln(1 + a.f * b.f) END), 0) AS s FROM u a JOIN u b USING (doc_id) GROUP BY ALL),
+c AS MATERIALIZED (SELECT doc_id, f, count(*) AS n FROM u GROUP BY ALL), v AS (SELECT a.doc_id, a.f, sum(b.n * ln(1 + a.f * b.f)) - ln(1 + a.f * a.f) AS s FROM c a JOIN c b USING (doc_id) GROUP BY a.doc_id, a.f),
+s AS (SELECT u.doc_id, word, u.f, s FROM u JOIN v ON u.doc_id = v.doc_id AND u.f = v.f),
 t AS MATERIALIZED (SELECT doc_id, word, f FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 6) DESC, word) <= 20),
 x AS MATERIALIZED (SELECT a.word, sum(coalesce(CASE WHEN a.word <> b.word THEN ln(1 + a.f * b.f) / size END, 0)) AS score FROM t a JOIN t b USING (doc_id) JOIN n USING (doc_id) GROUP BY a.word)"""
 
