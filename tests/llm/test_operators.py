@@ -173,6 +173,16 @@ def test_quality_keeps_good_and_rejects_junk(spark):
     assert quality.resample(corpus, labels, k=20).count() == 20
 
 
+def test_quality_rejects_toxic_documents(spark):
+    clean = [(i, prose(i, 200)) for i in range(150)]
+    toxic = [(1000 + i, f"{prose(2000 + i, 20 + 150 * (i % 10))} {('Vileword,', 'foulword')[i % 2]} {prose(3000 + i, 60)}") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 150, 2)] + [(1000 + i, 1, 1) for i in range(20)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.resample(frame(spark, clean + toxic), labels).collect()}
+    assert not kept & set(range(1000, 1040)) and len(kept & set(range(150))) >= 148
+    kept = {r.doc_id for r in quality.resample(frame(spark, clean + toxic), labels.where("toxic = 0")).collect()}
+    assert len(kept & set(range(1000, 1040))) >= 30
+
+
 def test_top_k_cut_is_exact(spark, monkeypatch):
     r = random.Random(2)
     values = [r.choice([r.gauss(0, 1), 1.0, -3.5]) for _ in range(30000)]

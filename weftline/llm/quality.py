@@ -4,6 +4,10 @@ Words and pairs of words are hashed into buckets. The raw model counts all docum
 a bounded sample of the labelled good ones; a document's log-weight is the log-ratio of the two
 models, taken for each n-gram so that length alone neither wins nor loses. Adding Gumbel noise and
 keeping the k largest draws k documents without replacement in proportion to their weights.
+
+Toxic documents are rejected first: a second model weighs n-grams by how many labelled toxic and
+clean documents have them, and a document's score is its heaviest n-gram, so one in a long text counts
+as much as in a short one.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
+from .licenses import words_of
 
 BUCKETS = 1 << 16
 #: Labelled good documents at most that the target model and the cut are fitted on: two thirds for the
@@ -31,6 +36,10 @@ SHARPNESS = 1000.0
 LOST = 0.001
 #: Weight of the raw model within the target model, in n-grams.
 SMOOTHING = 10_000.0
+#: N-grams of the toxic model at most, the heaviest first.
+TOXIC_GRAMS = 1 << 16
+#: Of the labelled clean documents that the toxic cut is fitted on, the share that scores above it.
+CLEAN_LOST = 0.001
 SEED = 11
 
 
@@ -117,21 +126,88 @@ def top_k_cut(scores: DataFrame, k: int, column: str = "gumbel_key") -> float:
     return least
 
 
+def labelled_toxic(labels: DataFrame, limit: int = LABELLED) -> list[int]:
+    """Ids of at most limit toxic rows, chosen by their hash; null ids are left out."""
+    toxic = labels.where("toxic = 1 and doc_id is not null").select("doc_id").distinct()
+    return [r[0] for r in toxic.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()]
+
+
+def texts_of(docs: DataFrame, ids: list[int]) -> DataFrame:
+    """doc_id and text of the rows of docs with one of ids."""
+    listed = F.split(F.lit(",".join(map(str, ids))), ",").cast("array<bigint>")
+    return docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.range(1).select(F.explode(listed).alias("doc_id"))), "doc_id", "left_semi")
+
+
+def toxic_grams(text: str | None) -> np.ndarray:
+    """Hash of each distinct word and pair of neighbours, without regard to case and punctuation."""
+    words = words_of(text)
+    h = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+    return np.unique(np.concatenate([h, (h[:-1] * np.uint32(2654435761)) ^ (h[1:] * np.uint32(2246822519))]))
+
+
+def fit_toxic(docs: DataFrame, toxic_ids: list[int], clean_ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams that toxic documents have more often than clean ones, sorted, and the log-ratio of each."""
+    chosen = frozenset(toxic_ids)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                g = np.r_[np.int64(-1), toxic_grams(text).astype(np.int64)]  # -1 counts the documents
+                yield pa.record_batch({"gram": g, "toxic": np.full(len(g), int(doc_id in chosen)), "clean": np.full(len(g), int(doc_id not in chosen))})
+
+    counts = texts_of(docs, [*toxic_ids, *clean_ids]).mapInArrow(count, "gram long, toxic long, clean long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    heaviest = (F.col("gram") < 0).desc(), ((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)).desc(), "gram"
+    got = counts.where("toxic > 0 or gram < 0").orderBy(*heaviest).limit(TOXIC_GRAMS + 1).toPandas()
+    n, got = got[got.gram < 0], got[got.gram >= 0].sort_values("gram")
+    ratio = np.log((got.toxic + 0.5) / (n.toxic.sum() + 1)) - np.log((got.clean + 0.5) / (n.clean.sum() + 1))
+    return got.gram.to_numpy(np.uint32), ratio.to_numpy(np.float64)
+
+
+def toxic_score(model: tuple[np.ndarray, np.ndarray], text: Column) -> Column:
+    """The largest log-ratio of a text's n-grams; 0 without any that the model has."""
+    known, ratios = model
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        def one(t: str) -> float:
+            g = toxic_grams(t)
+            at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+            return float(max(0.0, ratios[at[known[at] == g]].max(initial=0.0)))
+
+        return pd.Series([one(t) for t in texts], dtype="float64")
+
+    return score(text)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without those that score above all but CLEAN_LOST of the labelled clean documents held out for the cut.
+
+    Without labelled toxic or clean documents nothing is rejected.
+    """
+    toxic_ids, (clean_ids, cut_ids) = labelled_toxic(labels), labelled_good(labels)
+    if not toxic_ids or not cut_ids:
+        return docs
+    model = fit_toxic(docs, toxic_ids, clean_ids)
+    held = [r[0] for r in texts_of(docs, cut_ids).select(toxic_score(model, text_of())).limit(2 * LABELLED).collect()] if len(model[0]) else []
+    if not held:
+        return docs
+    return docs.where(toxic_score(model, text_of()) <= F.lit(float(np.quantile(held, 1 - CLEAN_LOST, method="higher"))))
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The models' ratios and the cut that keeps all but LOST of the labelled good documents held out for it."""
     model_ids, cut_ids = labelled_good(labels)
     ratios = fit(docs, model_ids)
     if not cut_ids:
         return ratios, float("-inf")
-    ids = F.split(F.lit(",".join(map(str, cut_ids))), ",").cast("array<bigint>")
-    held = docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.range(1).select(F.explode(ids).alias("doc_id"))), "doc_id", "left_semi")
-    keys = [r[0] for r in keyed(held, ratios).select("gumbel_key").limit(2 * LABELLED).collect()]
+    keys = [r[0] for r in keyed(texts_of(docs, cut_ids), ratios).select("gumbel_key").limit(2 * LABELLED).collect()]
     return ratios, float(np.quantile(keys, LOST, method="lower")) if keys else float("-inf")
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """The documents that the resampling keeps: all columns of docs, and log_weight and gumbel_key.
 
+    Toxic documents (without_toxic) are no longer there when k are drawn.
     k: how many; by default as many as have a key at or over the cut, which is what the top k are for
     that k. Rows with equal keys at the k-th place are all kept. A null or empty text has weight 0 and
     no n-grams; a null id takes part and draws by its text; rows that repeat id and text share their
@@ -139,6 +215,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFr
     gives none. Columns of docs named log_weight or gumbel_key are replaced.
     """
     ratios, cut = fitted(docs, labels)
+    docs = without_toxic(docs, labels)
     scored = keyed(docs, ratios)
     if k is not None:
         cut = top_k_cut(keyed(docs.select("doc_id", "text"), ratios).select("gumbel_key"), k)
