@@ -291,6 +291,29 @@ def test_simhash_equals_brute_force(docs):
     assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
+def test_near_copies_by_similarity_equal_brute_force(spark):
+    r, corpus = random.Random(8), texts()
+    for i in range(40):
+        words = prose(500 + i, 150).split()
+        corpus.append((1000 + 2 * i, " ".join(words)))
+        for at in r.sample(range(150), 1 + i % 6):
+            words[at] = "changed"
+        corpus.append((1001 + 2 * i, " ".join(words)))
+    sets = []
+    for _, t in corpus:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    label = [2**63 - 1 if i is None else i for i, _ in corpus]
+    near = [[j for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)] for a in sets]
+    while (new := [min(label[j] for j in n) for n in near]) != label:
+        label = new
+    docs = frame(spark, corpus)
+    got = simhash.near_groups(docs, 5, 0.8).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((i, None if x == 2**63 - 1 else x) for (i, _), x in zip(corpus, label)), key=repr)
+    kept = [x.doc_id for x in simhash.deduplicate(docs, 5, 0.8).collect() if x.doc_id is not None]
+    assert sorted(kept) == sorted({x for x in label if x < 2**63 - 1}) and any(1000 < x and x % 2 == 0 and x + 1 not in kept for x in kept)
+
+
 @pytest.mark.parametrize("crowded", [256, 1])
 def test_links_lose_none(spark, monkeypatch, crowded):
     monkeypatch.setattr(simhash, "CROWDED", crowded)

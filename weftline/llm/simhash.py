@@ -5,14 +5,20 @@ between two vectors is a lower bound of the Hamming distance of the fingerprints
 distance 2 on that grid. Two grid points within distance 2 have a common point within 1 of both:
 every distinct fingerprint enters the cells within 1 of its own (33 at most), cells are joined, and
 the pairs that meet are verified on the fingerprints themselves.
+
+With a similarity asked for, documents link by the Jaccard similarity of their shingles instead. At 0.8
+64-bit fingerprints differ in 10 bits or so, at times in 20, a radius at which most of a large corpus
+meets; so candidates come from MinHash bands, and shingles are compared exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,15 +31,29 @@ SEGMENTS, WIDTH = 16, 4
 CROWDED = 256
 BANDS = ((0, 22), (22, 21), (43, 21))
 
+#: Bands of the MinHash signature and rows of each: of two texts with similarity 0.8, no band is equal with
+#: probability (1 - 0.8 ** 4) ** 40 < 1e-9.
+MIN_BANDS, MIN_ROWS = 40, 4
+
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
+_RNG = np.random.default_rng(7)
+_A = _RNG.integers(1, 2**63, MIN_BANDS * MIN_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 2**63, MIN_BANDS * MIN_ROWS, np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64 bits as a signed long; a text without words has 0."""
+def shingles_of(text: str | None, shingle: int) -> list[bytes]:
+    """Runs of words, with repeats; of fewer words, one for all, and none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
+        return []
+    return list(map(b" ".join, zip(*[words[i:] for i in range(shingle)]))) if len(words) >= shingle else [b" ".join(words)]
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64 bits as a signed long; a text without words has 0."""
+    parts = shingles_of(text, shingle)
+    if not parts:
         return 0
-    parts = map(b" ".join, zip(*[words[i:] for i in range(shingle)])) if len(words) >= shingle else [b" ".join(words)]
     h = np.fromiter(map(_HASH, parts), np.uint64)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
@@ -74,18 +94,74 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs(cells.join(crowded, "cell", "left_anti"), "cell").union(pairs(dense, "cell", "band", "bits"))
 
 
-def near_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def set_key(hashes: np.ndarray) -> int:
+    """64 bits of a sorted set of shingle hashes, as a signed long; 0 for none."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64)) if len(hashes) else 0
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A long for each MinHash band; none without shingles."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_A), 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), 1 << 11):
+        h = hashes[i : i + (1 << 11), None] * _A + _B
+        np.minimum(least, (h ^ (h >> np.uint64(32))).min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), seed=n) for n, b in enumerate(least.reshape(MIN_BANDS, MIN_ROWS))], np.uint64).view(np.int64)
+
+
+def _hashes(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(np.fromiter(map(_HASH, shingles_of(text, shingle)), np.uint64))
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, fp (long: key of the set of shingles), bands and text of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                b = batch.slice(i, 500)
+                own = [_hashes(t, shingle) for t in b["text"].to_pylist()]
+                yield pa.record_batch({"doc_id": b["doc_id"], "fp": pa.array(map(set_key, own), pa.int64()), "bands": pa.array(map(band_keys, own), pa.list_(pa.int64())), "text": b["text"]})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, bands array<long>, text string")
+
+
+def similar(sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """sets: from shingle_sets. Returns the pairs fa < fb of keys whose sets have that Jaccard similarity."""
+    own = sets.select("fp", F.posexplode("bands").alias("band", "bits")).distinct()
+    a, b = own.withColumnRenamed("fp", "fa"), own.withColumnRenamed("fp", "fb")
+    met = written(a.join(b, ["band", "bits"]).where("fa < fb").select("fa", "fb").distinct(), "simhash-met")
+    asked = met.select(F.col("fa").alias("fp")).union(met.select("fb")).distinct()
+    text = written(sets.join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "simhash-texts")
+
+    @F.pandas_udf("boolean")
+    def near(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(s: str, t: str) -> bool:
+            p, q = set(shingles_of(s, shingle)), set(shingles_of(t, shingle))
+            both = len(p & q)
+            return both >= similarity * (len(p) + len(q) - both)
+
+        return pd.Series([one(s, t) for s, t in zip(x, y)], dtype="bool")
+
+    pairs = met.join(text.select(F.col("fp").alias("fa"), F.col("text").alias("ta")), "fa").join(text.select(F.col("fp").alias("fb"), F.col("text").alias("tb")), "fb")
+    return pairs.where(near("ta", "tb")).select("fa", "fb")
+
+
+def near_groups(docs: DataFrame, shingle: int = 3, similarity: float | None = None) -> DataFrame:
     """Near-duplicate groups: documents whose fingerprints link, directly or through others.
 
+    similarity: least Jaccard similarity of the sets of shingles by which documents link; fp is then the
+    key of the set. By default fingerprints link at 2 bits at most.
     Returns a row for each row of docs: doc_id, fp (long), component_id (smallest doc_id reachable).
     A null or empty text has fingerprint 0 and links like any other. A null doc_id comes after every
     id: its component_id is null only if no id is reachable. Rows that repeat an id share the
     component of all texts of that id's fingerprints; an empty table gives no rows; extra columns are
     ignored. Copies meet as one fingerprint before any join, so a group of thousands costs one node.
     """
-    each = written(fingerprints(docs, shingle), "simhash")
+    each = written(fingerprints(docs, shingle) if similarity is None else shingle_sets(docs, shingle), "simhash")
     nodes = written(each.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("rep")), "simhash-nodes")
-    found = written(links(nodes.select("fp")).distinct(), "simhash-links")
+    found = written(links(nodes.select("fp")).distinct() if similarity is None else similar(each, shingle, similarity), "simhash-links")
     comp = components(found.select(F.col("fa").alias("a"), F.col("fb").alias("b")), "simhash-components")
     group = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = group.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -93,11 +169,11 @@ def near_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return each.join(of_fp, "fp").select("doc_id", "fp", F.when(F.col("component_id") < LAST_ID, F.col("component_id")).alias("component_id"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = 3, similarity: float | None = None) -> DataFrame:
     """docs without the near copies: of each group the document with the smallest id stays
     (one row of it, where the id repeats); rows with a null id stay only where no id is in their group, one
     for each fingerprint."""
-    groups = written(near_groups(docs), "simhash-groups")
+    groups = written(near_groups(docs, shingle, similarity), "simhash-groups")
     ids = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if not ids.where("n > 1").isEmpty():
@@ -109,7 +185,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("long")
     def fp(text: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t) for t in text], dtype="int64")
+        return pd.Series([fingerprint(t, shingle) if similarity is None else set_key(_hashes(t, shingle)) for t in text], dtype="int64")
 
     none = docs.where("doc_id is null").withColumn("__fp", fp("text")).join(lone, "__fp", "left_semi").dropDuplicates(["__fp"])
     return kept.union(none.select(*docs.columns))
