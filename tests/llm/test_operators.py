@@ -158,6 +158,15 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.scan(frame(spark, corpus).limit(0)).count() == 0
 
 
+def test_license_with_inserted_words_is_found_wherever_it_stands():
+    t = licenses.Templates(licenses.TEMPLATES)
+    for name, body, more in (("ISC", licenses._ISC, 10), ("BSD", licenses._BSD, 20)):
+        w = body.split()
+        notice = " ".join([*w[: len(w) // 2], *prose(7, more).split(), *w[len(w) // 2 :]])
+        for before in range(0, 130, 3):
+            assert name in t.find(f"{prose(8, before)} {notice} {prose(9, 150)}"), (name, before)
+
+
 # ---- 4 quality
 
 

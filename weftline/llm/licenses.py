@@ -1,10 +1,10 @@
 """License scan: MinHash bands over overlapping windows find templates, exact containment verifies them.
 
-For each size class (a power of two of 5-word shingles) a text is seen in windows of twice that size
-that overlap by half, so any run of up to that size lies whole in one window. Windows and templates
+For each size class (a power of two of 5-word shingles, 1.5 times a template's at least) a text is seen in windows of twice that size
+that overlap by half, so any run of up to that size, a notice with words put in too, lies whole in one window. Windows and templates
 meet in a band of one row: a template that has 0.8 of its shingles in a window agrees with it in at least
-0.8 t / (2 s + 0.2 t), over 0.18, of its shingles; 128 bands miss such a pair with probability under
-0.82 ** 128 < 1e-11. Each pair that meets is verified on the words themselves.
+0.8 t / (2 s + 0.2 t), over 0.129, of its shingles; 192 bands miss such a pair with probability under
+0.871 ** 192 < 1e-11. Each pair that meets is verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of one row each.
-BANDS = 128
+BANDS = 192
 #: As much text as the templates may have, so that they can go to every task.
 TEMPLATE_BYTES = 4 << 20
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -100,7 +100,7 @@ class Templates:
             self.names.append(name)
             self.length.append(n)
             self.shingles.append({tuple(words[i : i + n]) for i in range(len(words) - n + 1)})
-            size = 1 << (len(words) - n).bit_length()
+            size = 1 << ((3 * (len(words) - n + 1) + 1) // 2 - 1).bit_length()
             self.classes.setdefault((n, size), []).append((at, minhash(h)))
             lone += [h[np.argmin(h * a + b)] for a, b in zip(_A, _B)]
         #: The shingles that are the least of some template in some band: a window without one of them meets none.
