@@ -1,23 +1,18 @@
-"""Stop-word lists by language code: those that Spark ships; none for Japanese, unknown codes get English."""
+"""Stop-word lists by language code.
+
+There is none for Japanese, and none is needed: only words of Latin letters become tokens. Unknown codes get English.
+"""
 
 from __future__ import annotations
 
-import zipfile
 from functools import cache
-from pathlib import Path
 
-import pyspark
+from .stopword_lists import LISTS
 
-FILES = {"en": "english", "fr": "french", "de": "german", "es": "spanish", "it": "italian", "pt": "portuguese"}
-LANGUAGES = (*FILES, "ja")
+LANGUAGES = (*LISTS, "ja")
 
 
 @cache
 def stopwords(lang: str) -> tuple[str, ...]:
-    """Lower-case words of a language, sorted. They come from the resources of Spark's own library."""
-    if lang == "ja":
-        return ()
-    jar = next(Path(pyspark.__file__).parent.joinpath("jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        text = z.read(f"org/apache/spark/ml/feature/stopwords/{FILES.get(lang, 'english')}.txt").decode()
-    return tuple(sorted({w.strip().lower() for w in text.splitlines() if w.strip()}))
+    """Lower-case words of a language, sorted."""
+    return () if lang == "ja" else tuple(sorted(LISTS.get(lang, LISTS["en"]).split()))
