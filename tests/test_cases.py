@@ -82,6 +82,52 @@ def test_similarity_properties(spark):
     assert sims[1, 1] == pytest.approx(1) and sims[1, 1] <= 1 and set(sims) == {(1, 1), (1, 2)} and 0 < sims[1, 2] < 1
 
 
+def brute_best(s, t, k, least=0.01):
+    n, df = len(t), {}
+    for _, w in t:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+
+    def vector(w):
+        v = {x: (1 + math.log(w.count(x))) * (math.log((n + 1) / (df[x] + 1)) + 1) for x in set(w) if x in df}
+        length = math.sqrt(sum(y * y for y in v.values()))
+        return {x: y / length for x, y in v.items()}
+
+    tv, out = [(i, vector(w)) for i, w in t], []
+    for i, w in s:
+        v = vector(w)
+        sims = sorted((-round(x, 9), j) for j, u in tv if (x := sum(v[a] * u.get(a, 0) for a in v)) >= least)
+        out += [(i, j, round(-x, 6), r + 1) for r, (x, j) in enumerate(sims[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rows,frequent,expanded", [(4096, 0.02, 8_000_000), (7, 2.0, 100), (7, 0.0, 5)])
+def test_top_matches_equal_brute_force(spark, monkeypatch, rows, frequent, expanded):
+    import random
+
+    r = random.Random(5)
+    for name, value in (("TARGET_ROWS", rows), ("SOURCE_ROWS", rows), ("CHUNK", 4), ("FREQUENT", frequent), ("EXPANDED", expanded)):
+        monkeypatch.setattr(match, name, value)
+    words = [f"w{i}" for i in range(40)]
+    t = [(i, [words[min(int(r.expovariate(0.15)), 39)] for _ in range(r.randint(0, 12))]) for i in range(60)] + [(100 + i, ["w1", "w2", "w30"]) for i in range(9)]
+    s = t[10:40] + [(500, ["none"]), (501, ["w1", "w2", "w30"]), (502, [])]
+    got = sorted(tuple(x) for x in match.top_matches(docs(spark, s), docs(spark, t)).select("src", "tgt", F.round("sim", 6), "rank").collect())
+    assert got == brute_best(s, t, 5)
+    alone = match.top_matches(docs(spark, s), docs(spark, t), match.MatchConfig(exclude_self=True)).where("src = tgt or rank > 5").count()
+    assert alone == 0 and match.top_matches(docs(spark, s), docs(spark, []), match.MatchConfig()).count() == 0 and match.top_matches(docs(spark, []), docs(spark, t)).count() == 0
+    named = lambda x: docs(spark, x).select(F.concat(F.lit("u"), "id").alias("id"), "tokens")
+    assert sorted((x.src, x.tgt) for x in match.top_matches(named(s[:3]), named(t)).collect()) == sorted((f"u{a}", f"u{b}") for a, b, _, _ in brute_best(s[:3], [(f"{i}", w) for i, w in t], 5))
+
+
+def test_dense_best(spark):
+    kind = "id long, vec array<double>"
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, []), (5, None), (6, [0.0, 0.0]), (7, [2.0, 0.0]), (8, [-1.0, 0.0])], kind)
+    got = [(r.src, r.tgt, round(r.sim, 6), r["rank"]) for r in match.dense_best(v, v).orderBy("src", "rank").collect()]
+    half = round(math.sqrt(0.5), 6)
+    assert got == [(1, 1, 1.0, 1), (1, 7, 1.0, 2), (1, 2, half, 3), (2, 2, 1.0, 1), (2, 1, half, 2), (2, 7, half, 3), (3, 3, 1.0, 1), (7, 1, 1.0, 1), (7, 7, 1.0, 2), (7, 2, half, 3), (8, 8, 1.0, 1)]
+    assert match.dense_best(v, v.limit(0)).count() == 0
+
+
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0], [2.0, 2.0])], "a array<double>, b array<double>, z array<double>, c array<double>")
     c = lambda x, y, **k: df.select(tfidf.cosine(F.col(x), F.col(y), **k)).first()[0]
@@ -114,14 +160,18 @@ def test_topics_tie_by_term(spark):
 
 def test_topic_model(spark):
     d = docs(spark, [(1, ["a", "b"]), (2, ["b", "a"]), (3, ["a", "c"])])
-    scores = {r.word: r.score for r in topics.train(d).collect()}  # 1 and 2 are one document
-    ab, ac = math.log(1 + 2 * 1), math.log(1 + 2 * 1)
-    assert scores == {"a": pytest.approx((ab + ac) / (1 + math.log(2))), "b": pytest.approx(ab / (1 + math.log(2))), "c": pytest.approx(ac / (1 + math.log(2)))}
+    scores = {r.word: r.score for r in topics.train(d).collect()}  # 1 and 2 are equal and both count
+    ab, ac, size = math.log(1 + 3 * 2), math.log(1 + 3 * 1), 1 + math.log(2)
+    assert scores == {"a": pytest.approx((2 * ab + ac) / size), "b": pytest.approx(2 * ab / size), "c": pytest.approx(ac / size)}
+    known = d.where("id = 1").select(topics.model_key().alias("key"))
+    assert {r.word for r in topics.train(d, known).collect()} == {"a", "c"}
     assigned = topics.assign(topics.train(d))
     assert {r.topic for r in assigned.collect()} == {"topic_0", "topic_1"}
     t = topics.document_topics(d, assigned)
     pairs = spark.createDataFrame([(1, 3), (1, 99)], "a long, b long")
     assert {(r.a, r.b): r.related for r in topics.related(pairs, t).collect()} == {(1, 3): True, (1, 99): False}
+    lists = spark.createDataFrame([(["x", "y", "z"], ["y", "z", "w"]), (["x"], [])], "a array<string>, b array<string>")
+    assert [r[0] for r in lists.select(topics.overlap("a", "b")).collect()] == [2, 0]
 
 
 # ---- indexes
@@ -187,6 +237,10 @@ def test_hashes(spark):
     assert df.select(hashing.cache_key(F.col("u"), F.col("t"))).first()[0] == f"vec:{digits}:2:2"
     d = docs(spark, [(1, ["x", "y"]), (2, ["z"])])
     same = docs(spark, [(5, ["z"]), (6, ["y", "x"])])
+    assert tuple(hashing.exact_corpus_hash(d).first()) == (hashlib.sha256(b"x|y||z").hexdigest(), 2)
+    many = spark.createDataFrame([("a", "2"), ("a", "1"), (None, "3"), ("b", None)], "k string, v string")
+    assert {r.of: r.hash for r in hashing.exact_list_hashes(many, "k", "v").collect()} == {k: hashlib.sha256(v).hexdigest() for k, v in (("a", b"1|2"), (None, b"3"), ("b", b""))}
+    assert hashing.weak_fingerprint(d).first()[0] == "2|2"
     assert hashing.corpus_hash(d).first() == hashing.corpus_hash(same).first() != hashing.corpus_hash(d.limit(1)).first()
 
 
@@ -260,7 +314,7 @@ def test_store_and_incremental_run(spark, tmp_path):
     out = linking.run(store, first, targets).collect()
     assert [(r.source_url, r.target_url) for r in out] == [("https://s/1", "https://t/0")]
     list_id = store.get_or_create_list(targets)
-    assert store.read("lists").count() == 1 and store.target_list(list_id).count() == 1 and store.has_processed(list_id)
+    assert store.read("lists").count() == 3 and store.target_list(list_id).count() == 3 and store.has_processed(list_id)
     done, todo = store.split_processed(first, list_id)
     assert [r.url for r in done.collect()] == ["https://s/1"] and [r.url for r in todo.collect()] == ["https://s/2"]
     created = store.read("edges").first().created_at
@@ -283,3 +337,119 @@ def test_stream_of_sources(spark, tmp_path):
         spark.createDataFrame([(f"https://s/{n}", "", body)], schema).write.mode("append").json(f"{tmp_path}/in")
         link_stream(spark.readStream.schema(schema).json(f"{tmp_path}/in"), store, targets, f"{tmp_path}/check").awaitTermination()
         assert store.read("edges").count() == n + 1
+
+
+# ---- stores under failure, work that fails, watching
+
+
+def test_store_survives_a_crash_and_a_second_writer(spark, tmp_path, monkeypatch):
+    def put(store, *urls):
+        store.put_documents(spark.createDataFrame([(u, "t", "b", ["x"], "en", []) for u in urls], "url string, title string, body string, tokens array<string>, language string, issues array<string>"))
+
+    store, other = Store(spark, f"file://{tmp_path}/s"), Store(spark, f"file://{tmp_path}/s")
+    put(store, "u1", "u2")
+
+    def crash(*_):
+        raise RuntimeError("killed between the two steps")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_commit", crash)
+        with pytest.raises(RuntimeError):
+            put(store, "u3")
+    assert sorted(r.url for r in store.read("urls").collect()) == ["u1", "u2"]
+    (tmp_path / "s/urls/versions/000000000009").write_text("3 /half")  # a version that was never finished
+    assert store.read("urls").count() == 2
+    (tmp_path / "s/urls/versions/000000000009").unlink()
+    commit, first = Store._commit, []
+
+    def late(self, name, number, paths):
+        if self is store and not first:
+            first.append(1)
+            put(other, "u4")
+        return commit(self, name, number, paths)
+
+    monkeypatch.setattr(Store, "_commit", late)
+    put(store, "u5")
+    assert sorted(r.url for r in store.read("urls").collect()) == ["u1", "u2", "u4", "u5"] == sorted(r.url for r in other.read("urls").collect())
+    store.vacuum("urls", keep=1)
+    assert store.read("urls").count() == 4 and len(list((tmp_path / "s/urls/versions").glob("0*"))) == 1
+    assert store.document("u4").count() == 1 and store.document("none").count() == 0
+
+
+def test_rows_that_fail_are_tried_again_and_set_apart(spark):
+    def work(row):
+        import os
+        import tempfile
+
+        if row["x"] is None:
+            raise ValueError("empty")
+        if row["x"] == 3:
+            mark = f"{tempfile.gettempdir()}/weftline-test-{row['run']}"
+            if not os.path.exists(mark):
+                open(mark, "w").close()
+                raise TimeoutError("timeout")
+            os.unlink(mark)
+        return None if row["x"] == 4 else {"y": row["x"] * 2}
+
+    import uuid
+
+    from weftline.operators import batch
+
+    df = spark.createDataFrame([(1, "r"), (None, "r"), (3, uuid.uuid4().hex), (4, "r")], "x long, run string").coalesce(1)
+    done = batch.settle_all(df, work, "y long", wait=lambda n: 0.0)
+    good, bad = batch.settled(done.cache())
+    assert sorted(r.y for r in good.collect()) == [2, 6] and sorted(r.error for r in bad.collect()) == ["ValueError: empty", "ValueError: no result"]
+    assert {r.y: r.attempts for r in done.where("y is not null").collect()} == {2: 1, 6: 2}
+    once = batch.settle_all(df.where("x is null"), work, "y long", wait=batch.exponential, again=batch.passing)
+    assert [r.attempts for r in once.collect()] == [1] and batch.settle_all(df.limit(0), work, "y long").count() == 0
+    assert [batch.linear(n) for n in (1, 2)] == [1, 2] and [batch.exponential(n) for n in (1, 2, 3)] == [1, 2, 4]
+    assert batch.passing(ConnectionError("x")) and batch.passing(RuntimeError("Rate limit")) and not batch.passing(ValueError("x"))
+
+
+def test_progress_stored_blocks_and_stop(spark):
+    import threading
+    import time
+
+    from weftline.plans import monitor
+
+    with monitor.named(spark, "own"):
+        spark.range(100).repartition(3).count()
+    p = monitor.progress(spark, "own").collect()
+    assert p and all(r.ratio == 1.0 for r in p if r.done) and monitor.progress(spark, "none").count() == 0
+    kept = spark.range(1000).cache()
+    kept.count()
+    assert any(r.cached == r.partitions and r.memory_bytes > 0 for r in monitor.stored(spark).collect())
+    kept.unpersist()
+    ended = []
+
+    def slow():
+        with monitor.named(spark, "slow"):
+            try:
+                spark.range(4).repartition(4).rdd.map(lambda x: time.sleep(60)).count()
+            except Exception:  # noqa: BLE001
+                ended.append(1)
+
+    from pyspark import InheritableThread
+
+    t = InheritableThread(target=slow)
+    t.start()
+    for _ in range(100):
+        time.sleep(0.1)
+        if spark.sparkContext.statusTracker().getJobIdsForGroup("slow"):
+            break
+    monitor.stop(spark, "slow")
+    t.join(30)
+    assert ended and not t.is_alive() and isinstance(t, threading.Thread)
+
+
+def test_recovery_by_rule_and_attempt(spark):
+    rows = [(i, "worker", "run", m, "low", i) for i, m in enumerate(["Worker terminated", "Out of memory", "x", "Worker terminated", "SecurityError"])]
+    rows += [(10, "store", "w", "timeout", "low", 10), (11, "tfidf", "v", "Invalid input", "low", 11), (12, "other", "v", "network", "critical", 12), (13, "memory", "v", "network", "low", 13), (14, None, None, None, None, 14), (15, "csv", "r", "bad format", "low", 15), (16, "store", "w", "rate limit", "low", 16)]
+    df = spark.createDataFrame(rows, "id long, component string, operation string, message string, severity string, ts long").withColumn("recoverable", errors.recoverable(F.col("message"), F.col("component")))
+    want = {0: "restart", 1: "free memory", 2: "fail", 3: "give up", 4: "none", 10: "retry", 11: "skip", 12: "clear all", 13: "free memory", 14: "none", 15: "explain", 16: "wait"}
+    assert {r.id: r.action for r in errors.recovery(df).collect()} == want
+
+
+@pytest.mark.parametrize("url,issue", [("https://a.b/x y|z", None), ("HTTPS:a.b", None), ("http:\\\\a.b\\c", None), ("http://ü.example/ä", None), ("http://a.b:99999/", "url_invalid"), ("http://a b/", "url_invalid"), ("http://", "url_invalid"), ("//a.b", "url_invalid"), ("mailto:x", "url_scheme"), ("", "url_empty"), ("http://u:p@a.b:80?q", None), ("http://[::1]/", None), ("ht\ttp://a", None)])
+def test_addresses_as_browsers_take_them(spark, url, issue):
+    assert strings(spark, url).select(ingest.url_issue(F.col("v"))).first()[0] == issue

@@ -31,9 +31,43 @@ def corpus_hash(docs: DataFrame) -> DataFrame:
     return parts.agg(F.sha2(F.array_join(F.transform(whole, lambda x: x["h"]), ""), 256).alias("corpus_hash"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_docs"))
 
 
-def exact_corpus_hash(tokens: Column) -> Column:
-    """Aggregate for small corpora: SHA-256 of the documents' sorted tokens, pipe-joined, sorted and joined by two pipes."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(document_hash_text(tokens))), "||"), 256)
+def exact_list_hashes(rows: DataFrame, of: str, value: str, separator: str = "|") -> DataFrame:
+    """of, hash, n: SHA-256 of the sorted values of each key, joined by the separator: list_hash for lists of any length.
+
+    SHA-256 takes its input in order, so one task reads a key's values; it takes them one after another from a sort that spills and
+    holds none. corpus_hash is the form that is spread over tasks.
+    """
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        kind = pa.schema([("of", pa.string()), ("hash", pa.string()), ("n", pa.int64())])
+        key, digest, n, begun = None, hashlib.sha256(), 0, False
+        for batch in batches:
+            for k, v in zip(batch["of"].to_pylist(), batch["value"].to_pylist()):
+                if not begun or k != key:
+                    if begun:
+                        yield pa.record_batch([[key], [digest.hexdigest()], [n]], schema=kind)
+                    key, digest, n, begun = k, hashlib.sha256(), 0, True
+                digest.update(((separator if n else "") + v).encode())
+                n += 1
+        if begun:
+            yield pa.record_batch([[key], [digest.hexdigest()], [n]], schema=kind)
+
+    each = rows.select(F.col(of).cast("string").alias("of"), F.coalesce(F.col(value), F.lit("")).alias("value"))
+    return each.repartition("of").sortWithinPartitions("of", "value").mapInArrow(run, "of string, hash string, n long")
+
+
+def exact_corpus_hash(docs: DataFrame) -> DataFrame:
+    """hash, n: SHA-256 of the documents' sorted tokens, pipe-joined, sorted and joined by two pipes; one task reads all, see exact_list_hashes."""
+    return exact_list_hashes(docs.select(F.lit("").alias("of"), document_hash_text(F.col("tokens")).alias("t")), "of", "t", "||").select("hash", "n")
+
+
+def weak_fingerprint(docs: DataFrame) -> DataFrame:
+    """fingerprint: the number of documents and the tokens of the first one (by id), for caches of small corpora only."""
+    return docs.agg(F.concat_ws("|", F.count("*"), F.min_by(F.size("tokens"), "id")).alias("fingerprint"))
 
 
 def _codes(text: Column) -> Column:
@@ -52,16 +86,3 @@ def polynomial(text: Column, start: int, modulus: int) -> Column:
     """start and the characters' codes as digits of a base-31 number, modulo."""
     codes = F.when(F.length(text) > 0, _codes(text)).otherwise(F.array().cast("array<bigint>"))
     return F.aggregate(codes, F.lit(start).cast("long"), lambda a, c: F.pmod(a * 31 + c, F.lit(modulus)))
-
-
-def times(a: Column, b: Column, modulus: int = PRIME) -> Column:
-    """a * b modulo a number of 33 bits, without overflow."""
-    high, low = F.shiftright(b, 16), b.bitwiseAND(F.lit(65535).cast("long"))
-    return F.pmod(F.pmod(a * high, F.lit(modulus)) * 65536 + a * low, F.lit(modulus))
-
-
-def padded(text: Column, digits: int = 256) -> Column:
-    """The first digits characters as a base-31 number of that many digits, zeros at its end, modulo the prime."""
-    powers = F.split(F.lit(",".join(str(pow(31, i, PRIME)) for i in range(digits + 1))), ",").cast("array<bigint>")
-    short = F.substring(text, 1, digits)
-    return times(polynomial(short, 0, PRIME), F.element_at(powers, F.lit(digits + 1) - F.length(short)))

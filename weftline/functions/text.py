@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -11,7 +12,8 @@ from .stopwords import LANGUAGES, stopwords
 
 #: What counts as white space (no U+0085), spelled out as regular-expression dialects differ on \s.
 SPACE = r"\t\n\f\r\x0B \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-LATIN = "^[a-zA-ZÀ-ÿ]+$"
+LETTER = "[a-zA-ZÀ-ÿ]"
+LATIN = f"^{LETTER}+$"
 #: Words that give a language away, in the order in which languages are tried.
 TRIGGERS = {
     "fr": "avec dans est la le les pour sont",
@@ -37,14 +39,34 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(letters, f"[{SPACE}]+", " "))
 
 
+_BEFORE, _AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+_ALL_TRIGGERS = sorted({w for words in TRIGGERS.values() for w in words.split()})
+
+
+def _trie(words: tuple[str, ...]) -> str:
+    """A pattern for any of words that shares their beginnings, so that a word is read once, not once for each alternative."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [re.escape(c) + (_trie(tuple(rest)) if rest != [""] else "") for c, rest in sorted(heads.items()) if c]
+    body = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+    return f"(?:{body})?" if "" in heads else body
+
+
 def detect_language(text: Column) -> Column:
-    """The first language with a trigger word in text, else ja by script, else en. Word bounds are ASCII ones."""
+    """The first language with a trigger word in text, else ja by script, else en. Word bounds are ASCII ones.
+
+    One pass finds the trigger words of all languages; then languages are tried in order.
+    """
 
     def first(lower: Column) -> Column:
-        found = F.when(F.lit(False), "en")
-        for lang, words in TRIGGERS.items():
-            found = found.when(lower.rlike(rf"(?<![A-Za-z0-9_])({'|'.join(words.split())})(?![A-Za-z0-9_])"), lang)
-        return found.when(lower.rlike(KANA), "ja").otherwise("en")
+        def of(triggers: Column) -> Column:
+            found = F.when(F.size(triggers) == 0, F.when(lower.rlike(KANA), "ja").otherwise("en"))
+            for lang, words in TRIGGERS.items():
+                found = found.when(F.arrays_overlap(triggers, F.array(*[F.lit(w) for w in words.split()])), lang)
+            return found
+
+        return let(F.regexp_extract_all(lower, F.lit(f"{_BEFORE}{_trie(tuple(_ALL_TRIGGERS))}{_AFTER}"), F.lit(0)), of)
 
     return let(F.lower(text), first)
 
@@ -75,14 +97,49 @@ def drop_stopwords(tokens: Column, least: int = 3, lang: Column | None = None) -
     return let(tokens, lambda own: let(detect_language(F.array_join(own, " ")) if lang is None else lang, lambda code: by_language(own, code)))
 
 
+def _language_of(words: Column) -> Column:
+    """detect_language of words joined by spaces. A word of ASCII letters is a trigger or holds none; only the others need a pattern."""
+
+    def first(odd: Column) -> Column:
+        found = F.when(F.lit(False), "en")
+        for lang, listed in TRIGGERS.items():
+            own = listed.split()
+            found = found.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in own])) | ((odd != "") & odd.rlike(f"{_BEFORE}({'|'.join(own)}){_AFTER}")), lang)
+        return found.when((odd != "") & odd.rlike(KANA), "ja").otherwise("en")
+
+    return let(F.array_join(F.filter(words, lambda w: F.octet_length(w) != F.length(w)), " "), first)
+
+
+def _drop(words: Column, latin: bool = True) -> Column:
+    """words (lower-case letters, 3 at least) without the stop words of their language; latin: all are Latin letters already."""
+
+    def own(code: str, w: Column) -> Column:
+        listed = stopwords(code)
+        keep = lambda t: F.lit(True) if latin else t.rlike(LATIN)
+        return F.filter(w, lambda t: keep(t) & ~t.isin(*listed)) if listed else F.filter(w, keep)
+
+    def by_language(w: Column, lang: Column) -> Column:
+        out = own("en", w)
+        for other in LANGUAGES[1:]:
+            out = F.when(lang == other, own(other, w)).otherwise(out)
+        return out
+
+    return let(words, lambda w: let(_language_of(w), lambda lang: by_language(w, lang)))
+
+
 def words(text: Column) -> Column:
     """Words of 3 to 49 Latin letters in order."""
-    return F.filter(F.split(normalise(text), " "), lambda w: (F.length(w) >= 3) & (F.length(w) < 50) & w.rlike(LATIN))
+    return F.regexp_extract_all(normalise(text), F.lit(f"(?<![^ ]){LETTER}{{3,49}}(?![^ ])"), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
-    """words without stop words; a null text has none."""
-    return drop_stopwords(words(F.coalesce(text, F.lit(""))))
+    """words without stop words; a null text has none. The same as drop_stopwords(words(text)), word for word."""
+    return _drop(words(F.coalesce(text, F.lit(""))))
+
+
+def drop_again(tokens: Column) -> Column:
+    """drop_stopwords for arrays that tokens gave."""
+    return _drop(tokens)
 
 
 def document_text(title: Column, body: Column) -> Column:
@@ -91,7 +148,7 @@ def document_text(title: Column, body: Column) -> Column:
 
 def suggested_anchor(text: Column) -> Column:
     """The first three meaningful words of the target's text, the one or two there are, else its first 30 characters."""
-    found = drop_stopwords(F.filter(F.split(normalise(text), " "), lambda w: F.length(w) >= 3))
+    found = _drop(F.regexp_extract_all(normalise(text), F.lit("(?<![^ ])[^ ]{3,}(?![^ ])"), F.lit(0)), latin=False)
     return let(found, lambda f: F.when(F.size(f) == 0, F.substring(text, 1, 30)).otherwise(F.array_join(F.slice(f, 1, 3), " ")))
 
 

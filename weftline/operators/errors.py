@@ -43,3 +43,28 @@ def attempts(reports: DataFrame) -> DataFrame:
     order = Window.partitionBy("component", "operation").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
     n = F.count_if("recoverable").over(order)
     return reports.withColumn("attempt", F.when(F.col("recoverable"), n)).withColumn("tried", F.col("recoverable") & (n <= ATTEMPTS))
+
+
+def recovery(reports: DataFrame) -> DataFrame:
+    """reports (id, component, operation, message, severity, recoverable, ts) with attempt and action.
+
+    What is recoverable is tried ATTEMPTS times for each component and operation, in order of time: by a rule of its component, or
+    'give up' beyond that; other reports get 'none'. One component's reports may be a third of all, so the
+    window keeps ATTEMPTS rows of each group before the shuffle (a group limit), and the rest never meets.
+    """
+    order = Window.partitionBy("component", "operation").orderBy("ts", "id")
+    tried = reports.where("recoverable").withColumn("attempt", F.row_number().over(order).cast("long")).where(F.col("attempt") <= ATTEMPTS).select("id", "attempt")
+    has = lambda *words: reduce(lambda a, b: a | b, [F.contains("message", F.lit(w)) for w in words])
+    rules = {
+        "worker": F.when(has("Worker terminated", "NetworkError"), "restart").when(has("Out of memory"), "free memory"),
+        "store": F.when(has("fetch", "network", "timeout"), "retry").when(has("rate limit", "429"), "wait"),
+        "tfidf": F.when(has("Invalid input", "empty"), "skip").when(has("Vector dimensions mismatch"), "clear caches"),
+        "csv": F.when(has("parsing", "format"), "explain"),
+        "memory": F.lit("free memory"),
+    }
+    by_rule = F.when(F.lit(False), "")
+    for component, rule in rules.items():
+        by_rule = by_rule.when(F.col("component") == component, F.coalesce(rule, F.lit("fail")))
+    by_rule = by_rule.otherwise(F.when(F.col("severity") == "critical", "clear all").otherwise("fail"))
+    action = F.when(~F.col("recoverable"), "none").when(F.col("attempt").isNull(), "give up").otherwise(by_rule)
+    return reports.join(tried, "id", "left").withColumn("action", action)

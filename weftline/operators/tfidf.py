@@ -6,6 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -16,8 +19,11 @@ class TfidfConfig:
 
 
 def term_counts(docs: DataFrame, config: TfidfConfig = TfidfConfig()) -> DataFrame:
-    """id, term, n (count in the document), n_tokens: map-side combined before the one shuffle."""
-    each = docs.select("id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term"))
+    """id, term, n (count in the document), n_tokens: map-side combined before the one shuffle.
+
+    The outer explode keeps Spark from inferring filters on tokens, which would compute them again below.
+    """
+    each = docs.select("id", F.size("tokens").alias("n_tokens"), F.explode_outer("tokens").alias("term")).where("term is not null")
     counts = each.groupBy("id", "term").agg(F.count("*").alias("n"), F.first("n_tokens").alias("n_tokens"))
     return counts.where(F.col("n") >= config.min_count) if config.min_count > 1 else counts
 
@@ -32,8 +38,14 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:
-    """Distinct terms, sorted; the order needs no single task (range partitions)."""
-    return counts.select("term").distinct().orderBy("term")
+    """term, index: distinct terms, numbered from 0 in their order. No single task sees all: numbers are those within a range partition plus what is before it."""
+    parts = written(counts.select("term").distinct().repartitionByRange("term").withColumn("part", F.spark_partition_id()), "vocabulary")
+    offsets, before = [F.lit(-1), F.lit(0).cast("long")], 0
+    for part, n in sorted(map(tuple, parts.groupBy("part").agg(F.count("*").alias("n")).collect())):  # a row for each shuffle partition
+        offsets += [F.lit(part), F.lit(before).cast("long")]
+        before += n
+    at = F.row_number().over(Window.partitionBy("part").orderBy("term")) - 1 + F.create_map(*offsets)[F.col("part")]
+    return parts.select("term", at.cast("long").alias("index"))
 
 
 def idf(frequency: DataFrame, n_docs: DataFrame, config: TfidfConfig = TfidfConfig()) -> DataFrame:
@@ -60,6 +72,23 @@ def normalised(weights: DataFrame) -> DataFrame:
     return weights.join(norms(weights), "id").select("id", "term", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.col("w")).alias("w"))
 
 
+def vectors(sources: DataFrame, targets: DataFrame, config: TfidfConfig = TfidfConfig()) -> tuple[DataFrame, DataFrame]:
+    """id, terms (array of numbers of terms), weights (array) of sources and of targets (id, tokens): a row for each that has a term of the targets.
+
+    A term's number is the same on both sides; it stands for the term, so terms meet by equality, not by a hash.
+    """
+    t_counts = term_counts(targets, config)
+    inverse = written(idf(document_frequency(t_counts), n_documents(targets), config), "idf").withColumn("n_term", F.monotonically_increasing_id())
+    inverse = written(inverse, "idf-numbered")
+
+    def side(counts: DataFrame) -> DataFrame:
+        w = counts.join(inverse, "term").select("id", "n_term", (tf(config) * F.col("idf")).alias("w"))
+        lists = w.groupBy("id").agg(F.collect_list(F.struct("n_term", "w")).alias("x"))
+        return lists.select("id", F.col("x.n_term").alias("terms"), F.col("x.w").alias("weights"))
+
+    return side(term_counts(sources, config)), side(t_counts)
+
+
 # ---- dense vectors
 
 
@@ -72,7 +101,13 @@ def cosine(a: Column, b: Column, checked: bool = False) -> Column:
     return F.when(F.size(a) != F.size(b), other).otherwise(value)
 
 
+def unit(a: Column) -> Column:
+    """The vector at length 1; a zero vector stays."""
+    length = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v))
+    return F.when(length > 0, F.transform(a, lambda v: v / length)).otherwise(a)
+
+
 def unit_dot(a: Column, b: Column) -> Column:
-    """Cosine of arrays that already have length 1."""
-    dot = F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    """Cosine of arrays that already have length 1; the shorter one ends the sum."""
+    dot = F.aggregate(F.zip_with(a, b, lambda p, q: F.coalesce(p * q, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import match, tfidf, topics
+from ..sources.shared import written
 from ..sources.store import Store
 
 
@@ -20,7 +21,8 @@ def prepare(docs: DataFrame) -> DataFrame:
 
 def compare(sources: DataFrame, targets: DataFrame, config: match.MatchConfig = match.MatchConfig(early_stop=0.8), weights: tfidf.TfidfConfig = tfidf.TfidfConfig()) -> DataFrame:
     """Nested results (id, url, title, topics, matches) of prepared sources against prepared targets."""
-    best = match.best_matches(match.similarities(sources.select("id", "tokens"), targets.select("id", "tokens"), weights), config)
+    sources, targets = written(sources, "linking-sources"), written(targets, "linking-targets")
+    best = match.top_matches(sources.select("id", "tokens"), targets.select("id", "tokens"), config, weights)
     t = targets.join(topics.topic_lists(targets.select("id", "tokens")), "id").withColumn("anchor", text.suggested_anchor(F.col("text")))
     s = sources.join(topics.topic_lists(sources.select("id", "tokens")), "id")
     return match.nested(s, best, t)

@@ -19,8 +19,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     A row of other than two columns is kept, marked. Line numbers come from the order in the file, which a
     quoted line break makes impossible to know from within: one task reads a file, many files run in parallel.
     """
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")  # else rows of wrong arity go unseen
-    raw = spark.read.schema(UPLOAD).options(header=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_malformed", enforceSchema=True).csv(path)
+    # without pruning: else rows of wrong arity go unseen
+    raw = spark.read.schema(UPLOAD).options(header=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_malformed", enforceSchema=True, columnPruning=False).csv(path)
     rows = raw.withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
     cells = F.concat(F.trim(F.coalesce("url", F.lit(""))), F.trim(F.coalesce("body", F.lit(""))))
     rows = rows.where((F.length(cells) > 0) | F.col("_malformed").isNotNull())
@@ -28,11 +28,19 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(number.cast("long").alias("line_no"), "url", "body", F.col("_malformed").isNull().alias("arity_ok"))
 
 
+#: What a host may not contain: the forbidden code points of the URL standard, control characters and blanks.
+_HOST = r"[^\x00-\x20#%/:<>?@\\^|\x7F\[\]]+"
+_HTTP = rf"^https?:[/\\]*([^/\\?#]*@)?({_HOST}|\[[0-9a-f:.]+\])(:[0-9]{{0,5}})?([/\\?#]|$)"
+
+
 def url_issue(url: Column) -> Column:
-    """Null if url is an absolute http or https address."""
-    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    ok = F.try_parse_url(url, F.lit("HOST")).isNotNull()
-    return F.when(url == "", "url_empty").when(scheme.isNull() | (scheme.isin("http", "https") & ~ok), "url_invalid").when(~scheme.isin("http", "https"), "url_scheme")
+    """Null if url is an absolute http or https address as browsers take it: blanks, bars and letters of any script may stand after the host,
+    slashes may lean either way or be missing, a port has 0 to 65535; tabs and line breaks are ignored. A relative address is invalid."""
+    own = F.lower(F.regexp_replace(F.trim(url), r"[\t\n\r]", ""))
+    scheme = F.regexp_extract(own, "^([a-z][a-z0-9+.-]*):", 1)
+    port = F.coalesce(F.substring(F.regexp_extract(own, _HTTP, 3), 2, 5).try_cast("int"), F.lit(0))
+    ok = own.rlike(_HTTP) & (port <= 65535)
+    return F.when(own == "", "url_empty").when((scheme == "") | (scheme.isin("http", "https") & ~ok), "url_invalid").when(~scheme.isin("http", "https"), "url_scheme")
 
 
 def validate(rows: DataFrame) -> DataFrame:

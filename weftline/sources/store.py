@@ -1,79 +1,155 @@
-"""Keyed stores on Parquet: a new snapshot for every change, then a pointer file that names it.
+"""Keyed stores on Parquet, in versions.
 
-A snapshot that is being read is never overwritten. Keys are merged by anti-join and union, so a
-repeated merge changes nothing but the time of its rows.
+A table is cut into PARTS parts by the hash of its first key column. A version is a small file that lists the folder of each
+part; a change writes the parts that it touches anew, then creates the next version file, which fails if another writer was
+first (the change is then made again on top of it). A version file is never replaced or removed while it is the newest, and
+nothing is read that no version names: after a crash between the two steps the table is as it was.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.hashing import list_hash
-
 PRE = T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("language", T.StringType()), T.StructField("token_count", T.IntegerType()), T.StructField("issues", T.ArrayType(T.StringType()))])
 _time = [T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType())]
 SCHEMAS = {
     "urls": T.StructType([T.StructField(c, T.StringType()) for c in ("url", "title", "body")] + [T.StructField("preprocessed", PRE)] + _time),
     "edges": T.StructType([T.StructField(c, T.StringType()) for c in ("source_url", "target_url", "list_id")] + [T.StructField("score", T.DoubleType()), T.StructField("anchor", T.StringType())] + _time),
-    "lists": T.StructType([T.StructField("list_id", T.StringType()), T.StructField("urls", T.ArrayType(T.StringType()))] + _time),
+    "lists": T.StructType([T.StructField("list_id", T.StringType()), T.StructField("url", T.StringType())] + _time),
     "status": T.StructType([T.StructField(c, T.StringType()) for c in ("source_url", "list_id")] + [T.StructField("processed", T.BooleanType())] + _time),
 }
-KEYS = {"urls": ["url"], "edges": ["source_url", "target_url", "list_id"], "lists": ["list_id"], "status": ["source_url", "list_id"]}
+KEYS = {"urls": ["url"], "edges": ["source_url", "target_url", "list_id"], "lists": ["url", "list_id"], "status": ["source_url", "list_id"]}
+#: Parts of a table; a part file of a store of terabytes is some gigabytes, and a change touches the parts of its keys only.
+PARTS = 16
+END = "end"
 
 
 class Store:
     """Tables urls, edges, lists and status under one folder (any file system that Spark reaches)."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, parts: int = PARTS):
+        self.spark, self.folder, self.parts = spark, folder.rstrip("/"), parts
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self, name: str) -> str | None:
-        fs, path = self._fs(f"{self.folder}/{name}/current")
-        return self.spark.read.text(path.toString()).first()[0] if fs.exists(path) else None
+    def _read_text(self, fs, path) -> str:
+        stream = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _versions(self, name: str) -> list[int]:
+        fs, folder = self._fs(f"{self.folder}/{name}/versions")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _manifest(self, name: str) -> tuple[int, dict[int, str]]:
+        """Number of the newest whole version, and the folder of each part in it. One still being written doesn't count."""
+        for number in reversed(self._versions(name)):
+            lines = self._read_text(*self._fs(f"{self.folder}/{name}/versions/{number:012d}")).split("\n")
+            if lines[-1] == END:
+                return number, {int(part): path for part, _, path in (line.partition(" ") for line in lines[:-1])}
+        return 0, {}
+
+    def _load(self, name: str, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
 
     def read(self, name: str) -> DataFrame:
-        at = self._current(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(at) if at else self.spark.createDataFrame([], SCHEMAS[name])
-
-    def _replace(self, name: str, df: DataFrame) -> None:
-        path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
-        df.select(*SCHEMAS[name].names).write.parquet(path)
-        fs, new = self._fs(f"{self.folder}/{name}/current.{uuid.uuid4().hex}")
-        out = fs.create(new)
-        out.write(bytearray(path.encode()))
+        return self._load(name, sorted(self._manifest(name)[1].values()))
+
+    def _part(self, name: str) -> Column:
+        return F.pmod(F.xxhash64(KEYS[name][0]), F.lit(self.parts)).cast("int")
+
+    def _read_key(self, name: str, key: str) -> DataFrame:
+        """Rows with this first key: one part is read."""
+        part = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(key)), F.lit(self.parts)).cast("int")).first()[0]
+        path = self._manifest(name)[1].get(part)
+        return self._load(name, [path] if path else []).where(F.col(KEYS[name][0]) == key)
+
+    def _commit(self, name: str, number: int, paths: dict[int, str]) -> bool:
+        fs, path = self._fs(f"{self.folder}/{name}/versions/{number:012d}")
+        try:
+            out = fs.create(path, False)  # fails if it is there
+        except Exception as failed:
+            if "already exists" in str(failed):
+                return False
+            raise
+        out.write(bytearray("\n".join([*(f"{part} {at}" for part, at in sorted(paths.items())), END]).encode()))
         out.close()
-        _, current = self._fs(f"{self.folder}/{name}/current")
-        fs.delete(current, False)
-        if not fs.rename(new, current):
-            raise OSError(f"{current} can't be replaced")
+        return True
+
+    def _change(self, name: str, touched: list[int] | None, made: Callable[[DataFrame], DataFrame]) -> None:
+        """Replaces the touched parts (None: all) by what is made of their rows, and commits; again if another writer was first."""
+        while True:
+            number, paths = self._manifest(name)
+            old = {p: at for p, at in paths.items() if touched is None or p in touched}
+            folder = f"{self.folder}/{name}/{uuid.uuid4().hex}"
+            new = made(self._load(name, sorted(old.values()))).select(*SCHEMAS[name].names)
+            new.withColumn("part", self._part(name)).repartition("part").write.partitionBy("part").parquet(folder)
+            fs, root = self._fs(folder)
+            own = [s.getPath().getName() for s in fs.listStatus(root)]
+            left = {p: at for p, at in paths.items() if p not in old}
+            if self._commit(name, number + 1, {**left, **{int(n.removeprefix("part=")): f"{folder}/{n}" for n in own if n.startswith("part=")}}):
+                return
+            fs.delete(root, True)
+
+    def vacuum(self, name: str, keep: int = 2) -> None:
+        """Removes what only versions before the newest keep ones name; readers of those lose it."""
+        versions, fs = self._versions(name), self._fs(self.folder)[0]
+        used, gone = set(), versions[:-keep]
+        for number in versions[-keep:]:
+            lines = self._read_text(*self._fs(f"{self.folder}/{name}/versions/{number:012d}")).split("\n")
+            used |= {line.partition(" ")[2] for line in lines if line != END}
+        for number in gone:
+            path = self._fs(f"{self.folder}/{name}/versions/{number:012d}")[1]
+            for line in self._read_text(fs, path).split("\n"):
+                at = line.partition(" ")[2]
+                if line != END and at not in used:
+                    fs.delete(self._fs(at)[1], True)
+            fs.delete(path, False)
+
+    def _touched(self, name: str, rows: DataFrame) -> list[int]:
+        return [r[0] for r in rows.select(self._part(name).alias("p")).distinct().collect()]  # PARTS numbers at most
 
     def merge(self, name: str, rows: DataFrame) -> None:
         """Inserts or updates by key: the last of rows with a key (by anything, made definite) wins; created_at stays."""
         key = KEYS[name]
         values = [c for c in SCHEMAS[name].names if c not in (*key, "created_at", "updated_at")]
         one = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() for c in values])
-        rows = rows.select(*key, *values).withColumn("__r", F.row_number().over(one)).where("__r = 1").drop("__r")
-        old = self.read(name)
-        new = rows.join(old.select(*key, "created_at"), key, "left").withColumn("updated_at", F.current_timestamp()).withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
-        self._replace(name, old.join(rows.select(*key), key, "left_anti").select(*SCHEMAS[name].names).unionByName(new.select(*SCHEMAS[name].names)))
+        rows = rows.select(*key, *values)
+        rows = rows.withColumn("__r", F.row_number().over(one)).where("__r = 1").drop("__r") if values else rows.distinct()
+        path = f"{self.folder}/{name}/incoming-{uuid.uuid4().hex}"
+        rows.write.parquet(path)  # so that rows that come from this table, or from anything costly, are read once
+        rows = self.spark.read.schema(rows.schema).parquet(path)
+
+        def made(old: DataFrame) -> DataFrame:
+            new = rows.join(old.select(*key, "created_at"), key, "left").withColumn("updated_at", F.current_timestamp()).withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
+            return old.join(rows.select(*key), key, "left_anti").select(*SCHEMAS[name].names).unionByName(new.select(*SCHEMAS[name].names))
+
+        if touched := self._touched(name, rows):
+            self._change(name, touched, made)
+        fs, incoming = self._fs(path)
+        fs.delete(incoming, True)
 
     def delete(self, name: str, rows: DataFrame) -> None:
         """Removes the rows that have a key of rows (some or all key columns)."""
-        self._replace(name, self.read(name).join(rows, rows.columns, "left_anti"))
+        touched = self._touched(name, rows) if KEYS[name][0] in rows.columns else None
+        if touched != []:
+            self._change(name, touched, lambda old: old.join(rows, rows.columns, "left_anti"))
 
     # ---- documents and edges
 
     def document(self, url: str) -> DataFrame:
-        return self.read("urls").where(F.col("url") == url).limit(1)
+        return self._read_key("urls", url).limit(1)
 
     def put_documents(self, docs: DataFrame) -> None:
         """docs: url, title, body, tokens, language, issues; nulls become empty."""
@@ -82,10 +158,10 @@ class Store:
         self.merge("urls", docs.select("url", text("title"), text("body"), pre.alias("preprocessed")))
 
     def delete_documents(self, urls: DataFrame) -> None:
-        """urls (url) and all edges and statuses that refer to them."""
-        self.delete("urls", urls)
+        """urls (url) and all edges and statuses that refer to them: these first, so that a crash leaves no edge without its document."""
         for name, column in (("edges", "source_url"), ("edges", "target_url"), ("status", "source_url")):
             self.delete(name, urls.select(F.col("url").alias(column)))
+        self.delete("urls", urls)
 
     def put_edges(self, matches: DataFrame, list_id: str) -> None:
         """matches: source_url, target_url, score, anchor; those whose urls aren't both stored are left out."""
@@ -107,19 +183,23 @@ class Store:
         return self.edges_with_documents(sources).withColumn("rank", rank.cast("long")).where(F.col("rank") <= best)
 
     def best_of(self, url: str, best: int = 5) -> DataFrame:
-        return self.read("edges").where(F.col("source_url") == url).orderBy(F.col("score").desc(), "target_url").limit(best)
+        return self._read_key("edges", url).orderBy(F.col("score").desc(), "target_url").limit(best)
 
     # ---- target lists and status
 
     def target_list(self, list_id: str) -> DataFrame:
-        return self.read("lists").where(F.col("list_id") == list_id)
+        """url of each entry of a list."""
+        return self.read("lists").where(F.col("list_id") == list_id).select("url")
 
     def get_or_create_list(self, urls: DataFrame) -> str:
-        """The id (hash of the sorted urls) of a list of url, which is stored if it is new."""
-        row = urls.select("url").distinct().agg(F.array_sort(F.collect_list("url")).alias("urls")).withColumn("list_id", list_hash(F.col("urls")))
-        list_id = row.select("list_id").first()[0]
+        """The id (a hash of the sorted urls, taken in parts) of a list of url, which is stored, a row for each url, if it is new."""
+        rows = urls.select("url").distinct()
+        each = rows.select(F.sha2("url", 256).alias("h"))
+        parts = each.groupBy(F.substring("h", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+        whole = parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256).alias("id"))
+        list_id = whole.first()[0]
         if self.target_list(list_id).isEmpty():
-            self.merge("lists", row)
+            self.merge("lists", rows.withColumn("list_id", F.lit(list_id)))
         return list_id
 
     def mark_processed(self, sources: DataFrame, list_id: str) -> None:
@@ -139,9 +219,8 @@ class Store:
 
     def corpus_changed(self, name: str, current: str) -> bool:
         """Whether a corpus hash differs from the one kept under name, which is replaced; without one: yes."""
-        path = f"{self.folder}/hashes/{name}"
-        fs, p = self._fs(path)
-        before = self.spark.read.text(path).first()[0] if fs.exists(p) else None
+        fs, p = self._fs(f"{self.folder}/hashes/{name}")
+        before = self._read_text(fs, p) if fs.exists(p) else None
         out = fs.create(p, True)
         out.write(bytearray(current.encode()))
         out.close()
