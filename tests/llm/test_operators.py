@@ -182,6 +182,51 @@ def test_quality_keeps_good_and_rejects_junk(spark):
     assert quality.resample(corpus, labels, k=20).count() == 20
 
 
+def brute_quality(corpus, labels, k, seed):
+    """The whole operator in plain Python: weights, noise and the set that stays, for labels of less than LABELLED rows."""
+    def grams(t):
+        h = [zlib.crc32(w) for w in (t or "").encode().split()]
+        mask = 2**32 - 1
+        pairs = [((a * 2654435761) & mask) ^ ((b * 2246822519) & mask) for a, b in zip(h, h[1:])]
+        return [x >> 16 for x in h + [((p ^ (p >> 15)) * 2654435761) & mask for p in pairs]]
+
+    model, cut = labels
+    bags = [grams(t) for _, t in corpus]
+    raw, target = Counter(g for b in bags for g in b), Counter(g for (i, _), b in zip(corpus, bags) if i in model for g in b)
+    n, m = sum(raw.values()), sum(target.values())
+    weight = []
+    for b in bags:
+        w = 0.0
+        for g in b:
+            p = (raw[g] + 1) / (n + 65536)
+            w += float(np.float32(math.log((target[g] + 10000 * p) / (m + 10000) / p)))
+        weight.append(100 * w / (len(b) + 50))
+    held = sorted(min(w for (j, _), w in zip(corpus, weight) if j == i) for i in cut if any(j == i for j, _ in corpus))
+    return weight, held[int(0.001 * (len(held) - 1))] if held else -math.inf
+
+
+def test_quality_equals_brute_force(spark):
+    r = random.Random(3)
+    corpus = [(i, prose(i, r.randint(5, 80))) for i in range(120)] + [(500 + i, " ".join(w.upper() + "!!" for w in prose(i, 20).split())) for i in range(40)]
+    corpus += [(7, corpus[7][1]), (900, None), (901, ""), (None, prose(3, 30)), (902, " ".join(prose(44, 30000).split()))]
+    docs = frame(spark, corpus).withColumn("log_weight", F.lit("own")).withColumn("gumbel_key", F.lit(1))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x"))
+    weight, least = brute_quality(corpus, quality.labelled_good(labels), None, quality.SEED)
+    scored = quality.keyed(frame(spark, corpus), quality.fitted(frame(spark, corpus), labels)[0])
+    got = sorted(((x.doc_id, round(x.log_weight, 3)) for x in scored.collect()), key=repr)
+    assert [w for _, w in got] == pytest.approx([w for _, w in sorted(((i, round(w, 3)) for (i, _), w in zip(corpus, weight)), key=repr)], abs=2e-3)
+    u = {(x.doc_id, x.text): (((x.h % 2**64) >> 11) + 0.5) / 2**53 for x in frame(spark, corpus).select("doc_id", "text", F.xxhash64(F.lit(quality.SEED), "doc_id", F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    keys = [w - math.log(-math.log(u[c])) for c, w in zip(corpus, weight)]
+    for k in (None, 30, 100):
+        n = sum(w >= least - 1e-6 for w in weight) if k is None else k
+        cut = sorted(keys, reverse=True)[n - 1]
+        kept = quality.resample(docs, labels, k)
+        assert sorted((x.doc_id for x in kept.collect()), key=repr) == sorted((i for (i, _), key in zip(corpus, keys) if key >= cut - 1e-6), key=repr)
+        assert kept.columns == [*docs.columns, "log_weight_", "gumbel_key_"] and quality.keep(docs, labels, k).columns == docs.columns
+    # the noise decides: another seed draws others among those of like weight
+    assert {x.doc_id for x in quality.keep(docs, labels, 30).collect()} != {x.doc_id for x in quality.keep(docs, labels, 30, seed=12).collect()}
+
+
 def test_quality_rejects_toxic_documents(spark):
     clean = [(i, prose(i, 200)) for i in range(150)]
     toxic = [(1000 + i, f"{prose(2000 + i, 20 + 150 * (i % 10))} {('Vileword,', 'foulword')[i % 2]} {prose(3000 + i, 60)}") for i in range(40)]

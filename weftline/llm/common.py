@@ -1,43 +1,20 @@
-"""Shared pieces: the cluster's shared folder, written tables, key columns, connected components."""
+"""Shared pieces: key columns, connected components, and the cluster's shared folder (sources.shared)."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id wherever ids are ordered: a null comes after every id.
-LAST_ID = 2**63 - 1
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        path = spark._jvm.org.apache.hadoop.fs.Path(named)  # a path without scheme is the default file system's
-        full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-        return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
-    own = getattr(spark.sparkContext, "_weftline_dir", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.sparkContext._weftline_dir = own
-        spark.sparkContext.setCheckpointDir(own)
-    return own
+from ..sources.shared import new_path, open_input, open_output, parquet_files, spread, written
 
+__all__ = ["LAST_ID", "components", "fresh", "new_path", "open_input", "open_output", "parquet_files", "release", "spread", "text_of", "written"]
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/weftline/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and it outlives any executor."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Stands for a null doc_id wherever ids are ordered: a null comes after every id.
+LAST_ID = 2**63 - 1
 
 
 def release(spark: SparkSession) -> None:
@@ -48,6 +25,17 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """names, each with underscores after it until no column of taken has it (case apart): helper columns that can't clash."""
+    known, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -79,23 +67,6 @@ def _oriented(e: DataFrame) -> DataFrame:
 
 
 def _signature(e: DataFrame) -> tuple:
+    """Tells two sets of edges apart: their number, and sums of parts of their hashes that stay far from overflow (2**20 x 2**43 rows)."""
     one = F.xxhash64("a", "b")
-    return tuple(e.agg(F.count("*"), F.bit_xor(one), F.sum(F.shiftrightunsigned(one, 24))).first())
-
-
-def open_output(uri: str):
-    """A new file in the shared folder (any file system that pyarrow knows), from an executor."""
-    from pyarrow.fs import FileSystem, FileType, LocalFileSystem
-
-    fs, path = FileSystem.from_uri(uri)
-    folder = path.rpartition("/")[0]
-    if isinstance(fs, LocalFileSystem) or fs.get_file_info(folder).type == FileType.NotFound:
-        fs.create_dir(folder, recursive=True)
-    return fs.open_output_stream(path, compression=None)
-
-
-def open_input(uri: str):
-    from pyarrow.fs import FileSystem
-
-    fs, path = FileSystem.from_uri(uri)
-    return fs.open_input_file(path)
+    return tuple(e.agg(F.count("*"), F.bit_xor(one), F.sum(F.shiftrightunsigned(one, 44)), F.sum(one.bitwiseAND(F.lit((1 << 20) - 1).cast("long")))).first())

@@ -2,8 +2,8 @@
 
 Words and pairs of words are hashed into buckets. The raw model counts all documents, the target model
 a bounded sample of the labelled good ones; a document's log-weight is the log-ratio of the two
-models, taken for each n-gram so that length alone neither wins nor loses. Adding Gumbel noise and
-keeping the k largest draws k documents without replacement in proportion to their weights.
+models, taken for each n-gram so that length alone neither wins nor loses, times a stated temperature. Adding Gumbel noise and
+keeping the k largest keys draws k documents without replacement in proportion to their weights.
 
 Toxic documents are rejected first: a second model weighs n-grams by how many labelled toxic and
 clean documents have them, and a document's score is its heaviest n-gram, so one in a long text counts
@@ -13,7 +13,7 @@ as much as in a short one.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import fresh, spread, text_of, written
 from .licenses import words_of
 
 BUCKETS = 1 << 16
@@ -30,9 +30,10 @@ BUCKETS = 1 << 16
 LABELLED = 20_000
 #: N-grams that a document is taken to have besides its own, as likely in either model.
 PRIOR = 50
-#: Scale of the weights against the noise, whose deviation is 1.28.
-SHARPNESS = 1000.0
-#: Of the labelled good documents that the cut is fitted on, the share that falls below it.
+#: Scale of the mean log-ratios: documents are drawn in proportion to exp(SHARPNESS x mean). The noise has a deviation of 1.28, so it
+#: decides among documents within some hundredths of the k-th in their mean; clean and junk ones are a tenth and more apart.
+SHARPNESS = 100.0
+#: Of the labelled good documents that k is fitted on, the share whose weight is under that of the k-th heaviest document.
 LOST = 0.001
 #: Weight of the raw model within the target model, in n-grams.
 SMOOTHING = 10_000.0
@@ -66,13 +67,12 @@ def fit(docs: DataFrame, target_ids: list[int]) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                b = batch.slice(i, 500)
-                for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                    n = np.bincount(grams(text), minlength=BUCKETS) if text else 0
-                    raw += n
-                    if doc_id in chosen:
-                        target += n
+            for i in range(0, batch.num_rows, 100):
+                b = batch.slice(i, 100)
+                own = [grams(t) for t in b["text"].to_pylist()]
+                raw += np.bincount(np.concatenate(own), minlength=BUCKETS)
+                if wanted := [g for g, doc_id in zip(own, b["doc_id"].to_pylist()) if doc_id in chosen]:
+                    target += np.bincount(np.concatenate(wanted), minlength=BUCKETS)
         at = np.flatnonzero(raw)
         yield pa.record_batch({"bucket": pa.array(at, pa.int32()), "raw": raw[at], "target": target[at]})
 
@@ -92,10 +92,10 @@ def log_weight(ratios: np.ndarray, text: Column) -> Column:
     return weight(text)
 
 
-def keyed(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame:
-    """docs with log_weight and gumbel_key, the log-weight plus noise drawn from the hash of id and text."""
+def keyed(docs: DataFrame, ratios: np.ndarray, seed: int = SEED, weight: str = "log_weight", key: str = "gumbel_key") -> DataFrame:
+    """docs with the log-weight and the key: the log-weight plus Gumbel noise drawn from the hash of id and text."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", text_of()), 11).cast("double") + 0.5) / F.lit(float(2**53))
-    return docs.withColumn("log_weight", log_weight(ratios, text_of())).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
+    return docs.withColumn(weight, log_weight(ratios, text_of())).withColumn(key, F.col(weight) - F.log(-F.log(u)))
 
 
 def top_k_cut(scores: DataFrame, k: int, column: str = "gumbel_key") -> float:
@@ -156,10 +156,13 @@ def fit_toxic(docs: DataFrame, toxic_ids: list[int], clean_ids: list[int]) -> tu
                 yield pa.record_batch({"gram": g, "toxic": np.full(len(g), int(doc_id in chosen)), "clean": np.full(len(g), int(doc_id not in chosen))})
 
     counts = texts_of(docs, [*toxic_ids, *clean_ids]).mapInArrow(count, "gram long, toxic long, clean long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    heaviest = (F.col("gram") < 0).desc(), ((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)).desc(), "gram"
-    got = counts.where("toxic > 0 or gram < 0").orderBy(*heaviest).limit(TOXIC_GRAMS + 1).toPandas()
-    n, got = got[got.gram < 0], got[got.gram >= 0].sort_values("gram")
-    ratio = np.log((got.toxic + 0.5) / (n.toxic.sum() + 1)) - np.log((got.clean + 0.5) / (n.clean.sum() + 1))
+    # a little of the gram's own hash sets equal ratios apart, so that the cut leaves TOXIC_GRAMS rows and no task or driver sorts all
+    apart = F.shiftrightunsigned(F.xxhash64("gram"), 11) / F.lit(2.0**53) * 1e-7
+    counts = written(counts.where("toxic > 0 or gram < 0").withColumn("order", F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) + apart), "toxic-grams")
+    n = counts.where("gram < 0").agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
+    known = counts.where("gram >= 0")
+    got = known.where(F.col("order") >= F.lit(top_k_cut(known.select("order"), TOXIC_GRAMS, "order"))).toPandas().sort_values("gram")
+    ratio = np.log((got.toxic + 0.5) / (n[0] + 1)) - np.log((got.clean + 0.5) / (n[1] + 1))
     return got.gram.to_numpy(np.uint32), ratio.to_numpy(np.float64)
 
 
@@ -188,40 +191,55 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if not toxic_ids or not cut_ids:
         return docs
     model = fit_toxic(docs, toxic_ids, clean_ids)
-    held = [r[0] for r in texts_of(docs, cut_ids).select(toxic_score(model, text_of())).limit(2 * LABELLED).collect()] if len(model[0]) else []
+    held = _by_id(texts_of(docs, cut_ids).withColumn("v", toxic_score(model, text_of())), F.max) if len(model[0]) else []
     if not held:
         return docs
     return docs.where(toxic_score(model, text_of()) <= F.lit(float(np.quantile(held, 1 - CLEAN_LOST, method="higher"))))
 
 
+def _by_id(scored: DataFrame, of_repeated: Callable) -> list[float]:
+    """v of each doc_id, of which there are LABELLED at most."""
+    return [r[1] for r in scored.groupBy("doc_id").agg(of_repeated("v")).collect()]
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """The models' ratios and the cut that keeps all but LOST of the labelled good documents held out for it."""
+    """The models' ratios, and the log-weight that all but LOST of the labelled good documents held out for it reach."""
     model_ids, cut_ids = labelled_good(labels)
     ratios = fit(docs, model_ids)
-    if not cut_ids:
-        return ratios, float("-inf")
-    keys = [r[0] for r in keyed(texts_of(docs, cut_ids), ratios).select("gumbel_key").limit(2 * LABELLED).collect()]
-    return ratios, float(np.quantile(keys, LOST, method="lower")) if keys else float("-inf")
+    held = _by_id(texts_of(docs, cut_ids).withColumn("v", log_weight(ratios, text_of())), F.min) if cut_ids else []
+    return ratios, float(np.quantile(held, LOST, method="lower")) if held else float("-inf")
+
+
+def draw(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED, weight: str = "log_weight", key: str = "gumbel_key") -> DataFrame:
+    """The k documents with the largest keys, of those that aren't toxic; columns weight and key are added (docs must not have them)."""
+    ratios, least = fitted(docs, labels)
+    docs = without_toxic(docs, labels)
+    scores = written(keyed(docs.select("doc_id", "text"), ratios, seed).select("log_weight", "gumbel_key"), "quality-keys")
+    if k is None:
+        k = scores.where(F.col("log_weight") >= F.lit(least)).count()
+    cut = top_k_cut(scores, k)
+    return keyed(docs, ratios, seed, weight, key).where(F.col(key) >= F.lit(cut))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
-    """The documents that the resampling keeps: all columns of docs, and log_weight and gumbel_key.
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """The documents that the resampling draws: all columns of docs, then log_weight and gumbel_key.
 
     Toxic documents (without_toxic) are no longer there when k are drawn.
-    k: how many; by default as many as have a key at or over the cut, which is what the top k are for
-    that k. Rows with equal keys at the k-th place are all kept. A null or empty text has weight 0 and
-    no n-grams; a null id takes part and draws by its text; rows that repeat id and text share their
-    draw; without labelled good rows the target is the raw model and all are kept; an empty table
-    gives none. Columns of docs named log_weight or gumbel_key are replaced.
+    k: how many; by default as many as have a weight that all but LOST of the held-out good documents reach. Rows with equal keys at
+    the k-th place are all kept. A null or empty text has weight 0 and no n-grams; a null id takes part and draws by its text; rows
+    that repeat id and text share their draw; without labelled good rows the target is the raw model and all are kept; an empty
+    table gives none. A text of any length is one row of Arrow and a few arrays of its own size. Where docs have a column log_weight
+    or gumbel_key, it stays and the new one gets an underscore more.
     """
-    ratios, cut = fitted(docs, labels)
-    docs = without_toxic(docs, labels)
-    scored = keyed(docs, ratios)
-    if k is not None:
-        cut = top_k_cut(keyed(docs.select("doc_id", "text"), ratios).select("gumbel_key"), k)
-    return scored.where(F.col("gumbel_key") >= F.lit(cut))
+    weight, key = fresh(docs.columns, "log_weight", "gumbel_key")
+    return draw(docs, labels, k, seed, weight, key)
+
+
+def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """The rows that resample keeps, with the columns of docs and no others, whatever their names."""
+    return resample(docs, labels, k, seed).select(*docs.columns)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
-    kept = resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kept = resample(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return kept.select("doc_id", "log_weight", "gumbel_key")

@@ -43,7 +43,7 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     words = F.array(*[F.lit(w) for w in _WORDS])
     word = [F.element_at(words, at(k)) for k in range(4)]
     digest = F.concat(F.sha2(F.concat(F.lit("r"), "id"), 256), F.sha2(F.concat(F.lit("s"), "id"), 256))
-    b64 = F.base64(F.unhex(digest))
+    b64 = F.regexp_replace(F.base64(F.unhex(digest)), "[\r\n]", "")
     kind = F.pmod("id", F.lit(4))
     random = F.when(kind == 0, F.substring(digest, 1, 40)).when(kind == 1, F.upper(F.regexp_replace(b64, "[+/=]", ""))).when(kind == 2, F.regexp_replace(b64, "[+/]", "")).otherwise(b64)
     ident = (
