@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_of, written
+from .common import fresh, spread, text_of, written
 
 WINDOW, GRAM = 10, 5
 #: Words of a text before A-Z are lower-cased, which changes no word's bounds.
@@ -121,14 +121,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that contain a benchmark window."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    """docs without those that contain a benchmark window, all columns as they are. Nulls, repeats and empty tables: as in contamination."""
+    of, hashed = fresh(docs.columns, "of", "hashed")
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias(of), F.col("text_hash").alias(hashed)).distinct()
     bad = written(bad, "contaminated")  # so that its size is known before Spark chooses the join
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of()) == F.col("__hash")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64(text_of()) == F.col(hashed)), "left_anti")
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
-    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = contamination(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 

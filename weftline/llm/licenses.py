@@ -4,11 +4,13 @@ For each size class (a power of two of 5-word shingles, 1.5 times a template's a
 that overlap by half, so any run of up to that size, a notice with words put in too, lies whole in one window. Windows and templates
 meet in a band of one row: a template that has 0.8 of its shingles in a window agrees with it in at least
 0.8 t / (2 s + 0.2 t), over 0.129, of its shingles; 192 bands miss such a pair with probability under
-0.871 ** 192 < 1e-11. Each pair that meets is verified on the words themselves.
+0.871 ** 192 < 1e-11. Each pair that meets is verified on the words themselves, over the best stretch of the window
+and one size on either side.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +18,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import spread, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of one row each.
 BANDS = 192
-#: As much text as the templates may have, so that they can go to every task.
+#: As much text as the templates of one pass may have, so that they can go to every task; more templates take more passes.
 TEMPLATE_BYTES = 4 << 20
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _RNG = np.random.default_rng(5)
@@ -41,6 +46,15 @@ software distributed under the License is distributed on an "AS IS" BASIS, WITHO
 _GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
 the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it
 will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+_GPL2 = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it
+will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+_LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published
+by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that
+it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+_AGPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it
+will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
 above copyright notice and this permission notice appear in all copies."""
 _MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
@@ -52,7 +66,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("BSD", _BSD), ("BSD", "Licensed under the BSD 3-Clause License."), ("BSD", "Released under the BSD License."),
     ("Apache-2.0", _APACHE), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "Released under the Apache License 2.0."),
     ("GPL-3.0", _GPL), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "Licensed under the GNU General Public License v3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."), ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("GPL-2.0", _GPL2), ("LGPL-2.1", _LGPL), ("AGPL-3.0", _AGPL), ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."), ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."), ("ISC", _ISC), ("MPL-2.0", _MPL),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -85,11 +99,9 @@ def minhash(hashes: np.ndarray) -> np.ndarray:
 
 
 class Templates:
-    """Templates by size class, with their bands and exact shingles. Bounded by TEMPLATE_BYTES."""
+    """Templates by size class, with their bands and exact shingles; scan keeps them within TEMPLATE_BYTES."""
 
     def __init__(self, templates: list[tuple[str, str]]):
-        if sum(len(t.encode()) for _, t in templates) > TEMPLATE_BYTES:
-            raise ValueError(f"templates of more than {TEMPLATE_BYTES} bytes")
         self.names, self.shingles, self.length, self.classes, lone = [], [], [], {}, []
         for name, text in templates:
             words = words_of(text)
@@ -108,7 +120,7 @@ class Templates:
 
     def find(self, text: str | None) -> dict[str, tuple[float, int, int]]:
         """License: greatest containment, and the words first and end of the first window that has it."""
-        words, found = words_of(text), {}
+        words, found, which = words_of(text), {}, {}
         by_n = {}
         for n, size in self.classes:
             if n not in by_n:
@@ -123,23 +135,63 @@ class Templates:
                 signature = minhash(window)
                 for at, bands in self.classes[n, size]:
                     if (signature == bands).any():
-                        last = min(start + 2 * size, len(h))
-                        own = {tuple(words[i : i + n]) for i in range(start, last)}
-                        share = len(self.shingles[at] & own) / len(self.shingles[at])
+                        # a notice may begin before the window or end after it: one size more on either side is looked at
+                        begin, last = max(0, start - size), min(start + 3 * size, len(h))
+                        share, first, end = self._best(at, [tuple(words[i : i + n]) for i in range(begin, last)], 2 * size)
                         if share >= SIMILARITY and share > found.get(self.names[at], (0.0,))[0]:
-                            found[self.names[at]] = (share, start, last + n - 1)
-        return found
+                            found[self.names[at]] = (share, begin + first, begin + end + n - 1)
+                            which[self.names[at]] = at
+        # of notices that are mostly the same words, the best one has the place
+        beaten = [x for x in found if any(found[y][0] > found[x][0] and self._alike(which[x], which[y]) and found[x][1] < found[y][2] and found[y][1] < found[x][2] for y in found)]
+        return {x: v for x, v in found.items() if x not in beaten}
+
+    def _alike(self, a: int, b: int) -> bool:
+        return 2 * len(self.shingles[a] & self.shingles[b]) >= min(len(self.shingles[a]), len(self.shingles[b]))
+
+    def _best(self, at: int, own: list[tuple], width: int) -> tuple[float, int, int]:
+        """The greatest containment of a template in width shingles in a row of own, and the first and end of those that have it."""
+        wanted, inside, best = self.shingles[at], Counter(), (0, 0, 0)
+        for i, s in enumerate(own):
+            if s in wanted:
+                inside[s] += 1
+            if i >= width and (gone := own[i - width]) in wanted:
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+            if len(inside) > best[0]:
+                best = len(inside), max(0, i - width + 1), i + 1
+        return best[0] / len(wanted), best[1], best[2]
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Licenses whose template has 0.8 or more of its 5-word shingles in a window of a document.
+    """Licenses whose template has 0.8 or more of its 5-word shingles in a window of a document, the better one of notices that share most words.
 
     Returns doc_id, license, containment, first_word, end_word (the window, exclusive end): a row for each license of
     each row of docs. Templates of fewer than five words are one shingle of all their words, those
     without words are left out. Null and empty texts have none; rows are judged one by one, so repeats and null ids
     change nothing; an empty table gives no rows; extra columns are ignored. Whole texts, no shuffle.
     """
-    pairs = TEMPLATES if templates is None else templates
+    pairs, groups, size = TEMPLATES if templates is None else templates, [[]], 0
+    for name, text in pairs:  # a pass over docs for each group of templates that a task can hold
+        if groups[-1] and size + len(text.encode()) > TEMPLATE_BYTES:
+            groups.append([])
+            size = 0
+        groups[-1].append((name, text))
+        size += len(text.encode())
+    if len(groups) == 1:
+        return _scan(docs, groups[0])
+    # a license of several groups is one row of a document still: rows are told apart by a number that a written table fixes
+    docs = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id()), "licenses-documents")
+    rows = docs.select(F.col("row").alias("doc_id"), "text")
+    every = _scan(rows, groups[0])
+    for g in groups[1:]:
+        every = every.unionByName(_scan(rows, g))
+    order = Window.partitionBy("doc_id", "license").orderBy(F.col("containment").desc(), "first_word", "end_word")
+    every = every.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r").withColumnRenamed("doc_id", "row")
+    return docs.select("row", "doc_id").join(every, "row").select("doc_id", "license", "containment", "first_word", "end_word")
+
+
+def _scan(docs: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     made: list[Templates] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,4 +210,4 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> Dat
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import fresh, spread, written
 
 #: A word: anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,7 +62,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
     sized = written(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     t = targets.select(F.col("source").alias("__of"), "source_size", "target")
-    both = _by_source(sized, t)
+    both = _by_source(sized, t, "__of")
     return both.withColumn("rate", _rate()).withColumn("copies", _copies(F.col("rate"), seed)).withColumn("taken", F.col("copies") * F.col("size"))
 
 
@@ -70,11 +70,12 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
 SALTS = 8
 
 
-def _by_source(rows: DataFrame, of_source: DataFrame) -> DataFrame:
-    """rows with the columns of of_source (a row for each source, __of); broadcast only if Spark finds it small."""
-    of_source = written(of_source, "mix-targets").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("__part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(of_source, (F.col("__part") == F.col("__salt")) & F.col("source").eqNullSafe(F.col("__of"))).drop("__part", "__salt", "__of")
+def _by_source(rows: DataFrame, of_source: DataFrame, of: str) -> DataFrame:
+    """rows with the other columns of of_source (a row for each source, in column of); broadcast only if Spark finds it small."""
+    part, salt = fresh([*rows.columns, *of_source.columns], "part", "salt")
+    of_source = written(of_source, "mix-targets").withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn(part, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(of_source, (F.col(part) == F.col(salt)) & F.col("source").eqNullSafe(F.col(of))).drop(part, salt, of)
 
 
 def _rate() -> Column:
@@ -88,15 +89,16 @@ def _copies(rate: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """The mix itself: docs with every row as often as mix_plan says, all columns kept."""
+    """The mix itself: docs with every row as often as mix_plan says, all columns kept, whatever their names; a text of any length is counted where it is."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = docs.select("source", size.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = source_targets(sizes, weights, share, cap).select(F.col("source").alias("__of"), _rate().alias("__rate"))
-    return _by_source(docs, rates).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), _copies(F.col("__rate"), seed).cast("int")))).select(*docs.columns)
+    of, rate, copy = fresh(docs.columns, "of", "rate", "copy")
+    rates = source_targets(sizes, weights, share, cap).select(F.col("source").alias(of), _rate().alias(rate))
+    return _by_source(docs, rates, of).withColumn(copy, F.explode(F.array_repeat(F.lit(1), _copies(F.col(rate), seed).cast("int")))).select(*docs.columns)
 
 
 def op10_mix(spark, sf_dir: str) -> DataFrame:
-    return mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix_plan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 OP10_SQL = r"""

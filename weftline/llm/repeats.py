@@ -27,6 +27,10 @@ SEGMENT = 256
 #: Bytes of distinct segments that are indexed together; an anchor that has more goes by parts of the
 #: hashes of its windows, each with its own index.
 INDEX_BYTES = 1 << 20
+#: An anchor that more texts than this have is hot: its windows are filed one by one under keys of their own, so that no task gets them all.
+HOT = 20_000
+#: Bytes of texts in a partition, about.
+PART_BYTES = 16 << 20
 _MUL = np.array([0x9E3779B97F4A7C15], np.uint64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -41,6 +45,7 @@ def window_anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) ->
     h ^= h >> np.uint64(31)
     h *= _MIX
     h ^= h >> np.uint64(29)
+    h &= ~np.uint64(1)  # the last bit marks hot anchors in lists
     width, size = length - gram + 1, 1
     while 2 * size <= width:
         h, size = np.minimum(h[:-size], h[size:]), 2 * size
@@ -65,9 +70,8 @@ def segments(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of segments, each ended by its own sign.
 
-    Rows are the suffixes in order. Kept are the runs of the transform (sign, first row, where the run
-    maps to), the end of each run as a text position, and the intervals of rows that agree on length
-    bytes with the least id among them, sampled at the interval's head. length is 7 at least.
+    Rows are the suffixes in order. Kept are the runs of the transform (first row, where the run maps to) and, of the rows that agree
+    on length bytes, an interval with one sample at its end: the least id among them. length is 7 at least.
     """
 
     def __init__(self, parts: list[bytes], ids: np.ndarray, length: int = LENGTH):
@@ -122,8 +126,7 @@ class RunIndex:
         by_sign = np.argsort(signs, kind="stable")
         to = np.empty(len(head), np.int64)
         to[by_sign] = np.cumsum(run_sizes[by_sign]) - run_sizes[by_sign]
-        self.head, self.to, self.signs = head, to, signs
-        self.run_ends = order[np.r_[head[1:], n] - 1]
+        self.head, self.to = head, to
         self.run_of = np.repeat(np.arange(len(head), dtype=np.int32), run_sizes)  # where a row's run is found
 
         second = half[np.minimum(order + length - half_size, n - 1)]
@@ -158,21 +161,36 @@ class RunIndex:
 
 
 def least_ids(parts: list[bytes], ids: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """RunIndex(parts).stream(), by parts of the windows' hashes where parts are many."""
+    """RunIndex(parts).stream(). More parts than an index should have go by their windows, sorted in shares of equal hashes: time in proportion to size."""
     total = sum(map(len, parts))
     if total <= 2 * INDEX_BYTES:
         return RunIndex(parts, ids, length).stream()
-    n = np.array([len(p) - length + 1 for p in parts])
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    n = np.maximum(sizes - length + 1, 0)
     begin = np.cumsum(n) - n
-    out = np.empty(int(n.sum()), np.int64)
-    share = -(-int(n.sum()) * (length + 1) // INDEX_BYTES)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(p[i : i + length]) for p in parts for i in range(len(p) - length + 1)), np.uint64, int(n.sum())) % np.uint64(share)
     of = np.repeat(np.arange(len(parts)), n)
-    for k in range(share):
-        at = np.flatnonzero(hashes == k)
-        own = [parts[of[w]][w - begin[of[w]] : w - begin[of[w]] + length] for w in at]
-        if own:
-            out[at] = RunIndex(own, ids[of[at]], length).stream()[0]
+    at = (np.cumsum(sizes) - sizes)[of] + np.arange(len(of)) - begin[of]  # where each window begins in all bytes
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)
+    h, m, size = data.astype(np.uint64) + np.uint64(1), _MUL, 1
+    while 2 * size <= length:  # equal windows have equal hashes of their first 32 bytes
+        h, m, size = h[:-size] * m + h[size:], m * m, 2 * size
+    order = np.argsort(h[at], kind="stable")
+    hs = h[at][order]
+    group = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
+    out = np.empty(len(of), np.int64)
+    step = max(1, INDEX_BYTES // length)
+    cuts = [0]
+    for g in group:  # shares of whole groups
+        if g - cuts[-1] >= step:
+            cuts.append(int(g))
+    for a, z in zip(cuts, [*cuts[1:], len(of)]):
+        own = order[a:z]
+        rows = np.ascontiguousarray(windows[at[own]]).view(f"V{length}").ravel()
+        _, same = np.unique(rows, return_inverse=True)
+        least = np.full(int(same.max()) + 1, LAST_ID, np.int64)
+        np.minimum.at(least, same, ids[of[own]])
+        out[own] = least[same]
     return out, begin
 
 
@@ -181,25 +199,37 @@ def _bytes_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows h, th in order: the distinct rows of each h that has two th. Holds a batch and one row."""
-    h0 = p0 = None
-    sent = False  # whether the last h has been found to have two th
+    """Of rows h, th in order: the distinct rows of each h that has two th; of one that has over HOT, h with its last bit set.
+
+    Holds a batch and HOT rows of one h at most: once an h is known to be hot, its rows are passed on as they come.
+    """
+    h0, p0 = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hot = False  # whether the h that is held is hot; then only its last row is held
+
+    def sent(h: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({"th": p, "h": h})
+
     for batch in batches:
-        h, p = batch["h"].to_numpy(), batch["th"].to_numpy()
-        if h0 is not None:
-            h, p = np.r_[h0, h], np.r_[p0, p]
+        held = len(h0)
+        h, p = np.r_[h0, batch["h"].to_numpy()], np.r_[p0, batch["th"].to_numpy()]
         new = np.r_[True, (h[1:] != h[:-1]) | (p[1:] != p[:-1])]
         h, p = h[new], p[new]
-        group = np.r_[True, h[1:] != h[:-1]]
-        number = np.cumsum(group) - 1
-        size = np.bincount(number)
-        many = size[number] > 1
-        if sent:  # the row that was held is of a group already known, and was sent with it
-            many |= number == 0
-            many[0] = False
-        sent_now = bool(size[-1] > 1 or (sent and number[-1] == 0))
-        h0, p0, sent = h[-1:], p[-1:], sent_now
-        yield pa.record_batch({"th": p[many], "h": h[many]})
+        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        size = np.diff(np.r_[start, len(h)])
+        number = np.repeat(np.arange(len(start)), size)
+        marked = np.where(size > HOT, 1, 0)
+        use = size[number] > 1
+        if hot:  # the row that is held was passed on before
+            marked[0] = 1
+            use[start[0] : start[0] + size[0]] = True
+            use[: min(held, 1)] = False
+        last = number == len(start) - 1
+        hot = bool(marked[-1])
+        now = use if hot else use & ~last
+        yield sent(h[now] | marked[number[now]], p[now])
+        h0, p0 = (h[-1:], p[-1:]) if hot else (h[last], p[last])
+    if not hot and len(h0) > 1:
+        yield sent(h0, p0)
 
 
 def _seg_hash(seg: bytes) -> int:
@@ -250,13 +280,27 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared_segments(batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
-    """Row of batch (text, hs), and anchor, first window and bytes of each segment whose anchor is in hs."""
+    """Row of batch (text, hs), and anchor, first window and bytes of each segment whose anchor is in hs.
+
+    Segments of hot anchors come as single windows, each under a key of its own bytes: equal ones meet all the same.
+    """
     for i in range(0, batch.num_rows, 200):
         b = batch.slice(i, 200)
         for j, (text, hs) in enumerate(zip(_bytes_of(b, "text"), b["hs"])):
             a, first, end = segments(text)
-            use = np.flatnonzero(np.isin(a, np.asarray(hs.values).view(np.uint64)))
-            yield i + j, [(x, f, text[f : e + LENGTH - 1]) for x, f, e in zip(a[use].view(np.int64).tolist(), first[use].tolist(), end[use].tolist())]
+            asked = np.asarray(hs.values).view(np.uint64)
+            hot = asked[asked & np.uint64(1) > 0] & ~np.uint64(1)
+            use = np.flatnonzero(np.isin(a, asked & ~np.uint64(1)))
+            if len(hot):
+                single = np.isin(a[use], hot)
+                use, alone = use[~single], use[single]
+            own = [(x, f, text[f : e + LENGTH - 1]) for x, f, e in zip(a[use].view(np.int64).tolist(), first[use].tolist(), end[use].tolist())]
+            if len(hot):
+                for k in alone.tolist():
+                    for w in range(int(first[k]), int(end[k])):
+                        seg = text[w : w + LENGTH]
+                        own.append((xxhash.xxh3_64_intdigest(seg, seed=1) - 2**63, w, seg))
+            yield i + j, own
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,9 +339,9 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     key = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), text_of().alias("text"))
     key = key.select(F.when(F.col("id") == LAST_ID, F.xxhash64("text")).otherwise(F.col("id")).alias("pk"), "id", F.xxhash64("text").alias("th"), "text")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-
     each = written(key.select("pk", "id", "th", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n")).distinct(), "repeats-keys")
+    size = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES), 1)  # partitions don't grow with the input
     first = each.groupBy("sha").agg(F.min("id").alias("first"))
     ranked = each.join(first, "sha")
     own = ranked.where("id = first").select("pk", "th").distinct()

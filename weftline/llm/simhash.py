@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, components, written
+from .common import LAST_ID, components, fresh, spread, written
 
 SEGMENTS, WIDTH = 16, 4
 #: A cell of more fingerprints than this is joined by three exact bit bands inside the cell: of two
@@ -179,7 +179,8 @@ def deduplicate(docs: DataFrame, shingle: int = 3, similarity: float | None = No
     if not ids.where("n > 1").isEmpty():
         again = ids.where("n > 1").select("doc_id")
         kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
-    lone = groups.where("doc_id is null and component_id is null").select(F.col("fp").alias("__fp")).distinct()
+    (own,) = fresh(docs.columns, "fp")
+    lone = groups.where("doc_id is null and component_id is null").select(F.col("fp").alias(own)).distinct()
     if lone.isEmpty():
         return kept
 
@@ -187,10 +188,10 @@ def deduplicate(docs: DataFrame, shingle: int = 3, similarity: float | None = No
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) if similarity is None else set_key(_hashes(t, shingle)) for t in text], dtype="int64")
 
-    none = docs.where("doc_id is null").withColumn("__fp", fp("text")).join(lone, "__fp", "left_semi").dropDuplicates(["__fp"])
+    none = docs.where("doc_id is null").withColumn(own, fp("text")).join(lone, own, "left_semi").dropDuplicates([own])
     return kept.union(none.select(*docs.columns))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
-    g = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    g = near_groups(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import new_path, open_input, open_output, written
 
@@ -30,6 +31,8 @@ SHARD_TOKENS = 4_000_000
 #: Distinct words whose ids a worker keeps.
 CACHE = 400_000
 END_ID = 2
+#: Parts of a manifest whose offsets are summed together, and tasks that read shards at most.
+GROUP, MOST_TASKS = 1024, 50_000
 
 
 # ---- the coder
@@ -246,13 +249,13 @@ class Encoder:
         return lengths, out
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str | None, folder: str, end_id: int = END_ID) -> DataFrame:
     """Writes the shards of docs into folder, in ascending doc_id order, and returns their manifest.
 
     Manifest: part, seq (their order), uri, n_docs, n_tokens; it is a written table. A shard's name is
     new for each attempt of a task and only shards that the manifest names count, so a lost executor
     costs its own tasks. Null ids come first; a null text is empty and has the end id alone; rows that
-    repeat an id are all written; an empty table gives no shards.
+    repeat an id are all written; an empty table gives no shards; extra columns are ignored. A long text is one array of ids of its task.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +277,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             return row
 
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer_path)
+            encoder = encoder or Encoder(tokenizer_path or tokenizer_file())  # found where it is opened
             for i in range(0, batch.num_rows, 1000):
                 b = batch.slice(i, 1000)
                 n, tokens = encoder.encode(b["text"], end_id)
@@ -294,13 +297,18 @@ MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("uri", pa.stri
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """Documents of the shards, decoded: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    before, starts = 0, []
-    for r in sorted(manifest.collect(), key=lambda r: (r["part"], r["seq"])):  # a row for each shard of millions of tokens
-        starts.append((r["uri"], before))
-        before += r["n_tokens"]
+    """Documents of the shards, decoded: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    Blocks are checked against their checksums; a document is as long as it is, a block at a time is held.
+    """
     spark = manifest.sparkSession
-    shards = spark.createDataFrame(starts, "uri string, start long").repartition(max(1, len(starts)))
+    # offsets in two levels, so that neither the driver nor a task sees a row of each shard: groups of parts, then shards within one
+    grouped = manifest.withColumn("g", F.floor(F.col("part") / GROUP))
+    before = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = grouped.groupBy("g").agg(F.sum("n_tokens").alias("n")).select("g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("g").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = grouped.withColumn("at", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(groups, "g").select("uri", (F.col("base") + F.col("at")).alias("start"))
+    shards = placed.repartition(max(1, min(manifest.count(), MOST_TASKS)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,7 +326,7 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 def write_and_read(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    manifest = write_tokens(docs, tokenizer_path or tokenizer_file(), new_path(docs.sparkSession, "tokens"))
+    manifest = write_tokens(docs, tokenizer_path, new_path(docs.sparkSession, "tokens"))
     return read_tokens(manifest)
 
 

@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, new_path, open_input, open_output, written
+from .common import LAST_ID, new_path, open_input, open_output, spread, written
 
 #: Payloads of fewer bytes are stored as often as they occur.
 LEAST_PAYLOAD = 100
 BLOCK_ENTRIES = 1000
 FILE_BYTES = 256 << 20
+#: Bytes of records that a task reads by ranges.
+READ_BYTES = 64 << 20
 FOOTER = "<QQ8s"
 MAGIC = b"WFCDX01\n"
 
@@ -51,15 +53,27 @@ def entry_key(url: str | None, page_id: int | None) -> str:
     return f"{url_key(url)} {LAST_ID if page_id is None else page_id + 2**62:020d}"
 
 
-def _record(url: str | None, page_id: int | None, html: str | None, digest: str, refers_to: int | None) -> bytes:
+def record_id(url: str | None, page_id: int | None) -> str:
+    """The same for rows that repeat url and id: they are one capture."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, entry_key(url, page_id))}>"
+
+
+def _info(name: str) -> bytes:
+    """The warcinfo record that a file begins with."""
+    block = b"software: weftline\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "WARC-Date: 2025-01-01T00:00:00Z", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", compresslevel=1, mtime=0)
+
+
+def _record(url: str | None, page_id: int | None, html: str | None, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
     payload = (html or "").encode("utf-8", "surrogatepass")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, entry_key(url, page_id))}>", "WARC-Date: 2025-01-01T00:00:00Z"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(url, page_id)}", "WARC-Date: 2025-01-01T00:00:00Z"]
     head += [f"WARC-Target-URI: {quote(url, safe='/:?&=#,;@!+%~()[]$*')}"] if url else []
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}"]
     if refers_to is not None:
-        head += [f"X-Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {record_id(refers_url, refers_to)}", "WARC-Refers-To-Date: 2025-01-01T00:00:00Z", f"X-Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", compresslevel=1, mtime=0)
 
@@ -78,15 +92,15 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     Of equal payloads of LEAST_PAYLOAD bytes or more the smallest page_id is the response and larger ones
     revisit it; rows that repeat that id are responses too. A null page_id comes after every id, so it
     revisits a page that has one, else it is a response. A null html is an empty payload, a null url has
-    the key '-'. Equal payloads meet by digest and smallest id only, never as a group. Files are named
+    the key '-'; extra columns are ignored, an empty table writes nothing, and a page of any length is one record. Equal payloads meet by digest and smallest id only, never as a group. Files are named
     anew by each attempt of a task; only those in the returned written table count.
     """
     digest = F.sha2(F.coalesce("html", F.lit("")), 256)
-    first = pages.where(F.octet_length("html") >= LEAST_PAYLOAD).groupBy(digest.alias("of")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    first = pages.where(F.octet_length("html") >= LEAST_PAYLOAD).groupBy(digest.alias("of")).agg(F.min("page_id").alias("first"), F.min_by("url", F.struct("page_id", "url")).alias("first_url"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     first = written(first, "warc-first")
-    each = pages.select("page_id", "url", "html", digest.alias("digest")).join(first, F.col("digest") == F.col("of"), "left")
+    each = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", digest.alias("digest")).join(first, F.col("digest") == F.col("of"), "left")
     later = F.col("first").isNotNull() & (F.octet_length("html") >= LEAST_PAYLOAD) & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
-    each = each.select("page_id", "url", "html", "digest", F.when(later, F.col("first")).alias("refers_to"))
+    each = each.select("page_id", "url", "html", "digest", F.when(later, F.col("first")).alias("refers_to"), "first_url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, uri, at = None, "", 0
@@ -97,9 +111,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     if out is None or at > FILE_BYTES:
                         if out:
                             out.close()
-                        uri, at = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
+                        uri = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                         out = open_output(uri)
-                    data = _record(r["url"], r["page_id"], r["html"], r["digest"], r["refers_to"])
+                        info = _info(uri.rpartition("/")[2])
+                        out.write(info)
+                        at = len(info)
+                    data = _record(r["url"], r["page_id"], r["html"], r["digest"], r["refers_to"], r["first_url"])
                     out.write(data)
                     rows.append((entry_key(r["url"], r["page_id"]), r["page_id"], uri, at, len(data)))
                     at += len(data)
@@ -211,7 +228,9 @@ def lookup(keys: DataFrame, shards: DataFrame) -> DataFrame:
                 found += index.find(key)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), PLACE.types)] if found else [pa.array([], t) for t in PLACE.types], schema=PLACE)
 
-    sent = keys.select("key", F.explode(route("key")).alias("n")).repartitionByRange("n", "key").sortWithinPartitions("n", "key")
+    # as many tasks as shards or cores: the keys are small, what is read by them isn't, which Spark can't tell
+    tasks = max(len(names), keys.sparkSession.sparkContext.defaultParallelism)
+    sent = keys.select("key", F.explode(route("key")).alias("n")).repartitionByRange(tasks, "n", "key").sortWithinPartitions("n", "key")
     return sent.mapInArrow(read, "uri string, offset long, length long")
 
 
@@ -239,7 +258,9 @@ def read_records(places: DataFrame) -> DataFrame:
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), RECORD.types)], schema=RECORD)
 
-    ordered = places.repartitionByRange("uri", "offset").sortWithinPartitions("uri", "offset")
+    size = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(-(-size // READ_BYTES), places.sparkSession.sparkContext.defaultParallelism)  # by the bytes that they read
+    ordered = places.repartitionByRange(tasks, "uri", "offset").sortWithinPartitions("uri", "offset")
     return ordered.mapInArrow(read, "page_id long, record_type string, payload_digest string, refers_to long, payload_bytes long")
 
 
@@ -265,7 +286,7 @@ def write_and_read(pages: DataFrame) -> DataFrame:
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
-    return write_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return write_and_read(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 OP6_SQL = """
