@@ -325,6 +325,19 @@ def test_contamination_equals_brute_force(spark, docs, monkeypatch, broadcast):
     assert kept.columns == docs.columns and kept.count() == sum(not r[5] for r in brute_hits(texts(), items))
 
 
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_contamination_where_much_is_almost_equal(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    monkeypatch.setattr(decontaminate, "CHUNK", 8)
+    r = random.Random(12)
+    text = lambda most: " ".join(r.choice(("a", "a", "b", "c")) for _ in range(r.randint(0, most)))
+    corpus, items = [(i, text(40)) for i in range(80)], [(i, text(16)) for i in range(40)]
+    corpus += corpus[:5] + [(90, " ".join(f"w{i}" for i in range(20_000)) + " " + items[0][1])]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert rows(decontaminate.contamination(frame(spark, corpus), b), *columns) == brute_hits(corpus, items)
+
+
 def test_contamination_of_empty_tables(spark, docs):
     b = spark.createDataFrame([(1, None)], "item_id long, text string")
     assert rows(decontaminate.contamination(docs, b), "n_hit") == [(0,)] * docs.count()

@@ -5,11 +5,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftline.llm import mixing, tokens
+from weftline.llm import decontaminate, mixing, quality, simhash, tokens
 
-from .test_operators import brute_fingerprint, brute_hits, groups_of
+from .helpers import prose
+from .test_operators import brute_hits
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,16 +33,55 @@ def test_names_and_columns(stages):
 
 
 def test_quality_keeps_clean_documents(spark, stages):
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     kept = {r.doc_id for r in stages[1].select("doc_id").collect()}
-    good, junk = {i for i, q in labels.items() if q}, {i for i, q in labels.items() if not q}
-    assert len(good & kept) >= len(good) - 1 and len(junk & kept) <= 0.5 * len(junk)
+    clean, junk = {i for i, (q, t) in labels.items() if q and not t}, {i for i, (q, _) in labels.items() if not q}
+    assert len(clean & kept) >= len(clean) - 1 and len(junk & kept) <= 0.1 * len(junk)
+
+
+def shingle_set(t):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
 def test_one_of_each_near_group_stays(stages):
-    rows = [(r.doc_id, r.text) for r in stages[1].collect()]
-    want = set(groups_of([i for i, _ in rows], [brute_fingerprint(t) for _, t in rows]))
-    assert sorted(r.doc_id for r in stages[2].collect()) == sorted(want)
+    rows = [(r.doc_id, shingle_set(r.text)) for r in stages[1].collect()]
+    label = [i for i, _ in rows]
+    near = [[j for j, (_, b) in enumerate(rows) if len(a & b) >= 0.8 * len(a | b)] for _, a in rows]
+    while (new := [min(label[j] for j in n) for n in near]) != label:
+        label = new
+    assert sorted(r.doc_id for r in stages[2].collect()) == sorted(set(label))
+
+
+def test_planted_documents(spark):
+    """Toxic ones, near copies and benchmark passages go; plain ones, odd columns and odd rows stay as they are."""
+    plain = [(i, prose(i, 120), "s") for i in range(200)]
+    labels = [(i, 1, 0) for i in range(120)] + [(300 + i, 1, 1) for i in range(20)]
+    toxic = [(300 + i, f"{prose(i + 900, 60)} vileword {prose(i + 950, 60)}", "t") for i in range(40)]
+    words = [t.split() for _, t, _ in plain[:10]]
+    for w in words:
+        w[60] = "changed"
+    near = [(400 + i, " ".join(w), "s") for i, w in enumerate(words)]
+    benchmark = [(i, prose(7000 + i, 30)) for i in range(3)]
+    bad = [(500 + i, f"{prose(i + 800, 50)} {t} {prose(i + 850, 50)}", "s") for i, t in benchmark]
+    rest = [(600, None, None), (None, prose(77, 80), "s"), (700, plain[50][1], "s")]
+    schema = "doc_id long, text string, source string"
+    docs = spark.createDataFrame(plain + toxic + near + bad + rest, schema).withColumn("log_weight", F.lit(1)).withColumn("of", F.lit("x")).withColumn("fp", F.lit(2))
+    q = quality.keep(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    kept = {r.doc_id for r in q.collect()}
+    assert not kept & set(range(300, 340)) and len(set(range(200)) - kept) <= 2 and q.columns == docs.columns
+    d = simhash.deduplicate(docs, shingle=5, similarity=0.8)
+    assert {r.doc_id for r in d.collect()} == {r.doc_id for r in docs.collect()} - set(range(400, 410)) - {700} and d.columns == docs.columns
+    c = decontaminate.decontaminate(docs, spark.createDataFrame(benchmark, "item_id long, text string"))
+    assert {r.doc_id for r in c.collect()} == {r.doc_id for r in docs.collect()} - {500, 501, 502} and c.columns == docs.columns
+    assert mixing.mix(docs).columns == docs.columns
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA)
+        assert docs.count() == 0
 
 
 def test_contaminated_documents_go(spark, stages):

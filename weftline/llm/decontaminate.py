@@ -1,9 +1,9 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
-Every 10-word window is fingerprinted by the smallest hash of its 5-word grams, on both sides: equal
-windows have equal fingerprints, so no shared span of 10 words is missed. Fingerprints are joined and
-each hit is extended over all words of the window before it counts. One scan of the documents serves
-the word counts and the hits.
+Of the 5-word grams in every run of 10 words the one with the smallest hash (the last of equal ones) is kept, on both sides. Equal
+runs keep the same gram, so every shared span of 10 words has one that both sides kept; of neighbouring runs most keep the same one,
+so two grams in seven are left. Kept grams are joined, and each hit is extended word by word to its left and right: the words count
+as hit if ten in a row agree. Items of fewer than 10 words are one gram each. One scan of the documents serves the word counts and the hits.
 """
 
 from __future__ import annotations
@@ -31,41 +31,84 @@ def word_hashes(text: Column) -> Column:
 
 
 def _h(j: int) -> Column:
-    return F.col(f"h{j}")
+    return F.col(f"h{j}" if j >= 0 else "hp")
 
 
-def _whole(n: int) -> Column:
-    """Fingerprint of n words: of a full window the smallest gram hash, of a short item the hash of all."""
-    if n < WINDOW:
-        return F.when(_h(n - 1).isNotNull(), F.xxhash64(F.lit(n), *[_h(j) for j in range(n)]))
-    return F.when(_h(n - 1).isNotNull(), F.least(*[F.xxhash64(*[_h(j + i) for i in range(GRAM)]) for j in range(n - GRAM + 1)]))
+#: Words that a kept gram carries: its own, and those that a run of WINDOW words may have before and after it.
+SIDE = WINDOW - GRAM
+CONTEXT = GRAM + 2 * SIDE
 
 
 def _laid_out(rows: DataFrame, *keep: str) -> DataFrame:
-    """rows with h (array): a row for each position with the hashes of the next ten words, h0 to h9 (null
-    past the end), at least one row for each of rows."""
+    """rows with h (array): a row for each position with the hashes of the word before, hp, and of the next ten, h0 to h9 (null past the
+    ends), and a, i: a[i + SIDE] is the word at the position. At least one row for each of rows."""
     n = F.greatest(F.size("h"), F.lit(1))
-    chunks = F.transform(F.sequence(F.lit(0), n - 1, F.lit(CHUNK)), lambda c: F.struct(c.alias("base"), F.slice("h", c + 1, CHUNK + WINDOW - 1).alias("h")))
-    c = rows.select(*keep, F.explode(chunks).alias("c")).select(*keep, "c.base", F.col("c.h").alias("h"))
-    zipped = F.arrays_zip(*[F.slice("h", j + 1, CHUNK).alias(f"h{j}") for j in range(WINDOW)])
-    laid = c.select(*keep, "base", F.posexplode_outer(zipped).alias("at", "x"))
-    return laid.select(*keep, (F.col("base") + F.coalesce("at", F.lit(0))).alias("pos"), *[F.col("x")[f"h{j}"].alias(f"h{j}") for j in range(WINDOW)])
-
-
-def item_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
-    """Distinct windows (win, len, fp, h0 to h9), the items of each (win, item_id), and the lengths there are."""
-    items = benchmark.select("item_id", word_hashes(text_of()).alias("h")).where(F.size("h") > 0)
-    laid = _laid_out(items.withColumn("n", F.size("h")), "item_id", "n")
-    full = laid.where(_h(WINDOW - 1).isNotNull()).withColumn("len", F.lit(WINDOW))
-    short = laid.where((F.col("n") < WINDOW) & (F.col("pos") == 0)).withColumn("len", F.col("n"))
-    fp = F.lit(None).cast("long")
-    for n in range(1, WINDOW + 1):
-        fp = F.when(F.col("len") == n, _whole(n)).otherwise(fp)
-    hs = [f"h{j}" for j in range(WINDOW)]
-    each = full.unionByName(short).select("item_id", "len", fp.alias("fp"), *hs).withColumn("win", F.sha2(F.concat_ws(",", "len", *hs), 256))
+    padded = F.concat(F.array_repeat(F.lit(None).cast("long"), SIDE), F.col("h"))
+    chunks = rows.select(*keep, padded.alias("h"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(CHUNK))).alias("base"))
+    c = chunks.select(*keep, "base", F.slice("h", F.col("base") + 1, CHUNK + SIDE + WINDOW + SIDE).alias("a"))
+    columns = {"h0": SIDE, "hp": SIDE - 1, **{f"h{j}": SIDE + j for j in range(1, WINDOW)}}
+    zipped = F.arrays_zip(*[F.slice("a", at + 1, CHUNK).alias(name) for name, at in columns.items()])
+    laid = c.select(*keep, "base", "a", F.posexplode_outer(F.slice(zipped, 1, F.greatest(F.lit(1), F.least(F.lit(CHUNK), F.size("a") - SIDE)))).alias("at", "x"))
+    i = F.coalesce("at", F.lit(0))
+    return laid.select(*keep, (F.col("base") + i).alias("pos"), i.alias("i"), "a", *[F.col("x")[name].alias(name) for name in columns])
+
+
+def _gram(j: int) -> Column:
+    return F.xxhash64(*[_h(j + k) for k in range(GRAM)])
+
+
+def _kept(rows: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
+    """rows from _laid_out that keep a gram: len (WINDOW, or the words of a short item), fp (its hash), o (place of the gram from pos).
+
+    A run keeps another gram than the run before it if its last gram is the least of both, or the first gram of the run before was the
+    least there; other rows are dropped, but for the first of a document.
+    """
+    last = WINDOW - GRAM
+    g = rows.select("*", *[_gram(j).alias(f"g{j}" if j >= 0 else "gp") for j in range(-1, last + 1)])
+    inner = F.least(*[F.col(f"g{j}") for j in range(last)])
+    g = g.withColumn("inner", inner)
+    newest = F.col(f"g{last}") <= F.col("inner")
+    place = F.when(newest, last)
+    for j in reversed(range(last)):
+        place = place.when(F.col(f"g{j}") == F.col("inner"), j)
+    changed = F.col("hp").isNull() | (F.col(f"g{last}") <= F.least("gp", "inner")) | (F.col("gp") < F.col("inner"))
+    full = F.col(f"h{WINDOW - 1}").isNotNull() & changed
+    whole = F.struct(F.lit(WINDOW).alias("len"), F.when(full, F.least("inner", f"g{last}")).alias("fp"), F.when(full, place).otherwise(0).alias("o"))
+    short = [F.struct(F.lit(n).alias("len"), F.when(_h(n - 1).isNotNull(), F.xxhash64(F.lit(n), *[_h(j) for j in range(n)])).alias("fp"), F.lit(0).alias("o")) for n in lengths]
+    k = g.withColumn("k", F.explode(F.array(whole, *short)) if short else whole)
+    return k.select(*keep, "pos", "i", "a", "k.len", "k.fp", "k.o").where(F.col("fp").isNotNull() | (F.col("pos") == 0))
+
+
+def _context() -> Column:
+    """SIDE words before the gram, the gram, and what follows: of a short item all its words are in it."""
+    return F.slice("a", F.col("i") + F.col("o") + 1, CONTEXT)
+
+
+def item_grams(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Distinct kept grams (win, len, fp, context), the items of each (win, item_id), and the lengths of short items."""
+    items = benchmark.select("item_id", word_hashes(text_of()).alias("h")).where(F.size("h") > 0).withColumn("n", F.size("h"))
+    short = sorted(r[0] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())  # nine at most
+    k = _kept(_laid_out(items, "item_id", "n"), short, "item_id", "n")
+    own = ((F.col("n") >= WINDOW) & (F.col("len") == WINDOW)) | ((F.col("n") < WINDOW) & (F.col("pos") == 0) & (F.col("len") == F.col("n")))
+    each = k.where(own & F.col("fp").isNotNull()).select("item_id", "len", "fp", _context().alias("words"))
+    each = each.withColumn("win", F.sha2(F.concat_ws(",", F.col("len").cast("string"), F.transform("words", lambda w: F.coalesce(w.cast("string"), F.lit("-")))), 256))
     each = written(each.distinct(), "winnow-items")
-    windows = written(each.drop("item_id").distinct(), "winnow-windows")
-    return windows, each.select("win", "item_id").distinct(), sorted(r[0] for r in each.select("len").distinct().collect())
+    return written(each.drop("item_id").distinct(), "winnow-grams"), each.select("win", "item_id").distinct(), short
+
+
+def _extent(own: Column, other: Column, length: Column) -> Column:
+    """struct(left, right): words before the gram and after its beginning that agree, if ten in a row do (of a short item: if all do), else null."""
+    same = lambda at: F.coalesce(F.get(own, F.lit(at)) == F.get(other, F.lit(at)), F.lit(False))
+
+    def run(places: list[int]) -> Column:
+        out = F.lit(len(places))
+        for n, at in reversed(list(enumerate(places))):
+            out = F.when(~same(at), n).otherwise(out)
+        return out
+
+    left, right = run(list(range(SIDE - 1, -1, -1))), run(list(range(SIDE, CONTEXT)))
+    whole = F.when((right >= GRAM) & (left + right >= WINDOW), F.struct(left.alias("left"), right.alias("right")))
+    return F.when(length == WINDOW, whole).when(right >= length, F.struct(F.lit(0).alias("left"), length.alias("right")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -74,36 +117,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Returns a row for each row of docs: doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated.
     A null text has no words; an item without words has no window; items that repeat a window count
     each; a null item_id counts as an item but isn't named in items_sha256. Rows that repeat doc_id
-    and text get the same values each; rows that share an id (or have none) but not the text are kept
+    and text get the same values each; a text of any length is laid out in chunks; rows that share an id (or have none) but not the text are kept
     apart. Empty tables give no rows, or rows without hits. Extra columns are ignored.
     """
-    windows, of_window, lengths = item_windows(benchmark)
+    grams, of_window, short = item_grams(benchmark)
     h = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), word_hashes(text_of()).alias("h"))
-    laid = _laid_out(h.withColumn("n_words", F.size("h").cast("long")), "doc_id", "text_hash", "n_words")
-    kinds = [F.struct(F.lit(n).alias("len"), _whole(n).alias("fp")) for n in lengths or [WINDOW]]
-    if len(kinds) == 1:
-        probes = laid.withColumn("k", kinds[0])
-    else:
-        probes = laid.withColumn("k", F.explode(F.array(*kinds)))
-    probes = probes.select("doc_id", "text_hash", "n_words", "pos", "k.len", "k.fp", *[f"h{j}" for j in range(WINDOW)])
-    first = (F.col("pos") == 0) & (F.col("len") == (lengths or [WINDOW])[0])
+    keep = ("doc_id", "text_hash", "n_words")
+    probes = _kept(_laid_out(h.withColumn("n_words", F.size("h").cast("long")), *keep), short, *keep)
+    first = (F.col("pos") == 0) & (F.col("len") == WINDOW)
 
-    w = windows.select("win", F.col("len").alias("wlen"), F.col("fp").alias("wfp"), *[_h(j).alias(f"w{j}") for j in range(WINDOW)])
+    w = grams.select("win", F.col("len").alias("wlen"), F.col("fp").alias("wfp"), F.col("words").alias("theirs"))
     equal = (F.col("fp") == F.col("wfp")) & (F.col("len") == F.col("wlen"))
-    for j in range(WINDOW):
-        equal &= F.col(f"w{j}").isNull() | (F.col(f"w{j}") == _h(j))
-    out = ["doc_id", "text_hash", "n_words", F.col("pos").cast("long").alias("pos"), "len", "win", first.alias("first")]
-    if windows.count() <= BROADCAST_WINDOWS:
-        found = probes.join(F.broadcast(w), equal, "left").where(F.col("win").isNotNull() | first).select(*out)
+    if grams.count() <= BROADCAST_WINDOWS:
+        joined = probes.withColumn("first", first).join(F.broadcast(w), equal, "left").where(F.col("win").isNotNull() | F.col("first"))
+        joined = joined.withColumn("own", F.when(F.col("win").isNotNull(), _context()))
     else:
-        found = probes.join(w, equal).where(~first).select(*out).unionByName(probes.where(first).join(w, equal, "left").select(*out))
+        sent = probes.select(*keep, "pos", "len", "fp", "o", first.alias("first"), _context().alias("own"))
+        once = sent.where("first").withColumn("fp", F.lit(None).cast("long")).join(w.limit(0), F.lit(True), "left")
+        joined = sent.withColumn("first", F.lit(False)).where("fp is not null").join(w, equal).unionByName(once)
+    joined = joined.withColumn("x", F.when(F.col("win").isNotNull(), _extent(F.col("own"), F.col("theirs"), F.col("len"))))
+    at = (F.col("pos") + F.col("o")).cast("long")
+    found = joined.where(F.col("x").isNotNull() | F.col("first")).select(*keep, (at - F.col("x.left")).alias("pos"), (at + F.col("x.right")).alias("end"), F.when(F.col("x").isNotNull(), F.col("win")).alias("win"), F.col("win").alias("met"), "first")
     found = written(found, "winnow-hits")
 
     key = ["doc_id", "text_hash"]
-    # a first position that hits several windows gives several rows for one document: copies are counted by (win of the least)
-    seen = found.where("first").groupBy(*key, "n_words", "win").agg(F.count("*").alias("n")).groupBy(*key, "n_words").agg(F.max("n").alias("n"))
+    # a first row that meets several grams gives several rows for one document: copies are counted by any one of them
+    seen = found.where("first").groupBy(*key, "n_words", "met").agg(F.count("*").alias("n")).groupBy(*key, "n_words").agg(F.max("n").alias("n"))
     hits = found.where("win is not null")
-    spans = hits.groupBy(*key, "pos").agg(F.max(F.col("pos") + F.col("len")).alias("end"))
+    spans = hits.groupBy(*key, "pos").agg(F.max("end").alias("end"))
     upto = F.max("end").over(Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     n_hit = spans.withColumn("new", F.col("end") - F.greatest("pos", F.least(F.coalesce(upto, F.lit(0)), F.col("end")))).groupBy(*key).agg(F.sum("new").alias("n_hit"))
     items = hits.select(*key, "win").distinct().join(of_window, "win").select(*key, "item_id").distinct()

@@ -24,11 +24,13 @@ from pyspark.sql.window import Window
 from .common import LAST_ID, new_path, open_input, open_output, written
 
 K, K1, B = 10, 1.2, 0.75
-#: Documents and words of a shard, at most (one longer document apart).
+#: Documents and words of a shard, at most (up to the words of 100 documents that are read together).
 SHARD_DOCS, SHARD_WORDS = 8192, 6_000_000
 #: A term in more than this share of a shard's documents is frequent.
 FREQUENT = 0.03
 BLOCK_DOCS = 32
+#: Cells of the matrix of frequent terms and documents of a shard, at most: the most frequent terms have columns, others are postings.
+CELLS = 1 << 24
 #: Blocks by which each query's threshold is found before the others are judged.
 FIRST_BLOCKS = 4
 #: Bounds and scores are compared with so much room, for rounding to 6 decimals.
@@ -81,8 +83,8 @@ def build_index(docs: DataFrame, folder: str) -> DataFrame:
             return pa.record_batch({"uri": [uri], "n_docs": pa.array([len(ids)], pa.int64()), "n_words": pa.array([int(length.sum())], pa.int64())})
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                b = batch.slice(i, 1000)
+            for i in range(0, batch.num_rows, 100):
+                b = batch.slice(i, 100)
                 term, row, count, length = term_counts(b["text"])
                 if n_docs and (n_docs + len(length) > SHARD_DOCS or n_words + length.sum() > SHARD_WORDS):
                     yield close()
@@ -130,7 +132,8 @@ class Searcher:
         norm = k1 * (1 - b + b * f["lengths"] / mean_length) if mean_length else np.full(n, k1)
         self.impact = count * (k1 + 1) / (count + norm[self.docs])
         df = np.diff(self.first)
-        head = np.flatnonzero(df > max(BLOCK_DOCS, FREQUENT * n))
+        head = np.argsort(-df, kind="stable")[: CELLS // max(n, 1)]
+        head = np.sort(head[df[head] > max(BLOCK_DOCS, FREQUENT * n)])
         self.head_of = np.full(len(self.terms), -1)
         self.head_of[head] = np.arange(len(head))
         self.head_df = df[head]
