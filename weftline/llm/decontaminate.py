@@ -20,8 +20,8 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Windows of all items that may be broadcast (under 150 bytes each); beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 50_000
-#: Words of a document that are laid out at a time.
-CHUNK = 4096
+#: Words of a document that are laid out at a time. A row of each word may be copied with its chunk, so chunks are short.
+CHUNK = 64
 
 
 def word_hashes(text: Column) -> Column:
@@ -61,7 +61,7 @@ def _kept(rows: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
     """rows from _laid_out that keep a gram: len (WINDOW, or the words of a short item), fp (its hash), o (place of the gram from pos).
 
     A run keeps another gram than the run before it if its last gram is the least of both, or the first gram of the run before was the
-    least there; other rows are dropped, but for the first of a document.
+    least there; other rows have a null fp. They aren't filtered here: Spark would push the filter below and hash every gram again for it.
     """
     last = WINDOW - GRAM
     g = rows.select("*", *[_gram(j).alias(f"g{j}" if j >= 0 else "gp") for j in range(-1, last + 1)])
@@ -76,7 +76,7 @@ def _kept(rows: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
     whole = F.struct(F.lit(WINDOW).alias("len"), F.when(full, F.least("inner", f"g{last}")).alias("fp"), F.when(full, place).otherwise(0).alias("o"))
     short = [F.struct(F.lit(n).alias("len"), F.when(_h(n - 1).isNotNull(), F.xxhash64(F.lit(n), *[_h(j) for j in range(n)])).alias("fp"), F.lit(0).alias("o")) for n in lengths]
     k = g.withColumn("k", F.explode(F.array(whole, *short)) if short else whole)
-    return k.select(*keep, "pos", "i", "a", "k.len", "k.fp", "k.o").where(F.col("fp").isNotNull() | (F.col("pos") == 0))
+    return k.select(*keep, "pos", "i", "a", "k.len", "k.fp", "k.o")
 
 
 def _context() -> Column:
