@@ -84,18 +84,43 @@ def fit(docs: DataFrame, target_ids: list[int]) -> np.ndarray:
     return np.log((target + SMOOTHING * p) / (target.sum() + SMOOTHING) / p).astype(np.float32)
 
 
-def log_weight(ratios: np.ndarray, text: Column) -> Column:
-    @F.pandas_udf("double")
-    def weight(texts: pd.Series) -> pd.Series:
-        return pd.Series([SHARPNESS * float(ratios[g := grams(t)].sum(dtype=np.float64)) / (len(g) + PRIOR) for t in texts], dtype="float64")
+def weight_of(ratios: np.ndarray, text: str | None) -> float:
+    g = grams(text)
+    return SHARPNESS * float(ratios[g].sum(dtype=np.float64)) / (len(g) + PRIOR)
 
-    return weight(text)
 
+def toxicity_of(model: tuple[np.ndarray, np.ndarray], text: str | None) -> float:
+    """The largest log-ratio of a text's n-grams; 0 without any that the model has."""
+    known, ratios = model
+    if not len(known):
+        return 0.0
+    g = toxic_grams(text)
+    at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+    return float(max(0.0, ratios[at[known[at] == g]].max(initial=0.0)))
+
+
+NO_MODEL = (np.zeros(0, np.uint32), np.zeros(0))
+
+
+def scores(ratios: np.ndarray, model: tuple[np.ndarray, np.ndarray], text: Column) -> Column:
+    """struct(w, t): log-weight and toxicity of a text, in one function, so that a task has one Python worker.
+
+    It is declared nondeterministic though it isn't: else Spark would evaluate it once more for each filter on it.
+    """
+
+    @F.pandas_udf("w double, t double")
+    def score(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"w": [weight_of(ratios, t) for t in texts], "t": [toxicity_of(model, t) for t in texts]}, dtype="float64")
 
-def keyed(docs: DataFrame, ratios: np.ndarray, seed: int = SEED, weight: str = "log_weight", key: str = "gumbel_key") -> DataFrame:
-    """docs with the log-weight and the key: the log-weight plus Gumbel noise drawn from the hash of id and text."""
+    return score.asNondeterministic()(text)
+
+
+def keyed(docs: DataFrame, ratios: np.ndarray, seed: int = SEED, weight: str = "log_weight", key: str = "gumbel_key", model: tuple[np.ndarray, np.ndarray] = NO_MODEL, most: float = float("inf")) -> DataFrame:
+    """docs, those of a toxicity over most left out, with the log-weight and the key: the log-weight plus Gumbel noise drawn from the hash of id and text."""
+    (own,) = fresh([*docs.columns, weight, key], "scored")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", text_of()), 11).cast("double") + 0.5) / F.lit(float(2**53))
-    return docs.withColumn(weight, log_weight(ratios, text_of())).withColumn(key, F.col(weight) - F.log(-F.log(u)))
+    scored = docs.withColumn(own, scores(ratios, model, text_of())).where(F.col(own)["t"] <= F.lit(most))
+    return scored.withColumn(weight, F.col(own)["w"]).withColumn(key, F.col(weight) - F.log(-F.log(u))).drop(own)
 
 
 def top_k_cut(scores: DataFrame, k: int, column: str = "gumbel_key") -> float:
@@ -166,35 +191,17 @@ def fit_toxic(docs: DataFrame, toxic_ids: list[int], clean_ids: list[int]) -> tu
     return got.gram.to_numpy(np.uint32), ratio.to_numpy(np.float64)
 
 
-def toxic_score(model: tuple[np.ndarray, np.ndarray], text: Column) -> Column:
-    """The largest log-ratio of a text's n-grams; 0 without any that the model has."""
-    known, ratios = model
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        def one(t: str) -> float:
-            g = toxic_grams(t)
-            at = np.minimum(np.searchsorted(known, g), len(known) - 1)
-            return float(max(0.0, ratios[at[known[at] == g]].max(initial=0.0)))
-
-        return pd.Series([one(t) for t in texts], dtype="float64")
-
-    return score(text)
-
-
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that score above all but CLEAN_LOST of the labelled clean documents held out for the cut.
+def toxic_model(docs: DataFrame, labels: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+    """The model and the toxicity that all but CLEAN_LOST of the labelled clean documents held out for the cut have at most.
 
-    Without labelled toxic or clean documents nothing is rejected.
+    Without labelled toxic or clean documents, no document is over it.
     """
     toxic_ids, (clean_ids, cut_ids) = labelled_toxic(labels), labelled_good(labels)
     if not toxic_ids or not cut_ids:
-        return docs
+        return NO_MODEL, float("inf")
     model = fit_toxic(docs, toxic_ids, clean_ids)
-    held = _by_id(texts_of(docs, cut_ids).withColumn("v", toxic_score(model, text_of())), F.max) if len(model[0]) else []
-    if not held:
-        return docs
-    return docs.where(toxic_score(model, text_of()) <= F.lit(float(np.quantile(held, 1 - CLEAN_LOST, method="higher"))))
+    held = _by_id(texts_of(docs, cut_ids).withColumn("v", scores(np.zeros(BUCKETS, np.float32), model, text_of())["t"]), F.max)
+    return model, float(np.quantile(held, 1 - CLEAN_LOST, method="higher")) if held else float("inf")
 
 
 def _by_id(scored: DataFrame, of_repeated: Callable) -> list[float]:
@@ -206,25 +213,25 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The models' ratios, and the log-weight that all but LOST of the labelled good documents held out for it reach."""
     model_ids, cut_ids = labelled_good(labels)
     ratios = fit(docs, model_ids)
-    held = _by_id(texts_of(docs, cut_ids).withColumn("v", log_weight(ratios, text_of())), F.min) if cut_ids else []
+    held = _by_id(texts_of(docs, cut_ids).withColumn("v", scores(ratios, NO_MODEL, text_of())["w"]), F.min) if cut_ids else []
     return ratios, float(np.quantile(held, LOST, method="lower")) if held else float("-inf")
 
 
 def draw(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED, weight: str = "log_weight", key: str = "gumbel_key") -> DataFrame:
     """The k documents with the largest keys, of those that aren't toxic; columns weight and key are added (docs must not have them)."""
     ratios, least = fitted(docs, labels)
-    docs = without_toxic(docs, labels)
-    scores = written(keyed(docs.select("doc_id", "text"), ratios, seed).select("log_weight", "gumbel_key"), "quality-keys")
+    model, most = toxic_model(docs, labels)
+    known = written(keyed(docs.select("doc_id", "text"), ratios, seed, model=model, most=most).select("log_weight", "gumbel_key"), "quality-keys")
     if k is None:
-        k = scores.where(F.col("log_weight") >= F.lit(least)).count()
-    cut = top_k_cut(scores, k)
-    return keyed(docs, ratios, seed, weight, key).where(F.col(key) >= F.lit(cut))
+        k = known.where(F.col("log_weight") >= F.lit(least)).count()
+    cut = top_k_cut(known, k)
+    return keyed(docs, ratios, seed, weight, key, model, most).where(F.col(key) >= F.lit(cut))
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
     """The documents that the resampling draws: all columns of docs, then log_weight and gumbel_key.
 
-    Toxic documents (without_toxic) are no longer there when k are drawn.
+    Toxic documents (over the cut of toxic_model) are no longer there when k are drawn.
     k: how many; by default as many as have a weight that all but LOST of the held-out good documents reach. Rows with equal keys at
     the k-th place are all kept. A null or empty text has weight 0 and no n-grams; a null id takes part and draws by its text; rows
     that repeat id and text share their draw; without labelled good rows the target is the raw model and all are kept; an empty
