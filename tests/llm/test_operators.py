@@ -425,6 +425,32 @@ def test_near_copies_by_similarity_equal_brute_force(spark):
     assert sorted(kept) == sorted({x for x in label if x < 2**63 - 1}) and any(1000 < x and x % 2 == 0 and x + 1 not in kept for x in kept)
 
 
+def test_near_copies_by_similarity_come_from_fingerprints(spark, monkeypatch):
+    """The grid gets the SimHash of the sets, and a large group of near copies costs pairs in proportion to its size."""
+    base = prose(41, 300).split()
+    corpus = [(i, " ".join([*base[: 3 * i], f"other{i}", *base[3 * i + 1 :]])) for i in range(80)] + [(100 + i, prose(600 + i, 100)) for i in range(20)]
+    gridded, compared = [], []
+    links, written = simhash.links, simhash.written
+
+    def seen_links(fps):
+        gridded.extend(x.fp for x in fps.collect())
+        return links(fps)
+
+    def seen_written(df, label, *by):
+        out = written(df, label, *by)
+        if label == "simhash-pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "links", seen_links)
+    monkeypatch.setattr(simhash, "written", seen_written)
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.near_groups(docs, 5, 0.8).collect()}
+    assert got == {i: 0 if i < 80 else i for i, _ in corpus}
+    assert set(gridded) == {simhash.fingerprint(t, 5) for _, t in corpus}
+    assert 79 <= sum(compared) < 80 * 79 / 4
+
+
 @pytest.mark.parametrize("crowded", [256, 1])
 def test_links_lose_none(spark, monkeypatch, crowded):
     monkeypatch.setattr(simhash, "CROWDED", crowded)

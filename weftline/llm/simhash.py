@@ -6,15 +6,17 @@ distance 2 on that grid. Two grid points within distance 2 have a common point w
 every distinct fingerprint enters the cells within 1 of its own (33 at most), cells are joined, and
 the pairs that meet are verified on the fingerprints themselves.
 
-With a similarity asked for, documents link by the Jaccard similarity of their shingles instead. At 0.8
-64-bit fingerprints differ in 10 bits or so, at times in 20, a radius at which most of a large corpus
-meets; so candidates come from MinHash bands, and shingles are compared exactly.
+With a similarity asked for, documents link by the Jaccard similarity of their shingles instead. The
+grid's links are compared exactly. At 0.8 64-bit fingerprints differ in 10 bits or so, at times in 20, a
+radius at which most of a large corpus meets; so MinHash bands tell which further fingerprints, of 512
+bits, are held against each other, and pairs within their radius are compared exactly as well.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import LAST_ID, components, fresh, spread, written
 
@@ -35,10 +38,16 @@ BANDS = ((0, 22), (22, 21), (43, 21))
 #: probability (1 - 0.8 ** 4) ** 40 < 1e-9.
 MIN_BANDS, MIN_ROWS = 40, 4
 
+#: 64-bit words of the fingerprint that pairs of the bands are held against, the first one being the grid's. A pair may differ in as many bits as
+#: expected at the similarity and DEVIATIONS standard deviations more; sets of under FEW shingles, whose votes are no normal variables, aren't filtered.
+WORDS, DEVIATIONS, FEW = 8, 6, 32
+
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 2**63, MIN_BANDS * MIN_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, MIN_BANDS * MIN_ROWS, np.uint64)
+_C = _RNG.integers(1, 2**63, WORDS - 1, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles_of(text: str | None, shingle: int) -> list[bytes]:
@@ -104,48 +113,97 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return np.zeros(0, np.int64)
     least = np.full(len(_A), 2**64 - 1, np.uint64)
-    for i in range(0, len(hashes), 1 << 11):
-        h = hashes[i : i + (1 << 11), None] * _A + _B
+    for i in range(0, len(hashes), 1 << 7):  # stays in a core's cache
+        h = hashes[i : i + (1 << 7), None] * _A + _B
         np.minimum(least, (h ^ (h >> np.uint64(32))).min(axis=0), out=least)
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), seed=n) for n, b in enumerate(least.reshape(MIN_BANDS, MIN_ROWS))], np.uint64).view(np.int64)
 
 
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WORDS longs of a set of shingle hashes: the SimHash of the hashes, then of other hashes of them; zeros for none."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for i in range(0, len(hashes), 255):
+        h = hashes[i : i + 255, None]
+        more = h * _C
+        more ^= more >> np.uint64(32)
+        more *= _MIX
+        more ^= more >> np.uint64(29)
+        ones += np.add.reduce(np.unpackbits(np.concatenate([h, more], axis=1).view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)
+
+
 def _hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter(map(_HASH, shingles_of(text, shingle)), np.uint64))
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fp (long: key of the set of shingles), bands and text of each row."""
+    """doc_id, fp (long: key of the set of shingles), n (its size), wide (its fingerprint), bands and text of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 b = batch.slice(i, 500)
                 own = [_hashes(t, shingle) for t in b["text"].to_pylist()]
-                yield pa.record_batch({"doc_id": b["doc_id"], "fp": pa.array(map(set_key, own), pa.int64()), "bands": pa.array(map(band_keys, own), pa.list_(pa.int64())), "text": b["text"]})
+                columns = {"fp": pa.array(map(set_key, own), pa.int64()), "n": pa.array(map(len, own), pa.int64()), "wide": pa.array(map(wide_fingerprint, own), longs), "bands": pa.array(map(band_keys, own), longs)}
+                yield pa.record_batch({"doc_id": b["doc_id"], **columns, "text": b["text"]})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, n long, wide array<long>, bands array<long>, text string")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, bands array<long>, text string")
 
+def bits_apart(similarity: float) -> float:
+    """Bits of 64 * WORDS in which sets of that Jaccard similarity may differ: their vectors' cosine is 2s / (1 + s) at least."""
+    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return 64 * WORDS * share + DEVIATIONS * math.sqrt(64 * WORDS * share * (1 - share))
 
-def similar(sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """sets: from shingle_sets. Returns the pairs fa < fb of keys whose sets have that Jaccard similarity."""
-    own = sets.select("fp", F.posexplode("bands").alias("band", "bits")).distinct()
-    a, b = own.withColumnRenamed("fp", "fa"), own.withColumnRenamed("fp", "fb")
-    met = written(a.join(b, ["band", "bits"]).where("fa < fb").select("fa", "fb").distinct(), "simhash-met")
-    asked = met.select(F.col("fa").alias("fp")).union(met.select("fb")).distinct()
+
+def similar(sets: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """sets: from shingle_sets; nodes: fp, n, wide, bands of each distinct set. Returns links fa, fb of sets with that Jaccard
+    similarity, by which the same sets are connected as by all such links.
+
+    First the grid's links and each cell's and band's sets with its smallest one, which is a number of pairs in proportion to
+    the sets; then all pairs of a band that these links haven't connected yet.
+    """
+    sims = nodes.groupBy(F.col("wide")[0].alias("fp")).agg(F.min("fp").alias("of"))
+    grid = links(sims.select("fp")).distinct().join(sims.select(F.col("fp").alias("fa"), F.col("of").alias("a")), "fa").join(sims.select(F.col("fp").alias("fb"), F.col("of").alias("b")), "fb")
+    cell = nodes.select("fp", F.col("wide")[0].alias("sim")).join(sims.withColumnRenamed("fp", "sim"), "sim")
+    bucket = Window.partitionBy("bits")
+    own = nodes.select("fp", F.explode("bands").alias("bits"))
+    met = written(own.select("bits", "fp", F.min("fp").over(bucket).alias("of"), F.max("fp").over(bucket).alias("last")).where("of < last").drop("last"), "simhash-met")
+    stars = grid.select("a", "b").union(cell.select("fp", "of")).union(met.select("fp", "of"))
+    first = written(_alike(sets, nodes, stars, shingle, similarity), "simhash-links")
+    comp = components(first.select(F.col("fa").alias("a"), F.col("fb").alias("b")), "simhash-near")
+    at = met.join(comp, met.fp == comp.node, "left").select("bits", "fp", F.coalesce("root", "fp").alias("root"))
+    open_ = at.select("*", F.min("root").over(bucket).alias("low"), F.max("root").over(bucket).alias("high")).where("low < high")
+    open_ = written(open_.select("bits", "fp", "root"), "simhash-open")
+    a, b = (open_.select("bits", F.col("fp").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    rest = a.join(b, "bits").where("ra < rb").select("a", "b").distinct().join(stars.select("a", "b").union(stars.select("b", "a")), ["a", "b"], "left_anti")
+    return first.union(written(_alike(sets, nodes, rest, shingle, similarity), "simhash-links"))
+
+
+def _alike(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of pairs a, b those of that similarity, as fa < fb: by sizes, then by fingerprints, then exactly."""
+    known = [nodes.select(F.col("fp").alias(f"f{x}"), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab"]
+    both = pairs.where("a <> b").select(F.least("a", "b").alias("fa"), F.greatest("a", "b").alias("fb")).distinct()
+    both = both.join(known[0], "fa").join(known[1], "fb").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    apart = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(WORDS)), F.lit(0))
+    near_ = written(both.where((F.least("na", "nb") < FEW) | (apart <= bits_apart(similarity))).select("fa", "fb"), "simhash-pairs")
+    asked = near_.select(F.col("fa").alias("fp")).union(near_.select("fb")).distinct()
     text = written(sets.join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "simhash-texts")
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
+        known = lru_cache(16)(lambda t: set(shingles_of(t, shingle)))
+
         def one(s: str, t: str) -> bool:
-            p, q = set(shingles_of(s, shingle)), set(shingles_of(t, shingle))
+            p, q = known(s), known(t)
             both = len(p & q)
             return both >= similarity * (len(p) + len(q) - both)
 
         return pd.Series([one(s, t) for s, t in zip(x, y)], dtype="bool")
 
-    pairs = met.join(text.select(F.col("fp").alias("fa"), F.col("text").alias("ta")), "fa").join(text.select(F.col("fp").alias("fb"), F.col("text").alias("tb")), "fb")
-    return pairs.where(near("ta", "tb")).select("fa", "fb")
+    texts = near_.join(text.select(F.col("fp").alias("fa"), F.col("text").alias("ta")), "fa").join(text.select(F.col("fp").alias("fb"), F.col("text").alias("tb")), "fb")
+    return texts.where(near("ta", "tb")).select("fa", "fb")
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, similarity: float | None = None) -> DataFrame:
@@ -160,8 +218,9 @@ def near_groups(docs: DataFrame, shingle: int = 3, similarity: float | None = No
     ignored. Copies meet as one fingerprint before any join, so a group of thousands costs one node.
     """
     each = written(fingerprints(docs, shingle) if similarity is None else shingle_sets(docs, shingle), "simhash")
-    nodes = written(each.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("rep")), "simhash-nodes")
-    found = written(links(nodes.select("fp")).distinct() if similarity is None else similar(each, shingle, similarity), "simhash-links")
+    more = [] if similarity is None else [F.first(c).alias(c) for c in ("n", "wide", "bands")]
+    nodes = written(each.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("rep"), *more), "simhash-nodes")
+    found = written(links(nodes.select("fp")).distinct(), "simhash-links") if similarity is None else similar(each, nodes, shingle, similarity)
     comp = components(found.select(F.col("fa").alias("a"), F.col("fb").alias("b")), "simhash-components")
     group = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = group.groupBy("root").agg(F.min("rep").alias("component_id"))
