@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 from .common import fresh, spread, text_of, written
 
 WINDOW, GRAM = 10, 5
-#: Words of a text before A-Z are lower-cased, which changes no word's bounds.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words. Splitting at it takes a fifth of the time of matching the words one by one.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Windows of all items that may be broadcast (under 150 bytes each); beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 50_000
@@ -26,8 +26,8 @@ CHUNK = 64
 
 def word_hashes(text: Column) -> Column:
     """A 64-bit hash for each word with A-Z (no other letters) in lower case."""
-    lower = lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER))
-    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(lower(w)))
+    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.transform(F.array_remove(F.split(lower, GAP), ""), lambda w: F.xxhash64(w))
 
 
 def _h(j: int) -> Column:
@@ -135,6 +135,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sent = probes.select(*keep, "pos", "len", "fp", "o", first.alias("first"), _context().alias("own"))
         once = sent.where("first").withColumn("fp", F.lit(None).cast("long")).join(w.limit(0), F.lit(True), "left")
         joined = sent.withColumn("first", F.lit(False)).where("fp is not null").join(w, equal).unionByName(once)
+    # written, so that the rows of all words pass code without the extents: Java leaves so long a method uncompiled
+    joined = written(joined.select(*keep, "pos", "len", "o", "first", "win", "own", "theirs"), "winnow-met")
     joined = joined.withColumn("x", F.when(F.col("win").isNotNull(), _extent(F.col("own"), F.col("theirs"), F.col("len"))))
     at = (F.col("pos") + F.col("o")).cast("long")
     found = joined.where(F.col("x").isNotNull() | F.col("first")).select(*keep, (at - F.col("x.left")).alias("pos"), (at + F.col("x.right")).alias("end"), F.when(F.col("x").isNotNull(), F.col("win")).alias("win"), F.col("win").alias("met"), "first")
