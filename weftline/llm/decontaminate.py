@@ -135,7 +135,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sent = probes.select(*keep, "pos", "len", "fp", "o", first.alias("first"), _context().alias("own"))
         once = sent.where("first").withColumn("fp", F.lit(None).cast("long")).join(w.limit(0), F.lit(True), "left")
         joined = sent.withColumn("first", F.lit(False)).where("fp is not null").join(w, equal).unionByName(once)
-    # written, so that the rows of all words pass code without the extents: Java leaves so long a method uncompiled
+    # written, so that the rows of all words pass code without the extents: Java may leave so long a method uncompiled (not looked into)
     joined = written(joined.select(*keep, "pos", "len", "o", "first", "win", "own", "theirs"), "winnow-met")
     joined = joined.withColumn("x", F.when(F.col("win").isNotNull(), _extent(F.col("own"), F.col("theirs"), F.col("len"))))
     at = (F.col("pos") + F.col("o")).cast("long")
