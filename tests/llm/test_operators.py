@@ -524,6 +524,46 @@ def test_pieces_have_the_ids_they_have_in_the_text():
             at += k
 
 
+def test_tasks_of_a_worker_share_what_the_encoder_learnt():
+    import pyarrow as pa
+
+    path = tokens.tokenizer_file()
+    one = tokens.kept_encoder(path)
+    texts = pa.array(["some words of a text", None, "some more words"])
+    first = one.encode(texts, tokens.END_ID)
+    known = dict(one.number)
+    again = tokens.kept_encoder(path).encode(texts, tokens.END_ID)
+    assert tokens.kept_encoder(path) is one and one.number == known and len(known) > 5
+    own = tokens.Encoder(path).encode(texts, tokens.END_ID)
+    assert all((a == b).all() and (a == c).all() for a, b, c in zip(first, again, own))
+
+
+def test_encoder_looks_up_each_distinct_word_once_for_texts_of_some_megabytes(monkeypatch):
+    import pyarrow as pa
+
+    texts_ = ["one text", "x" * 30, None, "", "y" * 10, "z" * 10, "w" * 11]
+    batch = pa.record_batch({"text": pa.array(texts_)})
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 20)
+    assert [b["text"].to_pylist() for b in tokens.slices(batch)] == [["one text"], ["x" * 30], [None, "", "y" * 10, "z" * 10], ["w" * 11]]
+    assert [b["text"].to_pylist() for b in tokens.slices(batch.slice(1, 3))] == [["x" * 30], [None, ""]]
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+        def __contains__(self, k):
+            Counted.asked += 1
+            return super().__contains__(k)
+
+    e = tokens.Encoder(tokens.tokenizer_file())
+    e.number = Counted(e.number)
+    e.encode(pa.array(["a b c. a b c.", "c b a"]), tokens.END_ID)
+    assert Counted.asked == 5  # a, b, c; no tail and the point
+
+
 def test_coder_round_trip_and_damage(tmp_path):
     r = np.random.default_rng(1)
     for n, top in ((1, 3), (511, 2), (5, 1), (300_000, 50), (70_000, 40_000)):

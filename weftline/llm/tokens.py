@@ -14,6 +14,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,10 @@ from .common import new_path, open_input, open_output, written
 MAGIC = b"WFTOK01\n"
 FOOTER = struct.Struct("<QQQQQIII8s")
 BLOCK, LANES, LOW, MIN_SCALE = 1 << 18, 512, np.uint64(1 << 31), 18
-#: A shard is closed at so many tokens; only a single longer document exceeds it.
+#: A shard is closed once it has so many tokens, after the texts that were encoded together (SLICE_BYTES, or a single longer one).
 SHARD_TOKENS = 4_000_000
+#: Bytes of texts that are encoded together, at most: a word that they repeat is looked up once.
+SLICE_BYTES = 8 << 20
 #: Distinct words whose ids a worker keeps.
 CACHE = 400_000
 END_ID = 2
@@ -202,8 +206,10 @@ class Encoder:
         self.flat = np.r_[self.flat, ids]
 
     def _learn(self, pieces: list[str]) -> None:
-        words = [p for p in pieces if p.isalpha()]
-        rest = [p for p in pieces if not p.isalpha()]
+        words: list[str] = []
+        rest: list[str] = []
+        for p in pieces:
+            (words if p.isalpha() else rest).append(p)
         for i in range(0, len(words), 5000):
             own = words[i : i + 5000]
             ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, np.uint32)
@@ -216,6 +222,17 @@ class Encoder:
             each = [e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
             self._add(rest, np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64))
 
+    def _numbers(self, pieces: pa.DictionaryArray) -> np.ndarray:
+        """Numbers of pieces; new ones are learnt. Each distinct one is looked up once."""
+        names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            fresh = [names[i] for i in new]
+            self._learn(fresh)
+            known[new] = np.fromiter(map(self.number.__getitem__, fresh), np.int64, len(fresh))
+        return known[pieces.indices.to_numpy()]
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Lengths (with the end id) and all ids of texts; a null is empty."""
         import pyarrow.compute as pc
@@ -230,12 +247,7 @@ class Encoder:
         plain = pc.fill_null(pc.and_(cut.is_valid(), pc.or_(pc.equal(core, ""), pc.utf8_is_alpha(core))), False)
         core = pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core)
         core, tail = pc.if_else(plain, core, own).dictionary_encode(), pc.if_else(plain, tail, "").dictionary_encode()
-        names, tails = core.dictionary.to_pylist(), tail.dictionary.to_pylist()
-        fresh = [p for p in dict.fromkeys(names + tails) if p not in self.number]
-        if fresh:
-            self._learn(fresh)
-        number = lambda d, known: np.array([self.number[x] for x in known], np.int64)[d.indices.to_numpy()] if len(d) else np.zeros(0, np.int64)
-        at = np.stack([number(core, names)[found], number(tail, tails)[found]], 1).ravel() if len(found) else np.zeros(0, np.int64)
+        at = np.stack([self._numbers(d)[found] for d in (core, tail)], 1).ravel() if len(found) else np.zeros(0, np.int64)
         n = self.size[at]
         upto = np.r_[0, np.cumsum(n)]
         ids = self.flat[np.repeat(self.first[at] - upto[:-1], n) + np.arange(upto[-1])]
@@ -249,6 +261,24 @@ class Encoder:
         return lengths, out
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in parts of SLICE_BYTES of text at most, or a single longer row."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+@lru_cache(1)
+def kept_encoder(path: str) -> Encoder:
+    """The encoder of path, one for all tasks of a Python worker: words that a task has learnt serve those after it. It forgets beyond CACHE words; a task that fails ends its worker."""
+    return Encoder(path)
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str | None, folder: str, end_id: int = END_ID) -> DataFrame:
     """Writes the shards of docs into folder, in ascending doc_id order, and returns their manifest.
 
@@ -277,9 +307,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str | None, folder: str, end_i
             return row
 
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer_path or tokenizer_file())  # found where it is opened
-            for i in range(0, batch.num_rows, 1000):
-                b = batch.slice(i, 1000)
+            encoder = encoder or kept_encoder(tokenizer_path or tokenizer_file())  # found where it is opened
+            for b in slices(batch):
                 n, tokens = encoder.encode(b["text"], end_id)
                 doc_ids += b["doc_id"].to_pylist()
                 lengths.append(n)
