@@ -481,6 +481,24 @@ def test_links_lose_none(spark, monkeypatch, crowded):
     assert {(x.fa, x.fb) for x in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()} == want
 
 
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_near_copies_send_no_table_to_all_tasks(spark, monkeypatch, similarity):
+    """A table just under the size at which Spark would send it is many times as large in the driver's memory."""
+    from weftline.llm import common
+
+    plans, written = {}, simhash.written
+
+    def seen(df, label, *by):
+        plans[label] = plans.get(label, "") + df._jdf.queryExecution().executedPlan().toString()
+        return written(df, label, *by)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    monkeypatch.setattr(common, "written", seen)
+    out = simhash.deduplicate(frame(spark, texts()), 5, similarity)
+    assert "Join" in out._jdf.queryExecution().executedPlan().toString() and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plans["simhash-components"] and [k for k, p in plans.items() if "Broadcast" in p] == []
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import new_path, open_input, open_output, parquet_files, spread, written
 
-__all__ = ["LAST_ID", "components", "fresh", "new_path", "open_input", "open_output", "parquet_files", "release", "spread", "text_of", "written"]
+__all__ = ["LAST_ID", "components", "fresh", "merged", "new_path", "open_input", "open_output", "parquet_files", "release", "spread", "text_of", "written"]
 
 #: Stands for a null doc_id wherever ids are ordered: a null comes after every id.
 LAST_ID = 2**63 - 1
@@ -40,6 +40,12 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df for a join by sorting both sides. Of a side that grows with the input Spark's size check sees compressed bytes, and the hash table that
+    it then builds in the driver to send it to all executors takes many times as much."""
+    return df.hint("merge")
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
@@ -52,10 +58,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(merged(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = _oriented(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
+        small = large.join(merged(least), "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
         e = written(_oriented(small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b"))), label)
         if (now := _signature(e)) == state:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b"), F.col("b")).distinct())

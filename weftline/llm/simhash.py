@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LAST_ID, components, fresh, spread, written
+from .common import LAST_ID, components, fresh, merged, spread, written
 
 SEGMENTS, WIDTH = 16, 4
 #: A cell of more fingerprints than this is joined by three exact bit bands inside the cell: of two
@@ -96,11 +96,11 @@ def links(fps: DataFrame) -> DataFrame:
 
     def pairs(entries: DataFrame, *keys: str) -> DataFrame:
         a, b = entries.withColumnRenamed("fp", "fa"), entries.withColumnRenamed("fp", "fb")
-        return a.join(b, list(keys)).where((F.col("fa") < F.col("fb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= 2)).select("fa", "fb")
+        return a.join(merged(b), list(keys)).where((F.col("fa") < F.col("fb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= 2)).select("fa", "fb")
 
     bands = [F.struct(F.lit(n).alias("band"), F.shiftrightunsigned("fp", at_).bitwiseAND(F.lit((1 << bits) - 1)).alias("bits")) for n, (at_, bits) in enumerate(BANDS)]
-    dense = cells.join(crowded, "cell", "left_semi").select("fp", "cell", F.explode(F.array(*bands)).alias("x")).select("fp", "cell", "x.band", "x.bits")
-    return pairs(cells.join(crowded, "cell", "left_anti"), "cell").union(pairs(dense, "cell", "band", "bits"))
+    dense = cells.join(merged(crowded), "cell", "left_semi").select("fp", "cell", F.explode(F.array(*bands)).alias("x")).select("fp", "cell", "x.band", "x.bits")
+    return pairs(cells.join(merged(crowded), "cell", "left_anti"), "cell").union(pairs(dense, "cell", "band", "bits"))
 
 
 def set_key(hashes: np.ndarray) -> int:
@@ -165,31 +165,38 @@ def similar(sets: DataFrame, nodes: DataFrame, shingle: int, similarity: float)
     the sets; then all pairs of a band that these links haven't connected yet.
     """
     sims = nodes.groupBy(F.col("wide")[0].alias("fp")).agg(F.min("fp").alias("of"))
-    grid = links(sims.select("fp")).distinct().join(sims.select(F.col("fp").alias("fa"), F.col("of").alias("a")), "fa").join(sims.select(F.col("fp").alias("fb"), F.col("of").alias("b")), "fb")
-    cell = nodes.select("fp", F.col("wide")[0].alias("sim")).join(sims.withColumnRenamed("fp", "sim"), "sim")
+    sims = written(sims, "simhash-sims")
+    grid = written(links(sims.select("fp")).distinct(), "simhash-grid")
+    grid = grid.join(merged(sims.select(F.col("fp").alias("fa"), F.col("of").alias("a"))), "fa").join(merged(sims.select(F.col("fp").alias("fb"), F.col("of").alias("b"))), "fb")
+    cell = nodes.select("fp", F.col("wide")[0].alias("sim")).join(merged(sims.withColumnRenamed("fp", "sim")), "sim")
     bucket = Window.partitionBy("bits")
     own = nodes.select("fp", F.explode("bands").alias("bits"))
     met = written(own.select("bits", "fp", F.min("fp").over(bucket).alias("of"), F.max("fp").over(bucket).alias("last")).where("of < last").drop("last"), "simhash-met")
-    stars = grid.select("a", "b").union(cell.select("fp", "of")).union(met.select("fp", "of"))
+    stars = written(_ordered(grid.select("a", "b").union(cell.select("fp", "of")).union(met.select("fp", "of"))), "simhash-stars")
     first = written(_alike(sets, nodes, stars, shingle, similarity), "simhash-links")
     comp = components(first.select(F.col("fa").alias("a"), F.col("fb").alias("b")), "simhash-near")
-    at = met.join(comp, met.fp == comp.node, "left").select("bits", "fp", F.coalesce("root", "fp").alias("root"))
+    at = met.join(merged(comp), met.fp == comp.node, "left").select("bits", "fp", F.coalesce("root", "fp").alias("root"))
     open_ = at.select("*", F.min("root").over(bucket).alias("low"), F.max("root").over(bucket).alias("high")).where("low < high")
     open_ = written(open_.select("bits", "fp", "root"), "simhash-open")
     a, b = (open_.select("bits", F.col("fp").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-    rest = a.join(b, "bits").where("ra < rb").select("a", "b").distinct().join(stars.select("a", "b").union(stars.select("b", "a")), ["a", "b"], "left_anti")
+    rest = written(_ordered(a.join(merged(b), "bits").where("ra < rb").select("a", "b")).join(merged(stars), ["fa", "fb"], "left_anti"), "simhash-rest")
     return first.union(written(_alike(sets, nodes, rest, shingle, similarity), "simhash-links"))
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs a, b of unlike ones as distinct fa < fb."""
+    a, b = pairs.columns
+    return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("fa"), F.greatest(a, b).alias("fb")).distinct()
+
+
 def _alike(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of pairs a, b those of that similarity, as fa < fb: by sizes, then by fingerprints, then exactly."""
+    """Of pairs fa < fb those of that similarity: by sizes, then by fingerprints, then exactly."""
     known = [nodes.select(F.col("fp").alias(f"f{x}"), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab"]
-    both = pairs.where("a <> b").select(F.least("a", "b").alias("fa"), F.greatest("a", "b").alias("fb")).distinct()
-    both = both.join(known[0], "fa").join(known[1], "fb").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    both = pairs.join(merged(known[0]), "fa").join(merged(known[1]), "fb").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
     apart = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(WORDS)), F.lit(0))
     near_ = written(both.where((F.least("na", "nb") < FEW) | (apart <= bits_apart(similarity))).select("fa", "fb"), "simhash-pairs")
     asked = near_.select(F.col("fa").alias("fp")).union(near_.select("fb")).distinct()
-    text = written(sets.join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "simhash-texts")
+    text = written(sets.join(merged(asked), "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "simhash-texts")
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -202,7 +209,7 @@ def _alike(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, si
 
         return pd.Series([one(s, t) for s, t in zip(x, y)], dtype="bool")
 
-    texts = near_.join(text.select(F.col("fp").alias("fa"), F.col("text").alias("ta")), "fa").join(text.select(F.col("fp").alias("fb"), F.col("text").alias("tb")), "fb")
+    texts = near_.join(merged(text.select(F.col("fp").alias("fa"), F.col("text").alias("ta"))), "fa").join(merged(text.select(F.col("fp").alias("fb"), F.col("text").alias("tb"))), "fb")
     return texts.where(near("ta", "tb")).select("fa", "fb")
 
 
@@ -222,10 +229,10 @@ def near_groups(docs: DataFrame, shingle: int = 3, similarity: float | None = No
     nodes = written(each.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("rep"), *more), "simhash-nodes")
     found = written(links(nodes.select("fp")).distinct(), "simhash-links") if similarity is None else similar(each, nodes, shingle, similarity)
     comp = components(found.select(F.col("fa").alias("a"), F.col("fb").alias("b")), "simhash-components")
-    group = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    group = nodes.join(merged(comp), nodes.fp == comp.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = group.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_fp = group.join(least, "root").select("fp", "component_id")
-    return each.join(of_fp, "fp").select("doc_id", "fp", F.when(F.col("component_id") < LAST_ID, F.col("component_id")).alias("component_id"))
+    of_fp = group.join(merged(least), "root").select("fp", "component_id")
+    return each.join(merged(of_fp), "fp").select("doc_id", "fp", F.when(F.col("component_id") < LAST_ID, F.col("component_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, shingle: int = 3, similarity: float | None = None) -> DataFrame:
@@ -234,9 +241,9 @@ def deduplicate(docs: DataFrame, shingle: int = 3, similarity: float | None = No
     for each fingerprint."""
     groups = written(near_groups(docs, shingle, similarity), "simhash-groups")
     ids = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.join(merged(ids.select("doc_id")), "doc_id", "left_semi").select(*docs.columns)
     if not ids.where("n > 1").isEmpty():
-        again = ids.where("n > 1").select("doc_id")
+        again = merged(ids.where("n > 1").select("doc_id"))
         kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
     (own,) = fresh(docs.columns, "fp")
     lone = groups.where("doc_id is null and component_id is null").select(F.col("fp").alias(own)).distinct()
@@ -247,7 +254,7 @@ def deduplicate(docs: DataFrame, shingle: int = 3, similarity: float | None = No
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) if similarity is None else set_key(_hashes(t, shingle)) for t in text], dtype="int64")
 
-    none = docs.where("doc_id is null").withColumn(own, fp("text")).join(lone, own, "left_semi").dropDuplicates([own])
+    none = docs.where("doc_id is null").withColumn(own, fp("text")).join(merged(lone), own, "left_semi").dropDuplicates([own])
     return kept.union(none.select(*docs.columns))
 
 
