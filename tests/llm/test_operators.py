@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, licenses, mixing, quality, repeats, search, secrets, simhash, tokens, warc
+from weftline.llm import common, decontaminate, licenses, mixing, quality, repeats, search, secrets, simhash, tokens, warc
 from weftline.llm.common import components
 
 from .helpers import frame, prose, texts
@@ -123,6 +123,27 @@ def test_run_index_equals_brute_force(monkeypatch, index_bytes):
         assert repeats.least_ids(parts, ids, n)[0].tolist() == [best[p[k : k + n]] for p in parts for k in range(len(p) - n + 1)]
 
 
+def test_run_index_holds_short_numbers():
+    """Most of its time goes into moving them; bytes 0 and 255 and ends of parts are told apart all the same."""
+    import tracemalloc
+
+    r = random.Random(5)
+    parts = [bytes(r.choices(b"ab\x00\xff", k=r.randint(50, 110))) for _ in range(3000)]
+    parts += [b"\x00" * 60, b"\x00" * 55 + b"\xff" * 5, parts[0][:50] + b"\x00"]
+    ids = np.arange(len(parts))[::-1].copy()
+    tracemalloc.start()
+    index = repeats.RunIndex(parts, ids)
+    peak = tracemalloc.get_traced_memory()[1] / sum(map(len, parts))
+    tracemalloc.stop()
+    least = {}
+    for p, i in zip(parts, ids.tolist()):
+        for j in range(len(p) - 49):
+            least[p[j : j + 50]] = min(i, least.get(p[j : j + 50], i))
+    values, begin = index.stream()
+    assert values.tolist() == [least[p[j : j + 50]] for p in parts for j in range(len(p) - 49)]
+    assert peak < 135  # 119; of long numbers throughout 152
+
+
 @pytest.mark.parametrize("limit", [20_000, 2, 1])
 def test_repeated_anchors_over_batches(monkeypatch, limit):
     import pyarrow as pa
@@ -146,6 +167,18 @@ def test_repeats_of_hot_anchors_equal_brute_force(spark, monkeypatch):
     assert rows(repeats.remove_repeats(frame(spark, corpus)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(corpus)
 
 
+def test_texts_are_shuffled_once_for_both_joins_also_with_more_partitions_than_spark_has_by_default(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "PART_BYTES", 4096)
+    docs = common.written(spark.createDataFrame(texts(), "doc_id long, text string"), "texts")
+    out = repeats.remove_repeats(docs)
+    got = sorted(map(tuple, out.collect()), key=repr)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    n = {int(x) for x in re.findall(r"hashpartitioning\(pk#\d+L, (\d+)\)", plan)}
+    assert len(n) == 1 and n.pop() > 4 and "ReusedExchange" in plan
+    monkeypatch.undo()
+    assert got == sorted(map(tuple, repeats.remove_repeats(docs).collect()), key=repr)
+
+
 def test_one_anchor_of_many_megabytes_takes_time_in_proportion():
     import time
 
@@ -484,8 +517,6 @@ def test_links_lose_none(spark, monkeypatch, crowded):
 @pytest.mark.parametrize("similarity", [None, 0.8])
 def test_near_copies_send_no_table_to_all_tasks(spark, monkeypatch, similarity):
     """A table just under the size at which Spark would send it is many times as large in the driver's memory."""
-    from weftline.llm import common
-
     plans, written = {}, simhash.written
 
     def seen(df, label, *by):
@@ -542,20 +573,6 @@ def test_pieces_have_the_ids_they_have_in_the_text():
             at += k
 
 
-def test_tasks_of_a_worker_share_what_the_encoder_learnt():
-    import pyarrow as pa
-
-    path = tokens.tokenizer_file()
-    one = tokens.kept_encoder(path)
-    texts = pa.array(["some words of a text", None, "some more words"])
-    first = one.encode(texts, tokens.END_ID)
-    known = dict(one.number)
-    again = tokens.kept_encoder(path).encode(texts, tokens.END_ID)
-    assert tokens.kept_encoder(path) is one and one.number == known and len(known) > 5
-    own = tokens.Encoder(path).encode(texts, tokens.END_ID)
-    assert all((a == b).all() and (a == c).all() for a, b, c in zip(first, again, own))
-
-
 def test_encoder_looks_up_each_distinct_word_once_for_texts_of_some_megabytes(monkeypatch):
     import pyarrow as pa
 

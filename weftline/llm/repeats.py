@@ -57,8 +57,12 @@ def segments(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     a = window_anchors(np.frombuffer(data, np.uint8), length)
     if not len(a):
         return a, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-    end = np.r_[first[1:], len(a)]
+    change = np.empty(len(a), bool)
+    change[0] = True
+    np.not_equal(a[1:], a[:-1], out=change[1:])
+    first = change.nonzero()[0]
+    end = np.empty_like(first)
+    end[:-1], end[-1] = first[1:], len(a)
     if (end - first).max() > SEGMENT:
         pieces = -(-(end - first) // SEGMENT)
         n = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -78,27 +82,27 @@ class RunIndex:
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         stops = np.cumsum(sizes + 1) - 1
         n = int(stops[-1]) + 1
-        text = np.zeros(n, np.int64)
-        keep = np.ones(n, bool)
-        keep[stops] = False
-        text[keep] = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64) + 1
-        of = np.repeat(np.arange(len(parts)), sizes + 1)
-        left = stops[of] - np.arange(n)  # bytes up to the sign
+        text = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int16) + np.int16(1)
+        text[stops] = 0
+        of = np.repeat(np.arange(len(parts), dtype=np.int32), sizes + 1)
+        left = (np.repeat(stops, sizes + 1) - np.arange(n)).astype(np.int32)  # bytes up to the sign
 
         # rank by 7 bytes, then 14, 28, 56 and so on; a suffix that reaches its sign is unlike any other.
         # A rank is the first row of its group, and only groups of several rows are sorted again.
-        size, key = 7, np.zeros(n, np.int64)
-        for i in range(size):
-            t = np.zeros(n, np.int64)
-            t[: n - i] = text[i:]
-            key |= np.where(left >= i, t, 0) << (9 * (size - 1 - i))
+        size, key = 7, text.astype(np.int64)
+        for step, cut in ((1, 0), (2, 0), (4, 1)):  # 2, 4 and 7 bytes
+            tail = key[step:] * (left[:-step] >= step)
+            key <<= 9 * (step - cut)
+            key[:-step] |= tail >> 9 * cut
         order = np.argsort(key)
-        at = np.flatnonzero(left[order] < size)
+        short = left[order] < size
+        at = np.flatnonzero(short)
         order[at] = order[at][np.lexsort((order[at], key[order[at]]))]
         new = np.ones(n, bool)
-        new[1:] = (key[order[1:]] != key[order[:-1]]) | (left[order[1:]] < size)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        sorted_key = key[order]
+        new[1:] = (sorted_key[1:] != sorted_key[:-1]) | short[1:]
+        rank = np.empty(n, np.int32)  # an index has far fewer bytes
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
         half = None
         while True:
             if half is None and size <= length < 2 * size:
@@ -110,14 +114,13 @@ class RunIndex:
                 size *= 2
                 continue
             own = order[tied]
-            pair = rank[own] * (n + 1) + np.where(left[own] >= size, rank[np.minimum(own + size, n - 1)], 0)
+            pair = rank[own].astype(np.int64) * (n + 1) + np.where(left[own] >= size, rank[np.minimum(own + size, n - 1)], 0)
             sort = np.argsort(pair)
             order[tied], own, pair = own[sort], own[sort], pair[sort]
             new[tied] = np.r_[True, pair[1:] != pair[:-1]]
             rank[own] = np.maximum.accumulate(np.where(new[tied], tied, 0))
             size *= 2
-        before = np.where(order > 0, text[order - 1], 0)
-        before[(order == 0) | ~keep[order - 1]] = 0
+        before = text[order - 1]  # 0 for the first byte of a part, as a sign (the last one, for the first part) is before it
 
         head = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
         counts = np.bincount(before, minlength=257)
@@ -255,7 +258,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     size = 0
     for batch in batches:
-        for anchor, seg, low, high in zip(*(batch[c].to_pylist() for c in ("anchor", "seg", "low", "high"))):
+        for anchor, seg, low, high in zip(*(batch[c].to_numpy(zero_copy_only=False).tolist() for c in ("anchor", "seg", "low", "high"))):
             last = held[-1] if held else None
             if last and last[0] == anchor and last[1] == seg:
                 last[2], last[3] = min(last[2], low), max(last[3], high)
@@ -288,9 +291,11 @@ def _shared_segments(batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[in
         b = batch.slice(i, 200)
         for j, (text, hs) in enumerate(zip(_bytes_of(b, "text"), b["hs"])):
             a, first, end = segments(text)
-            asked = np.asarray(hs.values).view(np.uint64)
-            hot = asked[asked & np.uint64(1) > 0] & ~np.uint64(1)
-            use = np.flatnonzero(np.isin(a, asked & ~np.uint64(1)))
+            asked = np.sort(hs.values.to_numpy().view(np.uint64))
+            marked = asked & np.uint64(1)
+            asked &= ~np.uint64(1)  # in order still
+            hot = asked[marked > 0] if marked.any() else asked[:0]
+            use = (asked[np.minimum(np.searchsorted(asked, a), len(asked) - 1)] == a).nonzero()[0] if len(asked) else np.zeros(0, np.int64)
             if len(hot):
                 single = np.isin(a[use], hot)
                 use, alone = use[~single], use[single]
@@ -353,15 +358,16 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = written(lists, "repeats-anchors")
     release(spark)
 
+    # what the texts are joined with has as many partitions: else Spark shuffles them anew for each join
     texts = key.withColumn("th", short_hash()).repartition(parts, "pk")
-    found = texts.join(lists.hint("shuffle_hash"), "pk").select("pk", "id", "th", "text", "hs")
+    found = texts.join(lists.repartition(parts, "pk").hint("shuffle_hash"), "pk").select("pk", "id", "th", "text", "hs")
     distinct = found.mapInArrow(_distinct, "anchor long, seg binary, low long, high long").repartition(parts, "anchor").sortWithinPartitions("anchor", "seg")
     marks = written(distinct.mapInArrow(_marks, "anchor int, seg_hash long, f int, t int, m long"), "repeats-marks")
     release(spark)
 
     places = found.mapInArrow(_places, "anchor int, seg_hash long, id long, pk long, th int, at int")
     spans = places.join(marks, ["anchor", "seg_hash"]).where("m < id").select("pk", "th", (F.col("at") + F.col("f")).cast("long").alias("b"), (F.col("at") + F.col("t") + LENGTH - 1).cast("long").alias("e"))
-    return texts, spans.union(copies.where(F.col("n") >= LENGTH).select("pk", "th", F.lit(0).cast("long"), "n"))
+    return texts, spans.union(copies.where(F.col("n") >= LENGTH).select("pk", "th", F.lit(0).cast("long"), "n")).repartition(parts, "pk")
 
 
 def short_hash():
