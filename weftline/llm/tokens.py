@@ -14,7 +14,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -31,7 +30,7 @@ BLOCK, LANES, LOW, MIN_SCALE = 1 << 18, 512, np.uint64(1 << 31), 18
 #: A shard is closed once it has so many tokens, after the texts that were encoded together (SLICE_BYTES, or a single longer one).
 SHARD_TOKENS = 4_000_000
 #: Bytes of texts that are encoded together, at most: a word that they repeat is looked up once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Distinct words whose ids a worker keeps.
 CACHE = 400_000
 END_ID = 2
@@ -273,12 +272,6 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-@lru_cache(1)
-def kept_encoder(path: str) -> Encoder:
-    """The encoder of path, one for all tasks of a Python worker: words that a task has learnt serve those after it. It forgets beyond CACHE words; a task that fails ends its worker."""
-    return Encoder(path)
-
-
 def write_tokens(docs: DataFrame, tokenizer_path: str | None, folder: str, end_id: int = END_ID) -> DataFrame:
     """Writes the shards of docs into folder, in ascending doc_id order, and returns their manifest.
 
@@ -307,7 +300,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str | None, folder: str, end_i
             return row
 
         for batch in batches:
-            encoder = encoder or kept_encoder(tokenizer_path or tokenizer_file())  # found where it is opened
+            encoder = encoder or Encoder(tokenizer_path or tokenizer_file())  # found where it is opened
             for b in slices(batch):
                 n, tokens = encoder.encode(b["text"], end_id)
                 doc_ids += b["doc_id"].to_pylist()
