@@ -599,6 +599,26 @@ def test_encoder_looks_up_each_distinct_word_once_for_texts_of_some_megabytes(mo
     assert Counted.asked == 5  # a, b, c; no tail and the point
 
 
+def test_words_learnt_are_kept_for_later_tasks_and_the_shared_ones_beyond_the_limit(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_file()
+    own, e = Tokenizer.from_file(path), tokens.kept_encoder(path)
+    assert tokens.kept_encoder(path) is e
+    e = tokens.Encoder(path)
+    monkeypatch.setattr(tokens, "CACHE", 8)
+    shared = "été straße thé naïve über o'er ΑΣ x² don't.,"  # among them words that no normalizer changes, and others
+    for k in range(6):
+        t = f"{shared} only{chr(97 + k)} {prose(k, 3)}"
+        n, ids = e.encode(pa.array([t, None, shared]), 2)
+        assert ids.tolist() == [*own.encode(t, add_special_tokens=False).ids, 2, 2, *own.encode(shared, add_special_tokens=False).ids, 2] and n.sum() == len(ids)
+        assert list(e.number.values()) == list(range(len(e.size))) and e.size.sum() == len(e.flat)
+        if k == 2:
+            e.forget()
+            assert len(e.number) <= 4 and set(e.number) <= {"", *shared.split(), "don't", ".,"}
+
+
 def test_coder_round_trip_and_damage(tmp_path):
     r = np.random.default_rng(1)
     for n, top in ((1, 3), (511, 2), (5, 1), (300_000, 50), (70_000, 40_000)):

@@ -10,10 +10,12 @@ first token (the checkpoint) and the CRC-32 of its ids.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -31,8 +33,8 @@ BLOCK, LANES, LOW, MIN_SCALE = 1 << 18, 512, np.uint64(1 << 31), 18
 SHARD_TOKENS = 4_000_000
 #: Bytes of texts that are encoded together, at most: a word that they repeat is looked up once.
 SLICE_BYTES = 4 << 20
-#: Distinct words whose ids a worker keeps.
-CACHE = 400_000
+#: Distinct words whose ids a worker keeps from one task to the next; those of the slice at hand may come on top.
+CACHE = 300_000
 END_ID = 2
 #: Parts of a manifest whose offsets are summed together, and tasks that read shards at most.
 GROUP, MOST_TASKS = 1024, 50_000
@@ -184,53 +186,76 @@ class Encoder:
     """
 
     _CUT = r"^(?P<core>[^.,!?:;*#$%&]*)(?P<tail>[.,!?:;*#$%&]*)$"
+    #: Words that the normalizer and the pattern of the tokenizer leave whole: lower-case letters of one code point, none of them a mark.
+    _SIMPLE = re.compile("[a-zß-öø-ÿ]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.simple = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.simple.normalizer = None
+        self.simple.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.forget()
+        self.number: dict[str, int] = {"": 0}
+        self.flat, self.size, self.seen = np.zeros(0, np.uint32), np.zeros(1, np.int32), np.zeros(1, np.int32)
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {"": 0}
-        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        """Keeps the pieces that two slices at least had since the last time, and at most half of CACHE: texts share them, most others are met once."""
+        self.seen[0] = 2
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > CACHE // 2:
+            keep = np.r_[0, np.sort(keep[1:][np.argsort(-self.seen[keep[1:]], kind="stable")[: CACHE // 2 - 1]])]
+        names = list(self.number)
+        self.flat = self.flat[ranges(self.first[keep], self.size[keep])]
+        self.size, self.seen = self.size[keep], np.zeros(len(keep), np.int32)
+        self.number = {names[i]: n for n, i in enumerate(keep.tolist())}
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.cumsum(self.size, dtype=np.int64) - self.size
 
     def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         self.number.update(zip(pieces, range(len(self.size), len(self.size) + len(pieces))))
-        self.first = np.r_[self.first, len(self.flat) + np.cumsum(sizes) - sizes]
-        self.size = np.r_[self.size, sizes]
-        self.flat = np.r_[self.flat, ids]
+        self.size = np.concatenate([self.size, sizes.astype(np.int32)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(pieces), np.int32)])
+        self.flat = np.concatenate([self.flat, ids])
 
     def _learn(self, pieces: list[str]) -> None:
+        simple: list[str] = []
         words: list[str] = []
         rest: list[str] = []
         for p in pieces:
-            (words if p.isalpha() else rest).append(p)
-        for i in range(0, len(words), 5000):
-            own = words[i : i + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, np.uint32)
-            last = np.flatnonzero(self.ends[ids])
-            if len(last) == len(own) and (not len(own) or last[-1] == len(ids) - 1):
-                self._add(own, ids, np.diff(last, prepend=-1))
-            else:
-                rest += own
+            (simple if self._SIMPLE.fullmatch(p) else words if p.isalpha() else rest).append(p)
+        known: list[tuple[list[str], np.ndarray, np.ndarray]] = []
+        for tokenizer, kind in ((self.simple, simple), (self.tokenizer, words)):
+            for i in range(0, len(kind), 5000):
+                own = kind[i : i + 5000]
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
+                last = np.flatnonzero(self.ends[ids])
+                if len(last) == len(own) and last[-1] == len(ids) - 1:
+                    known.append((own, ids, np.diff(last, prepend=-1)))
+                else:
+                    rest += own
         if rest:
-            each = [e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
-            self._add(rest, np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64))
-
-    def _numbers(self, pieces: pa.DictionaryArray) -> np.ndarray:
-        """Numbers of pieces; new ones are learnt. Each distinct one is looked up once."""
-        names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            known.append((rest, np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64)))
+        names, ids, sizes = zip(*known)
+        self._add([n for own in names for n in own], np.concatenate(ids), np.concatenate(sizes))
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """Numbers of distinct pieces; new ones are learnt. Each is looked up once."""
+        names = pieces.to_numpy(zero_copy_only=False).tolist()
+        known = np.fromiter(map(self.number.get, names, repeat(-1)), np.int32, len(names))
         new = np.flatnonzero(known < 0)
         if len(new):
             fresh = [names[i] for i in new]
             self._learn(fresh)
-            known[new] = np.fromiter(map(self.number.__getitem__, fresh), np.int64, len(fresh))
-        return known[pieces.indices.to_numpy()]
+            known[new] = np.fromiter(map(self.number.__getitem__, fresh), np.int32, len(fresh))
+        self.seen[known] += 1
+        return known
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Lengths (with the end id) and all ids of texts; a null is empty."""
@@ -239,25 +264,37 @@ class Encoder:
         if len(self.number) > CACHE:
             self.forget()
         lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        bounds = lists.offsets.to_numpy()
+        bounds = bounds - bounds[0]
         pieces = lists.flatten().dictionary_encode()
+        del lists
         found, own = pieces.indices.to_numpy(), pieces.dictionary
         cut = pc.extract_regex(own, self._CUT)
         core, tail = cut.field("core"), cut.field("tail")
         plain = pc.fill_null(pc.and_(cut.is_valid(), pc.or_(pc.equal(core, ""), pc.utf8_is_alpha(core))), False)
         core = pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core)
         core, tail = pc.if_else(plain, core, own).dictionary_encode(), pc.if_else(plain, tail, "").dictionary_encode()
-        at = np.stack([self._numbers(d)[found] for d in (core, tail)], 1).ravel() if len(found) else np.zeros(0, np.int64)
-        n = self.size[at]
-        upto = np.r_[0, np.cumsum(n)]
-        ids = self.flat[np.repeat(self.first[at] - upto[:-1], n) + np.arange(upto[-1])]
-        bounds = lists.offsets.to_numpy()
-        bounds = bounds - bounds[0]
-        lengths = upto[2 * bounds[1:]] - upto[2 * bounds[:-1]] + 1
-        out = np.empty(len(ids) + len(lengths), np.uint32)
-        body = np.ones(len(out), bool)
-        body[np.cumsum(lengths) - 1] = False
-        out[~body], out[body] = end_id, ids
-        return lengths, out
+        # of each distinct piece, then of the end: where its ids are in flat, the core's before the tail's
+        both = np.stack([self._numbers(d.dictionary)[d.indices.to_numpy()] for d in (core, tail)], 1).ravel()
+        size = self.size[both]
+        flat = np.append(self.flat[ranges(self.first[both], size)], np.uint32(end_id))
+        size = np.append(size.reshape(-1, 2).sum(1), 1)
+        # each text's pieces and then the end
+        at = np.insert(found, bounds[1:], len(size) - 1)
+        n = size[at]
+        ids = flat[ranges((np.cumsum(size) - size)[at], n)]
+        ends = np.cumsum(n, dtype=np.int64)[bounds[1:] + np.arange(len(texts))]
+        return np.diff(ends, prepend=0), ids
+
+
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ..., size numbers, of each pair in turn."""
+    ends = np.cumsum(size, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, int(first.max(initial=0))) < 2**31 else np.int64
+    out = np.repeat((first - (ends - size)).astype(kind), size)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -272,6 +309,12 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = to
 
 
+@lru_cache(1)
+def kept_encoder(path: str) -> Encoder:
+    """The encoder of path, one for all tasks of a Python worker: words that a task has learnt serve those after it. A task that fails ends its worker."""
+    return Encoder(path)
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str | None, folder: str, end_id: int = END_ID) -> DataFrame:
     """Writes the shards of docs into folder, in ascending doc_id order, and returns their manifest.
 
@@ -300,7 +343,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str | None, folder: str, end_i
             return row
 
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer_path or tokenizer_file())  # found where it is opened
+            encoder = encoder or kept_encoder(tokenizer_path or tokenizer_file())  # found where it is opened
             for b in slices(batch):
                 n, tokens = encoder.encode(b["text"], end_id)
                 doc_ids += b["doc_id"].to_pylist()
@@ -310,6 +353,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str | None, folder: str, end_i
                     yield close()
         if doc_ids:
             yield close()
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     return written(ordered.mapInArrow(write, "part int, seq int, uri string, n_docs long, n_tokens long"), "token-manifest")
