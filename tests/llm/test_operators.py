@@ -49,6 +49,34 @@ def brute_search(corpus, queries, k):
     return sorted(out, key=repr)
 
 
+def test_shard_search_scores_exactly_whatever_is_taken_together(tmp_path, monkeypatch):
+    r = np.random.default_rng(4)
+    n, m, top = 150, 9, 60
+    counts = r.poisson(0.2, (top, n)) * (r.random((top, 1)) < 0.9)
+    counts[:, 75:] = counts[:, :75]  # equal scores, told apart by id
+    asked = r.poisson(0.3, (m, top)) * r.random(top) + 1e-7 * (r.random((m, top)) < 0.1)
+    asked[4] = 0
+    terms = np.sort(r.integers(0, 2**64, top, np.uint64, endpoint=False))
+    t, d = np.nonzero(counts)
+    have = np.unique(t)
+    ids, lengths = r.permutation(n), counts.sum(0)
+    np.savez(tmp_path / "s.npz", terms=terms[have], first=np.searchsorted(t, np.r_[have, top]), docs=d.astype(np.int32), counts=counts[t, d].astype(np.int32), lengths=lengths, ids=ids)
+    norm = 1.2 * (0.25 + 0.75 * lengths / lengths.mean())
+    full = np.round(asked @ (counts * 2.2 / (counts + norm)), 6)
+    expected = [(q, int(ids[i]), full[q, i]) for q in range(m) for i in np.lexsort((ids, -full[q]))[:7] if full[q, i] > 0]
+    q, t = np.nonzero(asked)
+    mixed = r.permutation(len(q))
+    q, t = q[mixed], t[mixed]
+    for frequent, together, docs_, postings in ((0.05, 128, 512, 1 << 17), (0.1, 4, 20, 5), (2.0, 2, 512, 1), (0.0, 3, 64, 40)):
+        for name, v in (("FREQUENT", frequent), ("TOGETHER", together), ("GROUP_DOCS", docs_), ("POSTINGS", postings), ("LEAST_DF", 0)):
+            monkeypatch.setattr(search, name, v)
+        s = search.Searcher(f"file://{tmp_path}/s.npz", float(lengths.mean()), 1.2, 0.75)
+        found, row, score = s.top(q, terms[t], asked[q, t], 7)
+        o = np.argsort(found, kind="stable")
+        assert [(int(a), int(i)) for a, i in zip(found[o], s.ids[row][o])] == [x[:2] for x in expected] and np.allclose(score[o], [x[2] for x in expected], atol=1.1e-6)
+        assert all(len(x) == 0 for x in s.top(q[:0], terms[t[:0]], asked[q[:0], t[:0]], 7))
+
+
 @pytest.mark.parametrize("shard_docs", [8192, 3])
 def test_search_equals_brute_force(spark, docs, monkeypatch, shard_docs):
     monkeypatch.setattr(search, "SHARD_DOCS", shard_docs)

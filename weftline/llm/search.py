@@ -1,11 +1,10 @@
-"""Exact BM25 top-k search: an inverted index by shards, searched with block-max WAND.
+"""Exact BM25 top-k search: an inverted index by shards.
 
 A shard indexes the documents of one task. Statistics that scores depend on (documents, mean length,
 document frequencies) are summed over all shards first, so shard scores are global ones and the
 merge of the shards' top k is exact. In a shard the postings of rare terms are added up, and the
-frequent terms bound what each block of 32 documents can still get (block maxima); blocks are taken
-the most promising first, and only those whose bound reaches a query's k-th best score so far, the
-pivots, are scored in full.
+frequent terms are a matrix of single precision, multiplied by the weights of many queries at once;
+the documents that can be among the k best by these scores, rounding considered, are scored exactly.
 """
 
 from __future__ import annotations
@@ -27,16 +26,19 @@ K, K1, B = 10, 1.2, 0.75
 #: Documents and words of a shard, at most (up to the words of 100 documents that are read together).
 SHARD_DOCS, SHARD_WORDS = 8192, 6_000_000
 #: A term in more than this share of a shard's documents is frequent.
-FREQUENT = 0.03
-BLOCK_DOCS = 32
-#: Cells of the matrix of frequent terms and documents of a shard, at most: the most frequent terms have columns, others are postings.
+FREQUENT = 0.05
+#: Documents that a frequent term has at least.
+LEAST_DF = 32
+#: Documents whose frequent terms are multiplied together.
+GROUP_DOCS = 512
+#: Cells of the matrix of frequent terms and documents of a shard, at most: the most frequent terms have rows, others are postings.
 CELLS = 1 << 24
-#: Blocks by which each query's threshold is found before the others are judged.
-FIRST_BLOCKS = 4
-#: Bounds and scores are compared with so much room, for rounding to 6 decimals.
+#: Scores are compared with so much room, for rounding to 6 decimals.
 MARGIN = 1e-5
-#: Queries that are read at a time; memory doesn't depend on how many there are.
-QUERY_BLOCK = 512
+#: Queries that are read at a time (in the mean), and scored at a time; memory doesn't depend on how many there are.
+QUERY_BLOCK, TOGETHER = 1024, 128
+#: Postings that are added up at a time, or those of a single term or document.
+POSTINGS = 1 << 17
 #: Words: digits, letters a-z and all that isn't ASCII; A-Z in lower case. One byte for one byte.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -122,6 +124,22 @@ def query_weights(queries: DataFrame, shards: DataFrame, n_docs: int) -> DataFra
     return asked.join(df, "term").select("query_id", "term", (F.col("n") * idf).alias("weight"))
 
 
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ..., size numbers, of each pair in turn."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def pieces(size: np.ndarray, most: int) -> Iterator[slice]:
+    """Ranges of rows whose sizes sum to most at most, or of a single larger row."""
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield slice(at, to)
+        at = to
+
+
 class Searcher:
     """A shard in memory."""
 
@@ -133,79 +151,84 @@ class Searcher:
         self.impact = count * (k1 + 1) / (count + norm[self.docs])
         df = np.diff(self.first)
         head = np.argsort(-df, kind="stable")[: CELLS // max(n, 1)]
-        head = np.sort(head[df[head] > max(BLOCK_DOCS, FREQUENT * n)])
+        head = np.sort(head[df[head] > max(LEAST_DF, FREQUENT * n)])
         self.head_of = np.full(len(self.terms), -1)
         self.head_of[head] = np.arange(len(head))
-        self.head_df = df[head]
-        blocks = -(-n // BLOCK_DOCS)
-        matrix = np.zeros((len(head), blocks * BLOCK_DOCS))
-        for j, t in enumerate(head):
-            p = slice(self.first[t], self.first[t + 1])
-            matrix[j, self.docs[p]] = self.impact[p]
-        # documents with like frequent terms (a language, a length) share blocks, so that block maxima are tight
+        self.head_df, self.n = df[head], n
+        # documents with the same most frequent term (mostly: of one language) share a group, so that many terms are in few groups
+        lead = np.full(n, -1)
+        for t in head[np.argsort(df[head], kind="stable")]:
+            lead[self.docs[self.first[t] : self.first[t + 1]]] = t
         place = np.empty(n, np.int64)
-        lead = ((matrix[:, :n] > 0) * self.head_df[:, None]).argmax(axis=0) if len(head) else np.zeros(n)
-        place[np.lexsort((matrix[:, :n].sum(axis=0), lead))] = np.arange(n)
-        back = np.argsort(place)
-        matrix[:, :n] = matrix[:, back]
-        self.docs, self.ids = place[self.docs], self.ids[back]
-        self.head = np.ascontiguousarray(matrix.reshape(len(head), blocks, BLOCK_DOCS).transpose(1, 0, 2))
-        self.block_max = self.head.max(axis=2, initial=0.0).T
-        self.n, self.blocks = n, blocks
-
-    def _parts(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of one query: weights of the frequent terms, and what the rare ones give each document."""
-        at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
-        known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at, weights = at[known], weights[known]
+        place[np.argsort(lead, kind="stable")] = np.arange(n)
+        self.docs, self.ids = place[self.docs], self.ids[np.argsort(place)]
+        # the frequent terms twice: rounded as a matrix, and exactly as postings by document
+        at = ranges(self.first[head], self.head_df)
+        column = np.repeat(np.arange(len(head), dtype=np.int32), self.head_df)
+        self.head = np.zeros((len(head), n), np.float32)
+        self.head[column, self.docs[at]] = self.impact[at]
+        at, column = at[order := np.argsort(self.docs[at], kind="stable")], column[order]
+        self.own_first = np.searchsorted(self.docs[at], np.arange(n + 1))
+        self.own_column, self.own_impact = column, self.impact[at]
+        self.groups = [(self.head[:, i : i + GROUP_DOCS].any(axis=1), slice(i, i + GROUP_DOCS)) for i in range(0, n, GROUP_DOCS)]
+
+    def top(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of queries given by rows (number from 0, term, weight): query, row and score (6 decimals) of the k best documents that share a term; equal scores go by id.
+
+        Rounded scores of all documents tell which can be among the k best; only those are scored exactly.
+        """
+        m = int(query.max(initial=-1)) + 1
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if not m or not len(self.terms):
+            return none
+        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        known = np.flatnonzero(self.terms[at] == term)
+        query, at, weight = query[known], at[known], weight[known]
         column = self.head_of[at]
         frequent = column >= 0
-        head = np.zeros(len(self.head_df))
-        head[column[frequent]] = weights[frequent]
-        tail, w = at[~frequent], weights[~frequent]
-        sizes = self.first[tail + 1] - self.first[tail]
-        ends = np.cumsum(sizes)
-        postings = np.repeat(self.first[tail] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-        # without postings bincount gives integers
-        return head, np.bincount(self.docs[postings], weights=self.impact[postings] * np.repeat(w, sizes), minlength=self.blocks * BLOCK_DOCS).astype(np.float64)
-
-    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each query (terms, weights): rows and scores (6 decimals) of the k best documents that share a term; equal scores go by id.
-
-        Queries with the same most frequent term (mostly: of one language) are pruned together: what one of them may still need is scored for all, by one product of matrices.
-        """
-        parts = [self._parts(*q) for q in queries]
-        leads = np.array([((h > 0) * self.head_df).argmax() if len(h) else 0 for h, _ in parts])
-        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
-        for lead in np.unique(leads):
-            group = np.flatnonzero(leads == lead)
-            w = np.stack([parts[q][0] for q in group])
-            score = np.stack([parts[q][1] for q in group]).reshape(len(group), self.blocks, BLOCK_DOCS)
-            bound = score.max(axis=2) + w @ self.block_max
-            done = np.zeros(self.blocks, bool)
-            first = np.unique(np.argpartition(-bound, min(FIRST_BLOCKS, self.blocks - 1), axis=1)[:, :FIRST_BLOCKS])
-            self._score(score, w, first)
-            done[first] = True
-            seen = score[:, first].reshape(len(group), -1)
-            least = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k] if seen.shape[1] >= k else np.zeros(len(group))
-            rest = np.flatnonzero((bound >= least[:, None] - MARGIN).any(axis=0) & ~done)
-            self._score(score, w, rest)
-            done[rest] = True
-            rows = (np.flatnonzero(done)[:, None] * BLOCK_DOCS + np.arange(BLOCK_DOCS)).ravel()
-            for q, full in zip(group, score[:, done].reshape(len(group), -1)):
-                cut = np.partition(full, len(full) - k)[len(full) - k] if len(full) > k else 0.0
-                keep = np.flatnonzero((full > 0) & (full >= cut - MARGIN))
-                own, value = rows[keep], np.round(full[keep], 6)
-                best = np.lexsort((self.ids[own], -value))[:k]
-                best = best[value[best] > 0]
-                out[q] = own[best], value[best]
-        return out
-
-    def _score(self, score: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> None:
-        used = np.flatnonzero(w.any(axis=0))
-        w = np.ascontiguousarray(w[:, used])
-        for b in blocks:
-            score[:, b] += w @ self.head[b][used]
+        w = np.zeros((m, len(self.head_df)))
+        w[query[frequent], column[frequent]] = weight[frequent]
+        # queries with the same most frequent term (mostly: of one language) go together, as they use the same rows of the matrix
+        place = np.empty(m, np.int64)
+        place[np.argsort(((w > 0) * self.head_df).argmax(axis=1) if w.shape[1] else np.zeros(m), kind="stable")] = np.arange(m)
+        w[place] = w.copy()
+        query, at, weight = place[query[~frequent]], at[~frequent], weight[~frequent]
+        order = np.argsort(query.astype(np.uint16) if m < 1 << 16 else query, kind="stable")
+        query, at, weight = query[order], at[order], weight[order]
+        cut = np.searchsorted(query // TOGETHER, np.arange(-(-m // TOGETHER) + 1))
+        back = np.argsort(place)
+        found = [self._some(w[i * TOGETHER : (i + 1) * TOGETHER], query[a:z] - i * TOGETHER, at[a:z], weight[a:z], k) for i, (a, z) in enumerate(zip(cut, cut[1:]))]
+        q, row, score = (np.concatenate(c) for c in zip(*((q + i * TOGETHER, row, score) for i, (q, row, score) in enumerate(found))))
+        return back[q], row, score
+
+    def _some(self, w: np.ndarray, query: np.ndarray, at: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """top of a few queries: weights of the frequent terms by query, then rows of the rare ones: query, place in terms, weight."""
+        m, n = len(w), self.n
+        tail = np.zeros(m * n)
+        size = self.first[at + 1] - self.first[at]
+        for p in pieces(size, POSTINGS):
+            postings, first, last = ranges(self.first[at[p]], size[p]), int(query[p.start]), int(query[p.stop - 1])
+            cells = np.repeat((query[p] - first) * n, size[p]) + self.docs[postings]
+            tail[first * n : (last + 1) * n] += np.bincount(cells, weights=np.repeat(weight[p], size[p]) * self.impact[postings], minlength=(last + 1 - first) * n)
+        tail = tail.reshape(m, n)
+        used, rounded = w.any(axis=0), tail.astype(np.float32)
+        for there, docs in self.groups:
+            rows = np.flatnonzero(used & there)
+            rounded[:, docs] += w[:, rows].astype(np.float32) @ self.head[rows, docs]
+        # sums of terms over 0: each is off by a share of itself, one rounding for each term at most and some more
+        off = (np.count_nonzero(used) + 8) * 2.0**-23
+        least = np.partition(rounded, n - k, axis=1)[:, n - k].astype(np.float64) * (1 - 2 * off) - MARGIN if n > k else np.zeros(m)
+        q, row = np.nonzero((rounded > 0) & (rounded >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None]))
+        score = tail[q, row]
+        size = self.own_first[row + 1] - self.own_first[row]
+        for p in pieces(size, POSTINGS):
+            own = ranges(self.own_first[row[p]], size[p])
+            score[p] += np.bincount(np.repeat(np.arange(len(size[p])), size[p]), weights=w[np.repeat(q[p], size[p]), self.own_column[own]] * self.own_impact[own], minlength=len(size[p]))
+        score = np.round(score, 6)
+        best = np.lexsort((self.ids[row], -score, q))
+        q, row, score = q[best], row[best], score[best]
+        keep = (np.arange(len(q)) - np.searchsorted(q, q) < k) & (score > 0)
+        return q[keep], row[keep], score[keep]
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K, k1: float = K1, b: float = B) -> DataFrame:
@@ -224,7 +247,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, k1: float = K1, b: f
     weights = written(query_weights(queries, shards, n_docs), "bm25-weights")
     blocks = max(1, -(-weights.select("query_id").distinct().count() // QUERY_BLOCK))
     path = new_path(spark, "bm25-blocks")
-    weights.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).repartition("block").sortWithinPartitions("block", "query_id").write.partitionBy("block").parquet(path)
+    numbered = weights.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("query", F.dense_rank().over(Window.partitionBy("block").orderBy("query_id")) - 1)
+    numbered.repartition("block").sortWithinPartitions("block", "term").write.partitionBy("block").parquet(path)
     mean = n_words / n_docs if n_docs else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,19 +265,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, k1: float = K1, b: f
                     for file in fs.get_file_info(FileSelector(folder.path)):
                         if not file.base_name.endswith(".parquet"):
                             continue
-                        t = pq.read_table(fs.open_input_file(file.path), columns=["query_id", "term", "weight"])
-                        q, term, weight = (t[c].to_numpy() for c in t.column_names)
-                        if not len(q):
-                            continue
-                        cut = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-                        pieces = list(zip(cut, np.r_[cut[1:], len(q)]))
-                        for i in range(0, len(pieces), QUERY_BLOCK):
-                            own = pieces[i : i + QUERY_BLOCK]
-                            found = shard.top([(term[a:z].view(np.uint64), weight[a:z]) for a, z in own], k)
-                            sizes = [len(rows) for rows, _ in found]
-                            rows = np.concatenate([rows for rows, _ in found])
-                            if len(rows):
-                                yield pa.record_batch({"query_id": np.repeat(q[[a for a, _ in own]], sizes), "doc_id": shard.ids[rows], "score": np.concatenate([v for _, v in found])})
+                        t = pq.read_table(fs.open_input_file(file.path), columns=["query_id", "query", "term", "weight"])
+                        query_id, query, term, weight = (t[c].to_numpy() for c in t.column_names)
+                        name = np.zeros(int(query.max(initial=-1)) + 1, np.int64)
+                        name[query] = query_id
+                        q, row, score = shard.top(query.astype(np.int64), term.view(np.uint64), weight, k)
+                        if len(q):
+                            yield pa.record_batch({"query_id": name[q], "doc_id": shard.ids[row], "score": score})
 
     found = _spread(shards).mapInArrow(run, "query_id long, doc_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
