@@ -184,26 +184,29 @@ class Searcher:
         at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
         known = np.flatnonzero(self.terms[at] == term)
         query, at, weight = query[known], at[known], weight[known]
-        column = self.head_of[at]
-        frequent = column >= 0
-        w = np.zeros((m, len(self.head_df)))
-        w[query[frequent], column[frequent]] = weight[frequent]
         # queries with the same most frequent term (mostly: of one language) go together, as they use the same rows of the matrix
-        place = np.empty(m, np.int64)
-        place[np.argsort(((w > 0) * self.head_df).argmax(axis=1) if w.shape[1] else np.zeros(m), kind="stable")] = np.arange(m)
-        w[place] = w.copy()
-        query, at, weight = place[query[~frequent]], at[~frequent], weight[~frequent]
+        column = self.head_of[at]
+        frequent = np.flatnonzero(column >= 0)
+        frequent = frequent[np.argsort(self.head_df[column[frequent]], kind="stable")]
+        lead, place = np.full(m, -1), np.empty(m, np.int64)
+        lead[query[frequent]] = column[frequent]  # the last of a query stays
+        place[np.argsort(lead, kind="stable")] = np.arange(m)
+        query = place[query]
         order = np.argsort(query.astype(np.uint16) if m < 1 << 16 else query, kind="stable")
         query, at, weight = query[order], at[order], weight[order]
         cut = np.searchsorted(query // TOGETHER, np.arange(-(-m // TOGETHER) + 1))
         back = np.argsort(place)
-        found = [self._some(w[i * TOGETHER : (i + 1) * TOGETHER], query[a:z] - i * TOGETHER, at[a:z], weight[a:z], k) for i, (a, z) in enumerate(zip(cut, cut[1:]))]
+        found = [self._some(min(TOGETHER, m - i * TOGETHER), query[a:z] - i * TOGETHER, at[a:z], weight[a:z], k) for i, (a, z) in enumerate(zip(cut, cut[1:]))]
         q, row, score = (np.concatenate(c) for c in zip(*((q + i * TOGETHER, row, score) for i, (q, row, score) in enumerate(found))))
         return back[q], row, score
 
-    def _some(self, w: np.ndarray, query: np.ndarray, at: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """top of a few queries: weights of the frequent terms by query, then rows of the rare ones: query, place in terms, weight."""
-        m, n = len(w), self.n
+    def _some(self, m: int, query: np.ndarray, at: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """top of m queries, given by rows in order of the query (number from 0, place in terms, weight)."""
+        n, column = self.n, self.head_of[at]
+        frequent = column >= 0
+        w = np.zeros((m, len(self.head_df)))
+        w[query[frequent], column[frequent]] = weight[frequent]
+        query, at, weight = query[~frequent], at[~frequent], weight[~frequent]
         tail = np.zeros(m * n)
         size = self.first[at + 1] - self.first[at]
         for p in pieces(size, POSTINGS):
