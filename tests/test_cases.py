@@ -1,7 +1,9 @@
 """Small cases of single operators."""
 
 import math
+import random
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
@@ -11,7 +13,7 @@ from weftline.functions import hashing, text
 from weftline.functions.stopwords import stopwords
 from weftline.operators import errors, indexes, match, report, tfidf, topics
 from weftline.plans import linking
-from weftline.sources import ingest
+from weftline.sources import ingest, shared
 from weftline.sources.store import Store
 from weftline.streaming.incremental import link_stream
 
@@ -58,6 +60,31 @@ def test_anchor(spark, value, anchor):
     assert strings(spark, value).select(text.suggested_anchor(F.col("v"))).first()[0] == anchor
 
 
+def test_tokens_in_batches_equal_those_of_expressions(spark, monkeypatch):
+    odd = ["le", "la", "las", "für", "the", "die", "é", "ü", "ª", "µ", "×", "÷", "·", "İ", "\u212a", "\u212b", "Σ", "日本", "か", " ", "  ", "\u00a0", "\u200b", "\ufeff", "\u0085", "\n", "\x1c", "'", "²", "½", "Ⅷ", "x", "ab", "que", "avec", "A" * 30, "b" * 25, "Ÿ", "ẞ", "ǅ", "\u2003", "𝒳"]
+    draw = random.Random(3)
+    texts = [None, "", *("".join(draw.choice(odd) for _ in range(draw.randint(0, 30))) for _ in range(3000))]
+    from weftline.functions import words
+
+    monkeypatch.setattr(words, "PACKED", 7)  # of the driver; lists() is tried with it below
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    first = text.drop_stopwords(text.words(F.coalesce("v", F.lit(""))))
+    rows = df.select(text.tokens(F.col("v")).alias("a"), first.alias("b"), text.drop_again(text.tokens(F.col("v"))).alias("c"), text.drop_stopwords(first).alias("d")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and [r.c for r in rows] == [r.d for r in rows]
+    assert words.lists(iter([["a"] * 9, [], ["b"], ["c"] * 7])).to_pylist() == [["a"] * 9, [], ["b"], ["c"] * 7]
+    assert words.lists(iter([])).to_pylist() == []
+
+
+def test_parts_of_an_input_do_not_grow_with_it(spark, tmp_path, monkeypatch):
+    spark.range(20000).write.parquet(path := str(tmp_path / "t"))
+    df = spark.read.parquet(path)
+    monkeypatch.setattr(shared, "PIECE", 1000)
+    size = sum(f.stat().st_size for f in Path(path).glob("*.parquet"))
+    assert shared.spread(df).rdd.getNumPartitions() >= size // 1000 > 2 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(shared, "SMALL", 1)
+    assert shared.spread(df).rdd.getNumPartitions() == df.rdd.getNumPartitions() < shared.spread(df, always=True).rdd.getNumPartitions()
+
+
 def test_document_issues(spark):
     df = spark.createDataFrame([(None,), ([],), (["a", " "],), (["a", "b", "c"],)], "t array<string>")
     assert [r[0] for r in df.select(text.document_issues(F.col("t"))).collect()] == [["not an array"], ["empty"], ["under 3 words", "1 blank terms"], []]
@@ -75,6 +102,12 @@ def test_weights_by_hand(spark):
     assert idf == {"a": pytest.approx(1), "b": pytest.approx(math.log(2) + 1)}
 
 
+def test_unit_lengths_equal_those_of_two_steps(spark):
+    w = spark.createDataFrame([(1, "a", 3.0), (1, "b", 4.0), (2, "a", 0.0), (None, "c", 2.0)], "id long, term string, w double")
+    found = {r.id: tuple(r)[1:] for r in tfidf.unit_lengths(w).collect()}
+    assert found == {1: (2, 5.0, pytest.approx(1)), 2: (1, 0.0, 0.0), None: (1, 2.0, 1.0)}
+
+
 def test_similarity_properties(spark):
     t = docs(spark, [(1, ["a", "b", "c"]), (2, ["a", "d"]), (3, ["e"])])
     s = docs(spark, [(1, ["c", "b", "a"]), (9, ["zzz"])])

@@ -1,4 +1,4 @@
-"""Text as columns: tokens, language, stop words, anchors. Built-in expressions only."""
+"""Text as columns: tokens, language, stop words, anchors. Built-in expressions, but for tokens, which each query needs of every text (words.py)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import words as by_batch
 from .stopwords import LANGUAGES, stopwords
 
 #: What counts as white space (no U+0085), spelled out as regular-expression dialects differ on \s.
@@ -134,12 +135,12 @@ def words(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """words without stop words; a null text has none. The same as drop_stopwords(words(text)), word for word."""
-    return _drop(words(F.coalesce(text, F.lit(""))))
+    return F.arrow_udf(by_batch.tokens_of, "array<string>")(text)
 
 
 def drop_again(tokens: Column) -> Column:
     """drop_stopwords for arrays that tokens gave."""
-    return _drop(tokens)
+    return F.arrow_udf(by_batch.kept_of, "array<string>")(tokens)
 
 
 def document_text(title: Column, body: Column) -> Column:

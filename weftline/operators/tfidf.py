@@ -72,6 +72,14 @@ def normalised(weights: DataFrame) -> DataFrame:
     return weights.join(norms(weights), "id").select("id", "term", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.col("w")).alias("w"))
 
 
+def unit_lengths(weights: DataFrame) -> DataFrame:
+    """id, n_terms, norm, unit: the length of each vector, and that of what normalised makes of it, from one shuffle of the weights."""
+    v = weights.groupBy("id").agg(F.count("*").alias("n_terms"), F.collect_list("w").alias("v"))
+    length = lambda by: F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, w: s + (w / by) * (w / by)))
+    v = v.withColumn("norm", length(F.lit(1.0)))
+    return v.select("id", "n_terms", "norm", length(F.when(F.col("norm") > 0, F.col("norm")).otherwise(F.lit(1.0))).alias("unit"))
+
+
 def vectors(sources: DataFrame, targets: DataFrame, config: TfidfConfig = TfidfConfig()) -> tuple[DataFrame, DataFrame]:
     """id, terms (array of numbers of terms), weights (array) of sources and of targets (id, tokens): a row for each that has a term of the targets.
 

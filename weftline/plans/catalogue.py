@@ -40,7 +40,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """id, url, text, tokens, lang, source."""
-    t = spread(table(spark, d, "documents"))
+    t = spread(table(spark, d, "documents"), always=True)
     url = F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string"))
     return t.select(F.col("doc_id").alias("id"), url.alias("url"), F.coalesce("text", F.lit("")).alias("text"), text.tokens(F.col("text")).alias("tokens"), "lang", "source")
 
@@ -157,11 +157,9 @@ def vocabulary(spark, d):
 
 @query(SIM + "SELECT t_w.id, count(*) AS n_terms, round(any_value(n), 6) AS norm, round(sqrt(sum((w / n) * (w / n))), 6) AS unit FROM t_w JOIN t_n ON t_w.id = t_n.id GROUP BY t_w.id")
 def tfidf_vector_norm(spark, d):
-    c = tfidf.term_counts(tokenised(spark, d))
+    c = written(tfidf.term_counts(documents(spark, d)), "counts")
     w = tfidf.weights(c, tfidf.idf(tfidf.document_frequency(c), table(spark, d, "documents").agg(F.count("*").alias("n"))))
-    w = written(w, "weights")
-    u = tfidf.normalised(w).groupBy("id").agg(F.count("*").alias("n_terms"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("unit"))
-    return u.join(tfidf.norms(w), "id").select("id", "n_terms", F.round("norm", 6).alias("norm"), F.round("unit", 6).alias("unit"))
+    return tfidf.unit_lengths(w).select("id", "n_terms", F.round("norm", 6).alias("norm"), F.round("unit", 6).alias("unit"))
 
 
 # ---- text

@@ -64,10 +64,12 @@ def parquet_files(uri: str) -> list[str]:
 
 #: Inputs of fewer bytes for each core are dealt out anew before costly work on rows: their files may have a single row group.
 SMALL = 64 << 20
+#: They are dealt out in parts of so many bytes, or in two for each core if those are smaller: a task doesn't grow with its input.
+PIECE = 8 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df, over all cores also where it is a small file that one task would read; large inputs have row groups enough and stay as they are."""
+def spread(df: DataFrame, always: bool = False) -> DataFrame:
+    """df, over all cores also where it is a small file that one task would read; large inputs have row groups enough and stay as they are, unless always."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(2 * cores) if size < SMALL * cores else df
+    return df.repartition(max(2 * cores, -(-size // PIECE))) if always or size < SMALL * cores else df
