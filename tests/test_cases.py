@@ -5,13 +5,15 @@ import random
 from datetime import datetime
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from weftline.functions import hashing, text
 from weftline.functions.stopwords import stopwords
-from weftline.operators import errors, indexes, match, report, tfidf, topics
+from weftline.operators import errors, groups, indexes, match, report, tfidf, topics
 from weftline.plans import linking
 from weftline.sources import ingest, shared
 from weftline.sources.store import Store
@@ -210,6 +212,48 @@ def test_topic_model(spark):
 # ---- indexes
 
 
+def test_best_words_equal_those_of_all_pair_scores():
+    draw = random.Random(4)
+    for n in (1, 20, 21, 40):
+        for _ in range(60):
+            big = draw.random() < 0.5
+            f = np.array(sorted((float(draw.choice([2_000_000_000 + draw.randint(0, 9), draw.randint(1, 9)]) if big else draw.randint(1, 40)) for _ in range(n)), reverse=True))
+            words = [f"w{draw.random():.6f}" for _ in range(n)]
+            rows = sorted(zip(f, words), key=lambda r: (-r[0], r[1]))
+            f, words = np.array([r[0] for r in rows]), [r[1] for r in rows]
+            score = lambda x: round(float(sum(math.log(1 + x * g) for g in f) - math.log(1 + x * x)), 6)  # noqa: B023, E731
+            scores = {x: score(x) for x in set(f.tolist())}
+            asked = sorted(range(n), key=lambda i: (-scores[f[i]], words[i]))[:20]  # noqa: B023
+            assert sorted(topics._best_words(f, pa.array(words)).tolist()) == sorted(asked)
+
+
+def test_topic_model_joins_no_pairs_of_words(spark):
+    rows = docs(spark, [(1, [f"w{i}" for i in range(300)]), (None, ["w1", "w2"]), (2, ["w1", "w2", "w2"])])
+    scores = topics.train(rows)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    assert scores.count() == 20
+
+
+def test_rows_of_a_key_come_together(spark):
+    def work(rows, first):
+        ends = [*first[1:].tolist(), rows.num_rows]
+        yield pa.record_batch([rows["k"].take(first).combine_chunks(), pa.array([e - a for a, e in zip(first.tolist(), ends)]), pa.array([rows["v"].slice(a, e - a).to_pylist() for a, e in zip(first.tolist(), ends)])], names=["k", "n", "v"])
+
+    rows = [(i % 7 or None, i) for i in range(500)] + [(100, 1)] + [(8, i) for i in range(90)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    own = groups.by_key
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("1", "13", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            found = own(df, "k", work, "k long, n long, v array<long>", "v").collect()
+            assert {r.k: r.v for r in found} == {k: sorted(v for c, v in rows if c == k) for k in {c for c, _ in rows}} and len(found) == 9
+        assert own(df.limit(0), "k", work, "k long, n long, v array<long>").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_search_ignores_unknown_terms(spark):
     index = indexes.postings(docs(spark, [(1, ["a", "b", "a"]), (2, ["a"]), (3, ["b"])]))
     ids = lambda *terms: sorted(r.id for r in indexes.search_all(index, list(terms)).collect())
