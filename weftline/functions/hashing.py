@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path, parquet_files, written
+
 #: The first prime over 2**32.
 PRIME = 4294967311
 WORD = 1 << 32
+#: Bytes of values that a task sorts for exact hashes, and rows that the driver takes of them at a time.
+PART, BATCH = 32 << 20, 512
 
 
 def list_hash(urls: Column) -> Column:
@@ -34,34 +38,51 @@ def corpus_hash(docs: DataFrame) -> DataFrame:
 def exact_list_hashes(rows: DataFrame, of: str, value: str, separator: str = "|") -> DataFrame:
     """of, hash, n: SHA-256 of the sorted values of each key, joined by the separator: list_hash for lists of any length.
 
-    SHA-256 takes its input in order, so one task reads a key's values; it takes them one after another from a sort that spills and
-    holds none. corpus_hash is the form that is spread over tasks.
+    SHA-256 takes its input in order, so one place has to see a key's values one after another. Tasks sort them into files by ranges of key and
+    value, of which none grows with the input; the driver then takes the files in turn, a batch of rows at a time, and keeps one hash and one row for
+    each key. corpus_hash is the form that is spread over tasks.
     """
-
-    def run(batches):
-        import hashlib
-
-        import pyarrow as pa
-
-        kind = pa.schema([("of", pa.string()), ("hash", pa.string()), ("n", pa.int64())])
-        key, digest, n, begun = None, hashlib.sha256(), 0, False
-        for batch in batches:
-            for k, v in zip(batch["of"].to_pylist(), batch["value"].to_pylist()):
-                if not begun or k != key:
-                    if begun:
-                        yield pa.record_batch([[key], [digest.hexdigest()], [n]], schema=kind)
-                    key, digest, n, begun = k, hashlib.sha256(), 0, True
-                digest.update(((separator if n else "") + v).encode())
-                n += 1
-        if begun:
-            yield pa.record_batch([[key], [digest.hexdigest()], [n]], schema=kind)
-
-    each = rows.select(F.col(of).cast("string").alias("of"), F.coalesce(F.col(value), F.lit("")).alias("value"))
-    return each.repartition("of").sortWithinPartitions("of", "value").mapInArrow(run, "of string, hash string, n long")
+    import hashlib
+
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSystem
+
+    spark = rows.sparkSession
+    each = written(rows.select(F.col(of).cast("string").alias("of"), F.coalesce(F.col(value), F.lit("")).alias("value")), "hash-values")
+    size = each.agg(F.coalesce(F.sum(F.octet_length("value") + 16), F.lit(0))).first()[0]
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // PART))
+    # copies of a value may be in neighbouring ranges; which of them comes first doesn't count
+    ordered = each.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, "of", "value", "row").withColumn("part", F.spark_partition_id()).sortWithinPartitions("of", "value")
+    folder = new_path(spark, "hash-order")
+    ordered.write.option("maxRecordsPerFile", 0).option("parquet.block.size", 16 << 20).parquet(folder)
+    done: list[tuple[str | None, str, int]] = []
+    key, digest, n, begun = None, hashlib.sha256(), 0, False
+    between = separator.encode()
+    fs, files = FileSystem.from_uri(folder)[0], []
+    for path in parquet_files(folder):
+        with fs.open_input_file(path) as f:
+            file = pq.ParquetFile(f)
+            if file.metadata.num_rows:
+                files.append((next(file.iter_batches(1, columns=["part"]))["part"][0].as_py(), path))
+    for _, path in sorted(files):
+        with fs.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(BATCH, columns=["of", "value"]):
+                for k, v in zip(batch["of"].to_pylist(), batch["value"].to_pylist()):
+                    if not begun or k != key:
+                        if begun:
+                            done.append((key, digest.hexdigest(), n))
+                        key, digest, n, begun = k, hashlib.sha256(), 0, True
+                    if n:
+                        digest.update(between)
+                    digest.update(v.encode())
+                    n += 1
+    if begun:
+        done.append((key, digest.hexdigest(), n))
+    return spark.createDataFrame(done, "of string, hash string, n long")
 
 
 def exact_corpus_hash(docs: DataFrame) -> DataFrame:
-    """hash, n: SHA-256 of the documents' sorted tokens, pipe-joined, sorted and joined by two pipes; one task reads all, see exact_list_hashes."""
+    """hash, n: SHA-256 of the documents' sorted tokens, pipe-joined, sorted and joined by two pipes; the driver sees all in turn, see exact_list_hashes."""
     return exact_list_hashes(docs.select(F.lit("").alias("of"), document_hash_text(F.col("tokens")).alias("t")), "of", "t", "||").select("hash", "n")
 
 
