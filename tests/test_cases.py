@@ -154,6 +154,45 @@ def test_top_matches_equal_brute_force(spark, monkeypatch, rows, frequent, expan
     assert sorted((x.src, x.tgt) for x in match.top_matches(named(s[:3]), named(t)).collect()) == sorted((f"u{a}", f"u{b}") for a, b, _, _ in brute_best(s[:3], [(f"{i}", w) for i, w in t], 5))
 
 
+def test_rough_scores_lose_no_match():
+    draw = np.random.default_rng(2)
+    # long rows that differ in one weight: their scores are equal in single precision, but not to 9 decimals
+    terms, n = 900, 40
+    weights = np.ones((n, terms))
+    weights[:, 0] += draw.permutation(n) * 1e-4
+    weights[:3, 5:] = draw.random((3, terms - 5))
+    block = pa.table({"id": np.arange(n), "terms": pa.array([list(range(terms))] * n), "weights": pa.array(weights.tolist())})
+    rough = match._load_rough(block)
+    rows = np.arange(n)
+    unit = weights / np.linalg.norm(weights, axis=1, keepdims=True)
+    for frequent in (rough, match._load_rough(block) | {"column": np.full(terms, -1), "matrix": np.zeros((0, n), np.float32)}):
+        assert (np.abs(match._score_rough(rough, rows, frequent) - unit @ unit.T) <= rough["error"][:, None]).all()
+    r, c = np.divmod(np.arange(n * n), n)
+    assert np.abs(match._exact(rough, rows, r, rough, c).reshape(n, n) - unit @ unit.T).max() < 1e-13
+
+
+def test_rough_and_exact_matches_are_the_same(tmp_path, monkeypatch):
+    draw = random.Random(9)
+    monkeypatch.setattr(match, "CHUNK", 7)
+    monkeypatch.setattr(match, "EXPANDED", 40)
+    rows = [[draw.choice("abcdefghij") for _ in range(draw.randint(1, 6))] for _ in range(60)]
+    rows += rows[:20]  # copies: equal scores, by target
+    ids = list(range(len(rows)))
+    terms = [sorted({ord(x) for x in r}) for r in rows]
+    block = pa.table({"id": ids, "terms": pa.array(terms), "weights": pa.array([[1.0 + t % 3 for t in ts] for ts in terms])})
+    import pyarrow.parquet as pq
+
+    for i, part in enumerate((block.slice(0, 25), block.slice(25, 30), block.slice(55))):
+        (tmp_path / f"block={i}").mkdir()
+        pq.write_table(part, tmp_path / f"block={i}" / "x.parquet")
+    for best, own in ((5, False), (5, True), (1, False), (100, True)):
+        both = []
+        for load, score, exact in ((match._load_sparse, match._score_sparse, None), (match._load_rough, match._score_rough, match._exact)):
+            out = match._best_of_block(load(block), f"file://{tmp_path}", ["id", "terms", "weights"], load, score, best, 0.01, own, exact)
+            both.append([(r["src"], r["rank"], r["tgt"], round(r["sim"], 9)) for b in out for r in b.to_pylist()])
+        assert both[0] == both[1] and both[0]
+
+
 def test_dense_best(spark):
     kind = "id long, vec array<double>"
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, []), (5, None), (6, [0.0, 0.0]), (7, [2.0, 0.0]), (8, [-1.0, 0.0])], kind)
@@ -321,6 +360,25 @@ def test_hashes(spark):
     assert hashing.corpus_hash(d).first() == hashing.corpus_hash(same).first() != hashing.corpus_hash(d.limit(1)).first()
 
 
+def test_no_task_reads_all_values_of_an_exact_hash(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(hashing, "PART", 2000)
+    monkeypatch.setattr(hashing, "BATCH", 3)
+    orders = []
+    own = hashing.parquet_files
+    monkeypatch.setattr(hashing, "parquet_files", lambda folder: orders.append(own(folder)) or orders[-1])
+    values = [f"é{i % 300:04d}" for i in range(900)] + ["same"] * 500
+    df = spark.createDataFrame([(k, v) for k in ("a", "b") for v in values], "k string, v string")
+    found = {r.of: (r.hash, r.n) for r in hashing.exact_list_hashes(df, "k", "v").collect()}
+    right = hashlib.sha256("|".join(sorted(values)).encode()).hexdigest()
+    assert found == {k: (right, len(values)) for k in ("a", "b")}
+    import pyarrow.parquet as pq
+
+    assert max(pq.ParquetFile(f).metadata.num_rows for f in orders[0]) < 500
+    assert hashing.exact_list_hashes(df.limit(0), "k", "v").count() == 0
+
+
 # ---- results
 
 
