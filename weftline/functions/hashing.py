@@ -10,7 +10,7 @@ from ..sources.shared import new_path, parquet_files, written
 #: The first prime over 2**32.
 PRIME = 4294967311
 WORD = 1 << 32
-#: Bytes of values that a task sorts for exact hashes, and rows that the driver takes of them at a time.
+#: Bytes of values that a task sorts for exact hashes, on average, and rows that the driver takes of them at a time.
 PART, BATCH = 32 << 20, 512
 
 
