@@ -5,8 +5,6 @@ import random
 from datetime import datetime
 from pathlib import Path
 
-import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -155,6 +153,9 @@ def test_top_matches_equal_brute_force(spark, monkeypatch, rows, frequent, expan
 
 
 def test_rough_scores_lose_no_match():
+    import numpy as np
+    import pyarrow as pa
+
     draw = np.random.default_rng(2)
     # long rows that differ in one weight: their scores are equal in single precision, but not to 9 decimals
     terms, n = 900, 40
@@ -172,6 +173,8 @@ def test_rough_scores_lose_no_match():
 
 
 def test_rough_and_exact_matches_are_the_same(tmp_path, monkeypatch):
+    import pyarrow as pa
+
     draw = random.Random(9)
     monkeypatch.setattr(match, "CHUNK", 7)
     monkeypatch.setattr(match, "EXPANDED", 40)
@@ -252,6 +255,9 @@ def test_topic_model(spark):
 
 
 def test_best_words_equal_those_of_all_pair_scores():
+    import numpy as np
+    import pyarrow as pa
+
     draw = random.Random(4)
     for n in (1, 20, 21, 40):
         for _ in range(60):
@@ -275,6 +281,8 @@ def test_topic_model_joins_no_pairs_of_words(spark):
 
 
 def test_rows_of_a_key_come_together(spark):
+    import pyarrow as pa
+
     def work(rows, first):
         ends = [*first[1:].tolist(), rows.num_rows]
         yield pa.record_batch([rows["k"].take(first).combine_chunks(), pa.array([e - a for a, e in zip(first.tolist(), ends)]), pa.array([rows["v"].slice(a, e - a).to_pylist() for a, e in zip(first.tolist(), ends)])], names=["k", "n", "v"])
